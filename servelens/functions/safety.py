@@ -29,7 +29,7 @@ def _ipv4_value(host: Column) -> Column:
     count = F.size(parts)
     last = F.element_at(parts, -1).try_cast("bigint")
     total = F.when(
-        (count <= 4) & (last >= 0) & (last < F.shiftleft(F.lit(1).cast("bigint"), 8 * (5 - count))),
+        (count <= 4) & (last >= 0) & (last < F.pow(F.lit(256), 5 - count)),
         last,
     )
     for i in range(3):

@@ -92,7 +92,7 @@ def granted(
     patterns = rules.select("__prefix", "__like").distinct()
     covers = (
         what.join(patterns, "__prefix")
-        .filter(F.lower(F.col(resource)).like(F.col("__like")))
+        .filter(F.like(F.lower(resource), F.col("__like")))
         .select(resource, "__like")
     )
     ask_rows = (
@@ -214,7 +214,7 @@ def _visible(users, names, grants, access, user, groups) -> DataFrame:
         names.distinct()
         .withColumn("__prefix", F.explode(resource_prefixes("model")))
         .join(rules.select("__prefix", "__like").distinct(), "__prefix")
-        .filter(F.lower("model").like(F.col("__like")))
+        .filter(F.like(F.lower("model"), F.col("__like")))
         .select("__like", "model")
     )
     holders = (

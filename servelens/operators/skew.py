@@ -7,12 +7,14 @@ spread over time slices, hash salts or value bins, and only per-slice summaries
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 32
+ID_RANGE = Decimal(10**19)
 
 
 def order_key(ts_ms: Column | str, row_id: Column | str) -> Column:
@@ -22,13 +24,13 @@ def order_key(ts_ms: Column | str, row_id: Column | str) -> Column:
     """
     ts = F.col(ts_ms) if isinstance(ts_ms, str) else ts_ms
     rid = F.col(row_id) if isinstance(row_id, str) else row_id
-    return ts.cast("decimal(15,0)") * F.lit(10**19).cast("decimal(20,0)") + rid.cast(
+    return ts.cast("decimal(15,0)") * F.lit(ID_RANGE) + rid.cast(
         "decimal(19,0)"
     )
 
 
 def order_key_ts(key: Column) -> Column:
-    return F.floor(key / F.lit(10**19).cast("decimal(20,0)")).cast("bigint")
+    return F.floor(key / F.lit(ID_RANGE)).cast("bigint")
 
 
 def time_slice(ts_ms: Column | str, slice_ms: int) -> Column:

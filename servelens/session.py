@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,3 +35,33 @@ def get_session(app: str = "servelens", master: str | None = None, **conf) -> Sp
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_servelens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="servelens-")) / "servelens"), "zip", root.parent, root.name
+    )
+    context.addPyFile(archive)
+    context._servelens_shipped = True
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="servelens-")
+    return f"{root.rstrip('/')}/servelens/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later plans start from a columnar table: costly parsing is done once, columns are pruned, and
+    a lost executor costs a re-read instead of a recomputation.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
