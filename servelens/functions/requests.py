@@ -82,90 +82,27 @@ def classify_endpoint(path: Column | str) -> Column:
     )
 
 
-def _json_kind(value: Column) -> Column:
-    """Type name of a variant value: STRING, BOOLEAN, OBJECT<...>, ..."""
-    return F.schema_of_variant(value)
+def json_kind(value: Column | str) -> Column:
+    """Type name of a variant value: STRING, BOOLEAN, OBJECT<...>, ...; null for a missing one."""
+    return F.schema_of_variant(_c(value))
 
 
-def validate_request(method: Column | str, body: Column | str) -> Column:
-    """struct(http_status, error, model, stream) for an inference call.
+def is_container(kind: Column | str) -> Column:
+    k = _c(kind)
+    return F.startswith(k, F.lit("OBJECT")) | F.startswith(k, F.lit("ARRAY"))
 
-    ``http_status`` is null when the call may go on. ``stream`` is true only for JSON true.
-    """
-    doc = F.try_parse_json(_c(body))
-    model_kind = _json_kind(F.try_variant_get(doc, "$.model", "variant"))
-    model = F.when(model_kind == "STRING", F.try_variant_get(doc, "$.model", "string"))
-    stream_kind = _json_kind(F.try_variant_get(doc, "$.stream", "variant"))
-    stream = F.when(stream_kind == "BOOLEAN", F.try_variant_get(doc, "$.stream", "boolean"))
-    error = (
-        F.when(F.upper(_c(method)) != "POST", "method_not_allowed")
-        .when(doc.isNull() | ~F.startswith(_json_kind(doc), F.lit("OBJECT")), "invalid_json")
-        .when(F.coalesce(F.length(model), F.lit(0)) == 0, "missing_model")
-    )
-    return F.struct(
-        F.when(error == "method_not_allowed", 405).when(error.isNotNull(), 400).alias("http_status"),
-        error.alias("error"),
-        F.when(error.isNull(), model).alias("model"),
-        F.coalesce(stream, F.lit(False)).alias("stream"),
-    )
 
-
-def _lenient_long(doc: Column, path: str) -> Column:
-    """Integer reading of a JSON scalar: decimals truncate, booleans are 0/1, else 0."""
-    value = F.try_variant_get(doc, path, "variant")
-    kind = _json_kind(value)
-    text = F.try_variant_get(doc, path, "string")
+def lenient_long(value: Column | str) -> Column:
+    """Integer reading of a JSON scalar held as text: decimals truncate, booleans are 0/1, else 0."""
+    text = _c(value)
     return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get(doc, path, "boolean").cast("bigint")),
         text.try_cast("bigint"),
         text.try_cast("double").try_cast("bigint"),
+        F.when(text == "true", 1).cast("bigint"),
         F.lit(0).cast("bigint"),
     )
 
 
-def validate_usage_report(method: Column | str, body: Column | str) -> Column:
-    """struct(http_status, error, model, prompt_tokens, completion_tokens)."""
-    text = _c(body)
-    doc = F.try_parse_json(text)
-    model_value = F.try_variant_get(doc, "$.model", "variant")
-    model_kind = _json_kind(model_value)
-    container = F.startswith(model_kind, F.lit("OBJECT")) | F.startswith(model_kind, F.lit("ARRAY"))
-    model = F.when(~container, F.try_variant_get(doc, "$.model", "string"))
-    prompt = _lenient_long(doc, "$.prompt_tokens")
-    completion = _lenient_long(doc, "$.completion_tokens")
-    error = (
-        F.when(F.upper(_c(method)) != "POST", "method_not_allowed")
-        .when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, "empty_body")
-        .when(doc.isNull() | (F.octet_length(text) > USAGE_BODY_LIMIT), "invalid_json")
-        .when(F.coalesce(F.length(model), F.lit(0)) == 0, "missing_model")
-        .when((prompt < 0) | (completion < 0), "invalid_tokens")
-    )
-    ok = error.isNull()
-    return F.struct(
-        F.when(error == "method_not_allowed", 405)
-        .when(error.isNotNull(), 400)
-        .otherwise(200)
-        .alias("http_status"),
-        error.alias("error"),
-        F.when(ok, model).alias("model"),
-        F.when(ok, prompt).alias("prompt_tokens"),
-        F.when(ok, completion).alias("completion_tokens"),
-    )
-
-
-def response_usage(body: Column | str) -> Column:
-    """struct(prompt_tokens, completion_tokens) from a response body, null without a usage object."""
-    doc = F.try_parse_json(_c(body))
-    kind = _json_kind(F.try_variant_get(doc, "$.usage", "variant"))
-    return F.when(
-        F.startswith(kind, F.lit("OBJECT")),
-        F.struct(
-            _lenient_long(doc, "$.usage.prompt_tokens").alias("prompt_tokens"),
-            _lenient_long(doc, "$.usage.completion_tokens").alias("completion_tokens"),
-        ),
-    )
-
-
 def safe_key(col: Column | str) -> Column:
     """Counter-key part: null becomes ``unknown`` and ``|`` becomes ``_``."""
     return F.coalesce(F.replace(_c(col), F.lit("|"), F.lit("_")), F.lit("unknown"))

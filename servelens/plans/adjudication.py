@@ -10,7 +10,6 @@ from servelens.functions.requests import (
     resolve_client_ip,
     resolve_user,
     retry_after_sec,
-    validate_usage_report,
 )
 from servelens.operators.access import evaluate_access
 from servelens.operators.metrics import succeeded
@@ -21,7 +20,7 @@ from servelens.operators.quota import (
     rate_limit,
 )
 from servelens.operators.routing import TICK_MS, route_least_loaded
-from servelens.sources.telemetry import parse_requests
+from servelens.sources.telemetry import check_usage_reports, parse_requests
 
 
 def identify(raw: DataFrame, principal: str = "service") -> DataFrame:
@@ -30,17 +29,19 @@ def identify(raw: DataFrame, principal: str = "service") -> DataFrame:
     Write the result out (``session.stage`` or a table of your own) before adjudicating: the
     bodies are then parsed once, and the passes after it read only narrow columns.
     """
-    return parse_requests(raw).withColumns(
+    named = raw.withColumns(
         {
             "endpoint": classify_endpoint("path"),
             "user_name": resolve_user("headers", F.lit(principal)),
             "client_ip": resolve_client_ip("headers", "peer_ip"),
-            "usage_status": F.when(
-                classify_endpoint("path") == "usage",
-                validate_usage_report("method", "body")["http_status"],
-            ),
         }
-    ).drop("headers", "body", "response_body", "peer_ip", "path")
+    )
+    # Reports are checked against a body that is null for other endpoints, so those skip the work.
+    report = F.when(F.col("endpoint") == "usage", F.col("body"))
+    usage = check_usage_reports(named.withColumn("__report", report), body="__report").drop(
+        "__report", "usage_error", "usage_model", "prompt_tokens", "completion_tokens"
+    )
+    return parse_requests(usage).drop("headers", "body", "response_body", "peer_ip", "path")
 
 
 def adjudicate(

@@ -70,8 +70,8 @@ def classify_endpoint(spark, sf):
 
 @query
 def validate_request(spark, sf):
-    raw = V.raw_requests(spark, sf).withColumn("v", R.validate_request("method", "body"))
-    return raw.select("request_id", "v.http_status", "v.error", "v.model", "v.stream")
+    checked = telemetry.check_requests(V.raw_requests(spark, sf))
+    return checked.select("request_id", "request_status", "request_error", "model", "stream")
 
 
 @query
@@ -91,7 +91,8 @@ def validate_usage_report(spark, sf):
         )
     )
     method = F.when(k % 20 == 6, "GET").otherwise("post")
-    return r.withColumn("v", R.validate_usage_report(method, body)).select("request_id", "v.*")
+    reports = r.select("request_id", method.alias("method"), body.alias("body"))
+    return telemetry.check_usage_reports(reports).drop("method", "body")
 
 
 @query

@@ -18,7 +18,6 @@ GRANTS = [
     ("group", "team-0", "infer", "model-*#lora-0"),
     ("user", "*", "list", "model-*"),
 ]
-GRANT_SCHEMA = "principal_type string, principal string, access string, resource_glob string"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,11 +201,13 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(RULES_DOC,)], "doc string")
+    return spark.range(1).select(F.lit(RULES_DOC).alias("doc"))
 
 
 def grants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GRANTS, GRANT_SCHEMA)
+    names = ("principal_type", "principal", "access", "resource_glob")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, g)]) for g in GRANTS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:

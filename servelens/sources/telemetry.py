@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from servelens.functions.requests import (
-    response_usage,
+    USAGE_BODY_LIMIT,
+    is_container,
+    json_kind,
+    lenient_long,
     split_model_ref,
-    validate_request,
 )
 
 # The log core fields and the sample-line grammar.
@@ -100,30 +102,118 @@ def _sample_value(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def parse_requests(raw: DataFrame, principal: Column | str | None = None) -> DataFrame:
-    """Add model, stream, base_model, lora and the response's token usage to raw requests.
+# The JSON functions below add columns step by step: each parsed value is a column of its own, so
+# a body is parsed once however many checks look at it, and the generated code stays small.
 
-    ``raw`` has ``method``, ``body`` and ``response_body``.
+
+def check_requests(df: DataFrame, method: str = "method", body: str = "body") -> DataFrame:
+    """Add request_status, request_error, model and stream of an inference call.
+
+    Not POST is 405, a body that is no JSON object or names no model is 400; both are null when
+    the call may go on. ``stream`` is true only for JSON true.
     """
-    checked = raw.withColumn("__v", validate_request("method", "body"))
-    named = checked.withColumns(
+    steps = (
+        df.withColumn("__doc", F.try_parse_json(body))
+        .withColumns(
+            {
+                "__kind": json_kind("__doc"),
+                "__m": F.try_variant_get("__doc", "$.model", "variant"),
+                "__s": F.try_variant_get("__doc", "$.stream", "variant"),
+            }
+        )
+        .withColumns(
+            {
+                "__model": F.when(
+                    json_kind("__m") == "STRING", F.try_variant_get("__m", "$", "string")
+                ),
+                "__stream": F.when(
+                    json_kind("__s") == "BOOLEAN", F.try_variant_get("__s", "$", "boolean")
+                ),
+            }
+        )
+        .withColumn(
+            "request_error",
+            F.when(F.upper(method) != "POST", "method_not_allowed")
+            .when(
+                F.col("__kind").isNull() | ~F.startswith("__kind", F.lit("OBJECT")), "invalid_json"
+            )
+            .when(F.coalesce(F.length("__model"), F.lit(0)) == 0, "missing_model"),
+        )
+    )
+    error = F.col("request_error")
+    return steps.withColumns(
         {
-            "model": F.col("__v.model"),
-            "stream": F.col("__v.stream"),
-            "request_error": F.col("__v.error"),
-            "request_status": F.col("__v.http_status"),
-            "__u": response_usage("response_body"),
+            "request_status": F.when(error == "method_not_allowed", 405).when(
+                error.isNotNull(), 400
+            ),
+            "model": F.when(error.isNull(), F.col("__model")),
+            "stream": F.coalesce("__stream", F.lit(False)),
         }
+    ).drop("__doc", "__kind", "__m", "__s", "__model", "__stream")
+
+
+def check_usage_reports(df: DataFrame, method: str = "method", body: str = "body") -> DataFrame:
+    """Add usage_status, usage_error, usage_model and token counts of an out-of-band report.
+
+    Not POST is 405; empty, broken or oversized JSON, a missing model or negative counts are 400.
+    """
+    steps = (
+        df.withColumn("__doc", F.try_parse_json(body))
+        .withColumns(
+            {
+                "__m": F.try_variant_get("__doc", "$.model", "variant"),
+                "__p": lenient_long(F.try_variant_get("__doc", "$.prompt_tokens", "string")),
+                "__c": lenient_long(F.try_variant_get("__doc", "$.completion_tokens", "string")),
+            }
+        )
+        .withColumn(
+            "__model",
+            F.when(~is_container(json_kind("__m")), F.try_variant_get("__m", "$", "string")),
+        )
+        .withColumn(
+            "usage_error",
+            F.when(F.upper(method) != "POST", "method_not_allowed")
+            .when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty_body")
+            .when(
+                F.col("__doc").isNull() | (F.octet_length(body) > USAGE_BODY_LIMIT), "invalid_json"
+            )
+            .when(F.coalesce(F.length("__model"), F.lit(0)) == 0, "missing_model")
+            .when((F.col("__p") < 0) | (F.col("__c") < 0), "invalid_tokens"),
+        )
     )
-    ref = split_model_ref("model")
-    return named.withColumns(
+    error = F.col("usage_error")
+    return steps.withColumns(
         {
-            "base_model": ref["base"],
-            "lora": ref["lora"],
-            "prompt_tokens": F.col("__u.prompt_tokens"),
-            "completion_tokens": F.col("__u.completion_tokens"),
+            "usage_status": F.when(error == "method_not_allowed", 405)
+            .when(error.isNotNull(), 400)
+            .otherwise(200),
+            "usage_model": F.when(error.isNull(), F.col("__model")),
+            "prompt_tokens": F.when(error.isNull(), F.col("__p")),
+            "completion_tokens": F.when(error.isNull(), F.col("__c")),
         }
-    ).drop("__v", "__u")
+    ).drop("__doc", "__m", "__p", "__c", "__model")
+
+
+def read_response_usage(df: DataFrame, body: str = "response_body") -> DataFrame:
+    """Add the token counts of a response's ``usage`` object, null where there is none."""
+    usage = df.withColumn(
+        "__u", F.try_variant_get(F.try_parse_json(body), "$.usage", "variant")
+    ).withColumn("__has", F.startswith(json_kind("__u"), F.lit("OBJECT")))
+    counts = {
+        name: F.when(F.col("__has"), lenient_long(F.try_variant_get("__u", f"$.{name}", "string")))
+        for name in ("prompt_tokens", "completion_tokens")
+    }
+    return usage.withColumns(counts).drop("__u", "__has")
+
+
+def parse_requests(raw: DataFrame) -> DataFrame:
+    """Raw calls (``method``, ``body``, ``response_body``) with model, stream, base_model, lora,
+    body verdict and the response's token usage."""
+    checked = check_requests(raw).withColumn("__ref", split_model_ref("model"))
+    named = checked.withColumns(
+        {"base_model": F.col("__ref.base"), "lora": F.col("__ref.lora")}
+    ).drop("__ref")
+    return read_response_usage(named)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
