@@ -25,25 +25,18 @@ def _ipv4_value(host: Column) -> Column:
 
     With fewer than four parts the last one fills the remaining bytes.
     """
-    parts = F.split(host, "\\.")
-    count = F.size(parts)
-    last = F.element_at(parts, -1).try_cast("bigint")
-    total = F.when(
-        (count <= 4) & (last >= 0) & (last < F.pow(F.lit(256), 5 - count)),
-        last,
+    numbers = F.transform(F.split(host, "\\."), lambda p: p.try_cast("bigint"))
+    count = F.size(numbers)
+    lead, last = F.slice(numbers, F.lit(1), count - 1), F.element_at(numbers, -1)
+    head = F.aggregate(
+        lead, F.lit(0).cast("bigint"), lambda acc, p: F.when(p.between(0, 255), acc * 256 + p)
     )
-    for i in range(3):
-        part = F.get(parts, F.lit(i)).try_cast("bigint")
-        total = F.when(
-            count > i + 1, F.when((part >= 0) & (part <= 255), total + part * (1 << (24 - 8 * i)))
-        ).otherwise(total)
-    return total
+    room = F.pow(F.lit(256), 5 - count).cast("bigint")
+    return F.when((count <= 4) & (last >= 0) & (last < room), head * room + last)
 
 
-def safe_host(col: Column | str) -> Column:
-    """Host syntax plus literal-address rules; name resolution is not part of it."""
-    host = _c(col)
-    value = _ipv4_value(host)
+def _public_ipv4(value: Column) -> Column:
+    """Neither loopback, link-local, any-local nor multicast; false for no address at all."""
     first = F.shiftright(value, 24)
     blocked = (
         (first == 127)
@@ -51,7 +44,14 @@ def safe_host(col: Column | str) -> Column:
         | (value == 0)
         | first.between(224, 239)
     )
-    numeric_ok = value.isNotNull() & ~blocked
+    return F.coalesce(~blocked, F.lit(False))
+
+
+def safe_host(col: Column | str) -> Column:
+    """Host syntax plus literal-address rules; name resolution is not part of it."""
+    host = _c(col)
+    # One-element transform: the address is computed once for all the range checks.
+    numeric_ok = F.get(F.transform(F.array(_ipv4_value(host)), _public_ipv4), F.lit(0))
     syntax = (
         (F.length(host) > 0)
         & (F.length(host) <= MAX_HOST_LENGTH)
