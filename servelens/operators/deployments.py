@@ -20,65 +20,63 @@ def is_invalid(image: str = "image", repository: str = "model_repository") -> Co
     )
 
 
-def planned_replicas(traffic: Column | str, total: Column | str) -> Column:
-    """Array of struct(pos, name, weight, replicas) for one deployment's traffic array.
+def allocate_replicas(deployments: DataFrame, key: str = "name") -> DataFrame:
+    """(key, pos, variant, weight, replicas) per variant of the ``traffic`` array.
 
     Largest remainder with floor; an active variant gets at least one, leftovers go one each by
-    remainder, then list order. All weights zero or null: one each. Computed inside the row, so no
-    variant is shuffled.
+    remainder, then list order. All weights zero or null: one each. The shares are worked out on
+    the array inside its row, so no variant is shuffled.
     """
-    t = F.col(traffic) if isinstance(traffic, str) else traffic
-    n = F.col(total) if isinstance(total, str) else total
-    weights = F.transform(t, lambda v: F.greatest(F.coalesce(v["weight"], F.lit(0)), F.lit(0)))
-    sum_weight = F.aggregate(weights, F.lit(0).cast("bigint"), lambda a, w: a + w)
-    exact = F.transform(weights, lambda w: w.cast("double") * n / F.nullif(sum_weight, F.lit(0)))
-    floors = F.transform(
-        F.arrays_zip(weights.alias("w"), exact.alias("e")),
-        lambda x: F.when((x["w"] > 0) & (F.floor(x["e"]) == 0), 1).otherwise(F.floor(x["e"])),
-    )
-    leftover = n - F.aggregate(floors, F.lit(0).cast("bigint"), lambda a, f: a + f)
-    # Active positions by falling remainder, then position.
-    order = F.transform(
-        F.array_sort(
-            F.filter(
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate("__w", zero, lambda a, w: a + w)
+    weighed = deployments.select(
+        key,
+        "traffic",
+        F.col("replicas").alias("__n"),
+        F.transform(
+            "traffic", lambda v: F.greatest(F.coalesce(v["weight"], F.lit(0)), F.lit(0))
+        ).alias("__w"),
+    ).withColumn("__total", total)
+    exact = lambda w: w.cast("double") * F.col("__n") / F.nullif(F.col("__total"), F.lit(0))
+    shared = weighed.withColumn(
+        "__floors",
+        F.transform(
+            "__w",
+            lambda w: F.greatest(F.floor(exact(w)), F.when(w > 0, 1).otherwise(0)),
+        ),
+    ).withColumn("__left", F.col("__n") - F.aggregate("__floors", zero, lambda a, f: a + f))
+    # Active positions by falling remainder, then position; inactive ones sort behind them.
+    ranked = shared.withColumn(
+        "__order",
+        F.when(
+            F.col("__left") > 0,
+            F.array_sort(
                 F.transform(
-                    F.arrays_zip(weights.alias("w"), exact.alias("e")),
-                    lambda x, i: F.struct(
-                        (F.floor(x["e"]) - x["e"]).alias("neg_rem"), i.alias("pos"), x["w"].alias("w")
+                    "__w",
+                    lambda w, i: F.struct(
+                        (w == 0).alias("off"), (F.floor(exact(w)) - exact(w)).alias("rem"), i.alias("pos")
                     ),
-                ),
-                lambda x: x["w"] > 0,
-            )
-        ),
-        lambda x: x["pos"],
-    )
-    rank = lambda i: F.array_position(order, i)
-    return F.transform(
-        t,
-        lambda v, i: F.struct(
-            i.alias("pos"),
-            v["name"].alias("name"),
-            v["weight"].alias("weight"),
-            F.when(sum_weight == 0, F.lit(1))
-            .otherwise(
-                F.get(floors, i)
-                + F.when((rank(i) > 0) & (rank(i) <= leftover), 1).otherwise(0)
-            )
-            .cast("int")
-            .alias("replicas"),
+                )
+            ),
         ),
     )
-
-
-def allocate_replicas(deployments: DataFrame, key: str = "name") -> DataFrame:
-    """(key, variant, weight, replicas) per traffic variant."""
-    plan = planned_replicas("traffic", "replicas")
-    return deployments.select(key, F.explode(plan).alias("p")).select(
+    winners = F.transform(
+        F.slice("__order", F.lit(1), F.greatest(F.col("__left"), F.lit(0)).cast("int")),
+        lambda x: F.when(~x["off"], x["pos"]),
+    )
+    exploded = ranked.withColumn("__winners", winners).select(
+        key, "__total", "__floors", "__winners", F.posexplode("traffic").alias("pos", "v")
+    )
+    extra = F.coalesce(F.array_contains("__winners", F.col("pos")), F.lit(False))
+    return exploded.select(
         key,
-        F.col("p.pos").alias("pos"),
-        F.col("p.name").alias("variant"),
-        F.col("p.weight").alias("weight"),
-        F.col("p.replicas").alias("replicas"),
+        "pos",
+        F.col("v.name").alias("variant"),
+        F.col("v.weight").alias("weight"),
+        F.when(F.col("__total") == 0, 1)
+        .otherwise(F.get("__floors", F.col("pos")) + extra.cast("int"))
+        .cast("int")
+        .alias("replicas"),
     )
 
 

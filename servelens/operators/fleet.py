@@ -31,7 +31,7 @@ def scrape_load(
     the activity marker counts as 0.3, else 0. Depth sums the pending counts, truncated each.
     """
     usable = samples.filter(
-        F.col("labels").isNotNull()
+        F.col("labelled")
         & F.col("metric").isin(GPU_UTILIZATION, PENDING_REQUESTS)
         & (F.col("value") >= 0)
         & ~F.isnan("value")

@@ -155,60 +155,129 @@ def _with_bucket(df: DataFrame, version: str | None) -> DataFrame:
     return df.withColumn("bucket", F.when(F.col("rpm") > 0, bucket))
 
 
-def rate_limit(
+def rank_requests(
     requests: DataFrame,
     window_ms: int = WINDOW_MS,
     slice_ms: int = 1000,
     ts_ms: str = "ts_ms",
     row_id: str = "request_id",
     few_buckets: bool = False,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
-    """Decide every request matched by :func:`match_quota_rule`.
+    """Place requests matched by :func:`match_quota_rule` in their bucket's windows.
 
-    Adds ``allowed, retry_after_ms, reason, rule_desc``. A bucket's windows start at its first
-    request; the first ``rpm`` requests of a window pass. When two rules share a bucket, the
-    rule of the first request sets the capacity. ``few_buckets`` says that the caller checked the
-    number of rules (buckets never outnumber them), which lets the bucket table be broadcast.
+    Adds ``window_start_ms, place, capacity, late``. A bucket's windows start at its first request,
+    whose rule sets the capacity. ``carried`` (bucket, first_ms, capacity, window_start_ms, used)
+    continues buckets from earlier batches; a request of a window before the carried one is late.
     """
     first_seen = F.min(order_key(ts_ms, row_id))
-    starts = (
+    fresh = (
         requests.filter(F.col("bucket").isNotNull())
         .groupBy("bucket", "rpm")
         .agg(first_seen.alias("__first"))
         .groupBy("bucket")
         .agg(
             order_key_ts(F.min("__first")).alias("__t0"),
-            F.min_by("rpm", "__first").alias("__capacity"),
+            F.min_by("rpm", "__first").alias("capacity"),
         )
     )
+    none = F.lit(None).cast("bigint")
+    if carried is None:
+        starts = fresh.withColumns({"__kept_w": none, "__used": none})
+    else:
+        kept = carried.select(
+            "bucket", F.col("first_ms").alias("__kept_t0"), F.col("capacity").alias("__kept_cap"),
+            F.col("window_start_ms").alias("__kept_w"), F.col("used").alias("__used"),
+        )
+        starts = fresh.join(kept, "bucket", "left").select(
+            "bucket",
+            F.coalesce("__kept_t0", "__t0").alias("__t0"),
+            F.coalesce("__kept_cap", "capacity").alias("capacity"),
+            "__kept_w",
+            "__used",
+        )
     anchored = requests.join(F.broadcast(starts) if few_buckets else starts, "bucket", "left")
-    elapsed = F.col(ts_ms) - F.col("__t0")
     # Requests outside any bucket ride along on plain time windows, so they stay spread too.
-    since = F.coalesce(elapsed, F.col(ts_ms))
+    since = F.coalesce(F.col(ts_ms) - F.col("__t0"), F.col(ts_ms))
     keyed = anchored.withColumns(
-        {"__b": F.coalesce(F.col("bucket"), F.lit("")), "__w": F.floor(since / window_ms)}
+        {
+            "__b": F.coalesce(F.col("bucket"), F.lit("")),
+            "__w": F.coalesce(F.floor(since / window_ms), F.lit(0)),
+        }
     )
-    inside = F.pmod(since, F.lit(window_ms))
+    inside = F.coalesce(F.pmod(since, F.lit(window_ms)), F.lit(0))
     ranked = sliced_row_number(
-        keyed, ["__b", "__w"], [ts_ms, row_id], time_slice(inside, slice_ms), "__rank"
+        keyed,
+        ["__b", "__w"],
+        [ts_ms, row_id],
+        F.coalesce(time_slice(inside, slice_ms), F.lit(0)),
+        "__rank",
     )
-    zero = F.col("rpm") == 0
-    over = F.col("bucket").isNotNull() & (F.col("__rank") > F.col("__capacity"))
-    window_end = F.col("__t0") + (F.col("__w") + 1) * window_ms
-    denied = F.coalesce(zero, F.lit(False)) | over
+    start = F.col("__t0") + F.col("__w") * window_ms
+    before = F.when(start == F.col("__kept_w"), F.col("__used")).otherwise(0)
     return ranked.withColumns(
         {
-            "allowed": ~denied,
+            "window_start_ms": start,
+            "first_ms": F.col("__t0"),
+            "place": F.when(F.col("bucket").isNotNull(), F.col("__rank") + before),
+            "late": F.coalesce(start < F.col("__kept_w"), F.lit(False)),
+        }
+    ).drop("__b", "__w", "__rank", "__t0", "__kept_w", "__used")
+
+
+def decide(placed: DataFrame, window_ms: int = WINDOW_MS, ts_ms: str = "ts_ms") -> DataFrame:
+    """Add ``allowed, retry_after_ms, reason, rule_desc`` to placed requests."""
+    zero = F.coalesce(F.col("rpm") == 0, F.lit(False))
+    over = F.coalesce(F.col("place") > F.col("capacity"), F.lit(False))
+    wait = F.col("window_start_ms") + window_ms - F.col(ts_ms)
+    return placed.withColumns(
+        {
+            "allowed": ~(zero | over),
             "retry_after_ms": F.when(zero, F.lit(ZERO_QUOTA_RETRY_MS))
-            .when(over, F.greatest(F.lit(1), window_end - F.col(ts_ms)))
+            .when(over, F.greatest(F.lit(1), wait))
             .otherwise(F.lit(0))
             .cast("bigint"),
             "reason": F.when(zero, "quota_zero").when(over, "rate_limited"),
             "rule_desc": F.when(
-                denied, rule_text("rule_user", "rule_group", "rule_model", "rpm")
+                zero | over, rule_text("rule_user", "rule_group", "rule_model", "rpm")
             ),
         }
-    ).drop("__b", "__w", "__rank", "__t0", "__capacity")
+    )
+
+
+def rate_limit(
+    requests: DataFrame,
+    window_ms: int = WINDOW_MS,
+    slice_ms: int = 1000,
+    ts_ms: str = "ts_ms",
+    row_id: str = "request_id",
+    few_buckets: bool = False,
+) -> DataFrame:
+    """Decide every request matched by :func:`match_quota_rule`.
+
+    The first ``rpm`` requests of a bucket's window pass. ``few_buckets`` says that the caller
+    checked the number of rules (buckets never outnumber them), which lets the bucket table be
+    broadcast.
+    """
+    placed = rank_requests(requests, window_ms, slice_ms, ts_ms, row_id, few_buckets)
+    return decide(placed, window_ms, ts_ms).drop(
+        "window_start_ms", "first_ms", "place", "capacity", "late"
+    )
+
+
+def carry_buckets(placed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """State for the next batch: each bucket's newest window and the requests seen in it."""
+    keys = ["bucket", "first_ms", "capacity"]
+    seen = (
+        placed.filter(F.col("bucket").isNotNull() & ~F.col("late"))
+        .groupBy(*keys, "window_start_ms")
+        .agg(F.max("place").alias("used"))
+    )
+    if carried is not None:
+        seen = seen.unionByName(carried.select(*keys, "window_start_ms", "used"))
+    # The newest window wins; within it the batch's count already includes the carried one.
+    newest = F.max(F.struct("window_start_ms", "used")).alias("n")
+    return seen.groupBy(*keys).agg(newest).select(*keys, "n.window_start_ms", "n.used")
 
 
 def quota_decisions(

@@ -16,10 +16,7 @@ from servelens.functions.requests import (
 # The log core fields and the sample-line grammar.
 LOG_CORE = ("ts", "level", "logger", "thread", "message")
 LOG_OPTIONAL = ("exception", "stack")
-SAMPLE_PATTERN = (
-    r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(\{(.*)\})?\s+"
-    r"([+-]?(?:[0-9.]+(?:[eE][+-]?[0-9]+)?|Inf|NaN))(?:\s+-?[0-9]+)?\s*$"
-)
+METRIC_PATTERN = "^[a-zA-Z_:][a-zA-Z0-9_:]*$"
 LABEL_PATTERN = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 # Parity grammar: one gpu label, digits, dots, "e" and "+" only.
 STRICT_GPU_PATTERN = r'^(nv_gpu_[a-z_]+)\{gpu="(\d+)"\}\s+([\d.e+]+)'
@@ -51,14 +48,15 @@ def read_service_log(spark: SparkSession, path: str, stream: bool = False) -> Da
 def parse_exposition(
     scrapes: DataFrame, metrics: list[str] | None = None, strict: bool = False
 ) -> DataFrame:
-    """Metric text -> one row per sample: metric, labels, value, value_text, line_no.
+    """Metric text -> one row per sample: metric, labelled, labels, value, value_text, line_no.
 
     Comments, blank and corrupt lines are skipped. ``metrics`` keeps lines that start with one of
-    the given names before any pattern runs. ``strict`` accepts only the narrow GPU grammar.
+    the given names before anything is parsed. ``strict`` accepts only the narrow GPU grammar.
+    Labels cost the most; a query that does not read them does not pay for them.
     """
     others = [c for c in scrapes.columns if c != "body"]
     lines = scrapes.select(
-        *others, F.posexplode(F.split("body", "\r?\n")).alias("line_no", "line")
+        *others, F.posexplode(F.split("body", "\n")).alias("line_no", "line")
     ).filter((F.length("line") > 0) & ~F.startswith("line", F.lit("#")))
     if metrics:
         starts = F.lit(False)
@@ -68,27 +66,49 @@ def parse_exposition(
     line = F.col("line")
     if strict:
         part = lambda i: F.regexp_extract(line, STRICT_GPU_PATTERN, i)
-        metric, text = part(1), part(3)
-        labels = F.create_map(F.lit("gpu"), part(2))
-        matched = lines.filter(line.rlike(STRICT_GPU_PATTERN))
-    else:
-        part = lambda i: F.regexp_extract(line, SAMPLE_PATTERN, i)
-        metric, text = part(1), part(4)
-        found = lambda i: F.regexp_extract_all(part(3), F.lit(LABEL_PATTERN), F.lit(i))
-        names, values = found(1), F.transform(found(2), _unescape_label)
-        unique = F.size(F.array_distinct(names)) == F.size(names)
-        labels = F.when(
-            F.length(part(2)) > 0, F.when(unique, F.map_from_arrays(names, values))
+        return lines.filter(line.rlike(STRICT_GPU_PATTERN)).select(
+            *others,
+            "line_no",
+            part(1).alias("metric"),
+            F.lit(True).alias("labelled"),
+            F.create_map(F.lit("gpu"), part(2)).alias("labels"),
+            part(3).try_cast("double").alias("value"),
+            part(3).alias("value_text"),
+        ).filter(F.col("value").isNotNull())
+    # The value follows the last brace, or the name when there are no labels; a time stamp may
+    # follow the value.
+    braced = F.contains(line, F.lit("{")) & F.contains(line, F.lit("}"))
+    after = F.when(braced, F.substring_index(line, "}", -1)).otherwise(
+        F.substring(line, F.length(F.substring_index(line, " ", 1)) + 1, F.length(line))
+    )
+    name = F.substring_index(F.substring_index(line, "{", 1), " ", 1)
+    cut = lines.withColumns(
+        {
+            "metric": name,
+            "labelled": braced,
+            "value_text": F.substring_index(F.trim(F.translate(after, "\t\r", "  ")), " ", 1),
+        }
+    ).withColumn("value", F.col("value_text").try_cast("double"))
+    opening = F.instr(line, "{")
+    tail = F.length(F.substring_index(line, "}", -1))
+    inner = F.substring(line, opening + 1, F.length(line) - tail - 1 - opening)
+    found = lambda i: F.regexp_extract_all(F.col("__inner"), F.lit(LABEL_PATTERN), F.lit(i))
+    names, values = F.col("__names"), F.transform("__values", _unescape_label)
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return (
+        cut.filter(F.col("value").isNotNull() & F.col("metric").rlike(METRIC_PATTERN))
+        .withColumn("__inner", F.when(F.col("labelled"), inner))
+        .withColumns({"__names": found(1), "__values": found(2)})
+        .select(
+            *others,
+            "line_no",
+            "metric",
+            "labelled",
+            F.when(F.col("labelled") & unique, F.map_from_arrays(names, values)).alias("labels"),
+            "value",
+            "value_text",
         )
-        matched = lines.filter(line.rlike(SAMPLE_PATTERN))
-    return matched.select(
-        *others,
-        "line_no",
-        metric.alias("metric"),
-        labels.alias("labels"),
-        _sample_value(text).alias("value"),
-        text.alias("value_text"),
-    ).filter(F.col("value").isNotNull())
+    )
 
 
 def _unescape_label(v: Column) -> Column:
@@ -98,10 +118,6 @@ def _unescape_label(v: Column) -> Column:
     return F.replace(out, mark, F.lit("\\"))
 
 
-def _sample_value(text: Column) -> Column:
-    return text.try_cast("double")
-
-
 # The JSON functions below add columns step by step: each parsed value is a column of its own, so
 # a body is parsed once however many checks look at it, and the generated code stays small.
 
