@@ -80,9 +80,13 @@ def resource_prefixes(resource: Column | str) -> Column:
 def granted(
     asks: DataFrame, grants: DataFrame, user: str, groups: str, access: str, resource: str
 ) -> DataFrame:
-    """Distinct (user, groups, resource) of ``asks`` that some grant covers, by equi-joins only."""
+    """Distinct (caller, resource) of ``asks`` that some grant covers, by equi-joins only.
+
+    The caller comes back as ``__who``, the null-free text of user and groups.
+    """
     rules = keyed_grants(grants).filter(F.col("access") == access).drop("access")
-    who = asks.select(user, groups).distinct().withColumn("__p", F.explode(principals(user, groups)))
+    callers = asks.select(_text_key(user, groups).alias("__who"), user, groups)
+    who = callers.distinct().select("__who", F.explode(principals(user, groups)).alias("__p"))
     what = (
         asks.select(resource)
         .distinct()
@@ -95,15 +99,13 @@ def granted(
         .filter(F.like(F.lower(resource), F.col("__like")))
         .select(resource, "__like")
     )
-    ask_rows = (
-        asks.select(user, groups, resource)
+    held = who.join(rules.select("__p", "__like"), "__p").select("__who", "__like").distinct()
+    return (
+        asks.select(_text_key(user, groups).alias("__who"), resource)
         .distinct()
         .join(covers, resource)
-        .join(who, [user, groups])
-    )
-    return (
-        ask_rows.join(rules.select("__p", "__like"), ["__p", "__like"], "left_semi")
-        .select(user, groups, resource)
+        .join(held, ["__who", "__like"], "left_semi")
+        .select("__who", resource)
         .distinct()
     )
 
@@ -144,9 +146,8 @@ def evaluate_access(
     ).filter(F.col("__r").isNotNull())
     allowed = granted(asks, grants, user, groups, access, "__r")
     who = _text_key(user, groups)
-    hits = allowed.select(who.alias("__who"), "__r")
-    base_hits = hits.select("__who", F.col("__r").alias(base), F.lit(True).alias("__base"))
-    full_hits = hits.select("__who", F.col("__r").alias("__full"), F.lit(True).alias("__both"))
+    base_hits = allowed.select("__who", F.col("__r").alias(base), F.lit(True).alias("__base"))
+    full_hits = allowed.select("__who", F.col("__r").alias("__full"), F.lit(True).alias("__both"))
     verdicts = (
         calls.withColumns({"__who": who, "__full": full})
         .join(base_hits, ["__who", base], "left")

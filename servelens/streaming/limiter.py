@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from servelens.operators.quota import (
     WINDOW_MS,
@@ -49,10 +48,10 @@ class StreamLimiter:
         return docs.select("version", "valid_from_ms"), load_quota_rules(docs)
 
     def carried(self, spark: SparkSession, epoch: int) -> DataFrame | None:
-        try:
-            return spark.read.schema(STATE_SCHEMA).parquet(f"{self.state_dir}/epoch-{epoch - 1}")
-        except AnalysisException:
+        """State left by the previous epoch; a missing one is an error except for the first."""
+        if epoch == 0:
             return None
+        return spark.read.schema(STATE_SCHEMA).parquet(f"{self.state_dir}/epoch-{epoch - 1}")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
