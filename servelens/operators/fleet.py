@@ -41,10 +41,12 @@ def scrape_load(
         F.avg(F.when(is_gpu, F.col("value"))).alias("__gpu"),
         F.sum(F.when(~is_gpu, F.col("value").cast("int"))).alias("__depth"),
     )
+    # The page text stays behind: only the fallback value derived from it meets the samples.
     idle = F.when(F.contains("body", F.lit(ACTIVITY_MARKER)), ACTIVE_LOAD).otherwise(0.0)
-    return scrapes.join(measured, list(keys), "left").select(
+    pages = scrapes.select(*keys, idle.alias("__idle"))
+    return pages.join(measured, list(keys), "left").select(
         *keys,
-        F.coalesce(F.col("__gpu") / 100.0, idle).alias("gpu_load"),
+        F.coalesce(F.col("__gpu") / 100.0, F.col("__idle")).alias("gpu_load"),
         F.coalesce("__depth", F.lit(0)).cast("bigint").alias("queue_depth"),
     )
 

@@ -62,11 +62,23 @@ def match_quota_rule(
     ``rules`` is the output of ``load_quota_rules``; ``rule_ord`` is most specific first. With
     ``version``, both sides carry that column and only rules of the same version apply.
     """
+    return match_and_size(requests, rules, user, groups, model, version)[0]
+
+
+def match_and_size(
+    requests: DataFrame,
+    rules: DataFrame,
+    user: str = "user_name",
+    groups: str = "groups",
+    model: str = "base_model",
+    version: str | None = None,
+) -> tuple[DataFrame, bool]:
+    """:func:`match_quota_rule` and whether the rules, hence the buckets, are known to be few."""
     keep = [*([version] if version else []), "rule_ord", *RULE_FIELDS]
     few = _small_rules(rules, keep)
     if few is not None:
-        return _match_inline(requests, few, user, groups, model, version)
-    return _match_joined(requests, rules, user, groups, model, version)
+        return _match_inline(requests, few, user, groups, model, version), True
+    return _match_joined(requests, rules, user, groups, model, version), False
 
 
 def _match_inline(requests, rows, user, groups, model, version) -> DataFrame:
@@ -285,8 +297,7 @@ def quota_decisions(
     slice_ms: int = 1000,
 ) -> DataFrame:
     """Match and limit in one call."""
-    few = len(rules.select("rule_ord").take(MAX_INLINE_RULES + 1)) <= MAX_INLINE_RULES
-    matched = match_quota_rule(requests, rules, version=version)
+    matched, few = match_and_size(requests, rules, version=version)
     return rate_limit(matched, window_ms=window_ms, few_buckets=few, slice_ms=slice_ms)
 
 

@@ -13,12 +13,7 @@ from servelens.functions.requests import (
 )
 from servelens.operators.access import evaluate_access
 from servelens.operators.metrics import succeeded
-from servelens.operators.quota import (
-    MAX_INLINE_RULES,
-    WINDOW_MS,
-    match_quota_rule,
-    rate_limit,
-)
+from servelens.operators.quota import WINDOW_MS, match_and_size, rate_limit
 from servelens.operators.routing import TICK_MS, route_least_loaded
 from servelens.sources.telemetry import check_usage_reports, parse_requests
 
@@ -62,9 +57,8 @@ def adjudicate(
     or ``io``), if present, marks calls without an upstream status. With ``version``, requests and
     rules carry that column (see ``rules_asof``) and each version has its own buckets.
     """
-    few = len(rules.select("rule_ord").take(MAX_INLINE_RULES + 1)) <= MAX_INLINE_RULES
     eligible = (F.col("endpoint") == "inference") & F.col("request_error").isNull()
-    matched = match_quota_rule(identified, rules, version=version)
+    matched, few = match_and_size(identified, rules, version=version)
     # Calls stopped before the quota gate neither take nor need a place in a bucket.
     for column in ("bucket", "rpm"):
         matched = matched.withColumn(column, F.when(eligible, F.col(column)))

@@ -1253,3 +1253,32 @@ FROM adjudicated GROUP BY 1, 2
     ROUTES,
     OUTCOMES,
 )
+
+# --- streams -----------------------------------------------------------------------------------
+
+DAILY = f"""
+daily AS (
+  SELECT ts_ms // {DAY_MS} * {DAY_MS} AS window_start_ms, user_name, model,
+    CAST(sum(greatest(prompt_tokens, 0)) AS BIGINT) AS tokens_in,
+    CAST(sum(greatest(completion_tokens, 0)) AS BIGINT) AS tokens_out
+  FROM usage_v WHERE prompt_tokens > 0 OR completion_tokens > 0 GROUP BY 1, 2, 3
+)"""
+ORACLE["windowed_chargeback"] = req("SELECT * FROM daily", DAILY)
+ORACLE["stream_windowed_chargeback"] = req(
+    f"""
+SELECT * FROM daily WHERE window_start_ms + {DAY_MS} <= (SELECT max(ts_ms) FROM usage_v)
+""",
+    DAILY,
+)
+ORACLE["windowed_metrics"] = req(
+    f"""
+SELECT ts_ms // {DAY_MS} * {DAY_MS} AS window_start_ms, model,
+  count(*) FILTER (status // 100 = 2) AS success, count(*) FILTER (status // 100 <> 2) AS errors,
+  CAST(sum(latency_us) AS BIGINT) AS sum_us, count(*) AS count, le,
+  count(*) FILTER (latency_us <= le_sec * 1000000) AS cum_count
+FROM forwarded CROSS JOIN le GROUP BY window_start_ms, model, le
+""",
+    BUCKETS,
+)
+ORACLE["stream_breaker"] = ORACLE["breaker_transitions"]
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]

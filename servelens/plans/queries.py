@@ -14,8 +14,9 @@ from servelens.operators import access, deployments, fleet, metrics, quota, rout
 from servelens.operators import scoring, state, tokens, traces
 from servelens.plans import adjudication
 from servelens.plans import views as V
-from servelens.session import stage
+from servelens.session import shared_dir, stage
 from servelens.sources import policies, sinks, telemetry
+from servelens.streaming import aggregates, limiter, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -836,3 +837,73 @@ def adjudicate(spark, sf):
 @query
 def adjudication_summary(spark, sf):
     return adjudication.outcome_summary(_outcomes(spark, sf))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _requests_stream(spark, sf):
+    """The events table as a file stream, with the request columns."""
+    schema = V.table(spark, sf, "events").schema
+    # A pattern, not a plain path: it serves a single file as well as a folder of parts.
+    events = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+    return V.requests_from(events)
+
+
+def _drain_stream(stream, label):
+    """Run a stream over what is there and return the table it wrote."""
+    spark, root = stream.sparkSession, shared_dir(stream.sparkSession, label)
+    started = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query
+def windowed_chargeback(spark, sf):
+    return aggregates.windowed_chargeback(V.usage(spark, sf), window="1 day")
+
+
+@query
+def windowed_metrics(spark, sf):
+    return aggregates.windowed_metrics(V.forwarded(spark, sf), window="1 day")
+
+
+@query
+def stream_windowed_chargeback(spark, sf):
+    """Only windows that the watermark has closed are written."""
+    usage = V.usage_from(_requests_stream(spark, sf))
+    stream = aggregates.windowed_chargeback(usage, window="1 day", watermark="0 seconds")
+    return _drain_stream(stream, "chargeback")
+
+
+@query
+def stream_breaker(spark, sf):
+    probes = V.probes_from(_requests_stream(spark, sf))
+    return _drain_stream(stateful.stream_breaker(probes, 2, HOUR_MS), "breaker")
+
+
+@query
+def stream_rate_limit(spark, sf):
+    """Calls judged batch by batch under one published rule document."""
+    root = shared_dir(spark, "limits")
+    docs = V.rules_docs(spark).select(
+        F.lit(1).alias("version"), F.lit(0).cast("bigint").alias("valid_from_ms"), "doc"
+    )
+    policies.publish_rules(docs, f"{root}/versions")
+    sink = limiter.StreamLimiter(f"{root}/versions", f"{root}/state", f"{root}/out", window_ms=DAY_MS)
+    calls = V.forwarded_from(_requests_stream(spark, sf))
+    started = (
+        calls.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    out = spark.read.parquet(f"{root}/out/epoch-*")
+    return out.select("request_id", "allowed", "retry_after_ms", "reason", "rule_desc")

@@ -40,7 +40,12 @@ def text(*parts) -> Column:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", k_of())
+    return requests_from(table(spark, sf_dir, "events"))
+
+
+def requests_from(events: DataFrame) -> DataFrame:
+    """One request per event; works on tables and streams."""
+    e = events.withColumn("k", k_of())
     k, user, kind = F.col("k"), F.col("user_id"), F.col("event_type")
     adapter = k % 3 == 0
     path = (
@@ -74,10 +79,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forwarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forwarded_from(requests(spark, sf_dir))
+
+
+def forwarded_from(calls: DataFrame) -> DataFrame:
     """Inference calls, keyed by the model they were served by."""
-    return requests(spark, sf_dir).filter(F.col("path") != "/v1/models").withColumn(
-        "model", F.col("base_model")
-    )
+    return calls.filter(F.col("path") != "/v1/models").withColumn("model", F.col("base_model"))
 
 
 def with_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,18 +152,25 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response usage of buffered calls and out-of-band reports of streamed ones."""
-    f = forwarded(spark, sf_dir)
-    tokens = ["prompt_tokens", "completion_tokens"]
-    answered = f.filter((F.col("status") == 200) & ~F.col("stream")).select(
-        "user_name", F.col("base_model").alias("model"), *tokens, "ts_ms", "ts",
-        F.lit("response").alias("source"),
-    )
-    reported = f.filter(F.col("stream")).select(
-        "user_name", F.col("requested_model").alias("model"), *tokens, "ts_ms", "ts",
-        F.lit("report").alias("source"),
+    return usage_from(requests(spark, sf_dir))
+
+
+def usage_from(calls: DataFrame) -> DataFrame:
+    """Response usage of buffered calls (by base model) and out-of-band reports of streamed ones
+    (by model as sent); a call is one or the other, so one pass serves both."""
+    reported = F.col("stream")
+    return (
+        forwarded_from(calls)
+        .filter(reported | (F.col("status") == 200))
+        .select(
+            "user_name",
+            F.when(reported, F.col("requested_model")).otherwise(F.col("base_model")).alias("model"),
+            "prompt_tokens",
+            "completion_tokens",
+            "ts_ms",
+            F.when(reported, "report").otherwise("response").alias("source"),
+        )
     )
-    return answered.unionByName(reported)
 
 
 def chat_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +208,11 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).select(
+    return probes_from(requests(spark, sf_dir))
+
+
+def probes_from(calls: DataFrame) -> DataFrame:
+    return calls.select(
         "host", "ts", "ts_ms", F.col("request_id").alias("event_id"),
         (F.col("status") == 200).alias("ready"),
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -15,16 +15,26 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Keyed stream state lives off-heap and is checkpointed as a change log.
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+# Keyed stream state lives off-heap and is checkpointed as a change log.
+STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
 }
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Custom keyed state needs this store; set it on sessions that were built elsewhere."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
 def get_session(app: str = "servelens", master: str | None = None, **conf) -> SparkSession:
     """Build (or reuse) a session; ``conf`` overrides the defaults.
 
@@ -33,22 +43,18 @@ def get_session(app: str = "servelens", master: str | None = None, **conf) -> Sp
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**DEFAULTS, **STATE_STORE, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_servelens_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        str(Path(tempfile.mkdtemp(prefix="servelens-")) / "servelens"), "zip", root.parent, root.name
-    )
-    context.addPyFile(archive)
-    context._servelens_shipped = True
+    """Send this package's functions with the jobs that use them.
+
+    Needed where executors (or the stream driver's helper process) do not have it installed;
+    with ``--py-files`` or an installed package it changes nothing.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["servelens"])
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:

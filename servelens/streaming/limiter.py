@@ -14,7 +14,7 @@ from servelens.operators.quota import (
     WINDOW_MS,
     carry_buckets,
     decide,
-    match_quota_rule,
+    match_and_size,
     rank_requests,
     rules_asof,
 )
@@ -57,8 +57,8 @@ class StreamLimiter:
         spark = batch.sparkSession
         versions, rules = self.rules(spark)
         carried = self.carried(spark, epoch)
-        matched = match_quota_rule(rules_asof(batch, versions), rules, version="version")
-        placed = rank_requests(matched, self.window_ms, carried=carried)
+        matched, few = match_and_size(rules_asof(batch, versions), rules, version="version")
+        placed = rank_requests(matched, self.window_ms, few_buckets=few, carried=carried)
         target = f"{self.out_dir}/epoch-{epoch}"
         decide(placed, self.window_ms).write.mode("overwrite").parquet(target)
         written = spark.read.parquet(target)

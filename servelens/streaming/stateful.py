@@ -27,6 +27,7 @@ from servelens.operators.state import (
     recommendation_rows,
     transition_rows,
 )
+from servelens.session import use_state_store
 
 WARMUP_SCHEMA = "container_id string, start_ms bigint, verdict string, took_ms bigint"
 
@@ -63,6 +64,7 @@ def stream_breaker(
     probes: DataFrame, threshold: int = FAILURE_THRESHOLD, reset_ms: int = RESET_MS
 ) -> DataFrame:
     """Breaker transitions per host of a probe stream."""
+    use_state_store(probes.sparkSession)
     return (
         probes.select("host", "ts_ms", "event_id", "ready")
         .groupBy("host")
@@ -97,6 +99,7 @@ def stream_scaling(
     signal: DataFrame, initial_target: int = MIN_CONTAINERS, limits: ScalingLimits | None = None
 ) -> DataFrame:
     """Scale recommendations per deployment of a load-signal stream (one row per tick)."""
+    use_state_store(signal.sparkSession)
     return (
         signal.select("deployment", "tick", "ts_ms", "load")
         .groupBy("deployment")
@@ -149,6 +152,7 @@ def _warmups(rows: list[tuple]) -> pd.DataFrame:
 
 def stream_readiness(events: DataFrame, timeout_ms: int) -> DataFrame:
     """Warm-up verdicts per container start; ``events`` carries a watermark on ``event_time``."""
+    use_state_store(events.sparkSession)
     return (
         events.select("container_id", "event", "ts_ms", "event_time")
         .groupBy("container_id")
