@@ -85,27 +85,32 @@ def granted(
     The caller comes back as ``__who``, the null-free text of user and groups.
     """
     rules = keyed_grants(grants).filter(F.col("access") == access).drop("access")
-    callers = asks.select(_text_key(user, groups).alias("__who"), user, groups)
-    who = callers.distinct().select("__who", F.explode(principals(user, groups)).alias("__p"))
-    what = (
+    caller = _text_key(user, groups).alias("__who")
+    calls = asks.select(caller, resource).distinct()
+    # Which patterns cover which resource is settled on distinct names before callers come in.
+    covers = (
         asks.select(resource)
         .distinct()
         .withColumn("__prefix", F.explode(resource_prefixes(resource)))
-    )
-    # Which patterns cover which resource is settled on distinct values before callers come in.
-    patterns = rules.select("__prefix", "__like").distinct()
-    covers = (
-        what.join(patterns, "__prefix")
+        .join(rules.select("__prefix", "__like").distinct(), "__prefix")
         .filter(F.like(F.lower(resource), F.col("__like")))
         .select(resource, "__like")
     )
-    held = who.join(rules.select("__p", "__like"), "__p").select("__who", "__like").distinct()
-    return (
-        asks.select(_text_key(user, groups).alias("__who"), resource)
+    # What everyone may use needs no caller; the rest meets on the caller, whose share is small.
+    for_all = rules.filter(F.col("__p") == EVERYONE).select("__like")
+    open_names = covers.join(for_all, "__like", "left_semi").select(resource).distinct()
+    held = (
+        asks.select(caller, F.explode(principals(user, groups)).alias("__p"))
         .distinct()
-        .join(covers, resource)
-        .join(held, ["__who", "__like"], "left_semi")
-        .select("__who", resource)
+        .filter(F.col("__p") != EVERYONE)
+        .join(rules.select("__p", "__like"), "__p")
+        .select("__who", "__like")
+        .distinct()
+    )
+    own = calls.join(held, "__who").join(covers, [resource, "__like"], "left_semi")
+    return (
+        own.select("__who", resource)
+        .unionByName(calls.join(open_names, resource, "left_semi").select("__who", resource))
         .distinct()
     )
 

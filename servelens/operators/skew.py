@@ -120,9 +120,14 @@ def top_n_per_key(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    totals: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Nearest-rank quantiles of a non-negative integer column, one column per entry of ``probs``.
+    """Nearest-rank quantiles of a non-negative integer column, one column per entry of ``probs``;
+    with ``totals`` also the number of values and their sum under these names.
 
     Rows are combined to counts per (key, value) before the shuffle. A first pass finds the
     logarithmic bin each rank falls in, a second orders only the distinct values of that bin.
@@ -166,6 +171,13 @@ def exact_quantiles(
         .withColumn("__run", F.sum("__n").over(inside))
         .filter(F.col("__run") >= F.col("__need"))
     )
-    return picked.groupBy(*keys).agg(
+    out = picked.groupBy(*keys).agg(
         *[F.min(F.when(F.col("__name") == n, F.col(value))).alias(n) for n in probs]
     )
+    if totals is None:
+        return out
+    # Taken from the same counts, so the input is not read again.
+    sums = counts.groupBy(*keys).agg(
+        F.sum("__n").alias(totals[0]), F.sum(F.col("__n") * F.col(value)).alias(totals[1])
+    )
+    return sums.join(out, list(keys))

@@ -29,13 +29,13 @@ def proxy_overhead(spans: DataFrame) -> DataFrame:
     joined = server.join(client, ["trace_id", "span_id"]).withColumn(
         "overhead_us", F.greatest(F.col("server_us") - F.col("client_us"), F.lit(0))
     )
-    totals = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("overhead_us").alias("overhead_sum_us")
+    return exact_quantiles(
+        joined,
+        keys,
+        "overhead_us",
+        {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99},
+        totals=("calls", "overhead_sum_us"),
     )
-    quantiles = exact_quantiles(
-        joined, keys, "overhead_us", {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}
-    )
-    return totals.join(quantiles, keys)
 
 
 def correlate_logs(logs: DataFrame, spans: DataFrame) -> DataFrame:
