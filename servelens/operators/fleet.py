@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from servelens.functions.load import normalised_load
 from servelens.operators.metrics import last_n
-from servelens.operators.skew import order_key, sliced_row_number
+from servelens.operators.skew import asof_last, order_key, sliced_row_number
 
 # Metric families read from scrapes and limits.
 GPU_UTILIZATION = "nv_gpu_utilization"
@@ -227,70 +226,32 @@ def drain_verdicts(
 ) -> DataFrame:
     """Whether each drain (container_id, drain_id, drain_ms) reached depth 0 before its deadline.
 
-    A container without a reading counts as empty. Drains are turned into the readings' time
-    grid of deadline length, so the range condition becomes two equi-join cells per drain.
+    A container without a reading counts as empty. Two points per drain are looked up in the
+    readings: the depth in force when it begins, and at the deadline the depth in force together
+    with the time of the last empty reading.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(timeout_ms)).cast("bigint")
-    spread = drains.withColumn(
-        "__cell", F.explode(F.array(cell("drain_ms"), cell("drain_ms") + 1))
-    )
     marks = depth.select(
-        "container_id", F.col("ts_ms").alias("__ts"), "depth", "event_id", cell("ts_ms").alias("__cell")
-    )
-    inside = spread.join(marks, ["container_id", "__cell"]).filter(
-        (F.col("__ts") >= F.col("drain_ms")) & (F.col("__ts") < F.col("drain_ms") + timeout_ms)
-    )
-    seen = inside.groupBy("container_id", "drain_id").agg(
-        F.max_by("depth", order_key("__ts", "event_id")).alias("__last"),
-        F.min("depth").alias("__lowest"),
-    )
-    # The depth in force when the drain began matters until the first later reading.
-    entry = _depth_before(drains, depth)
-    start = F.coalesce("entry_depth", F.lit(0))
-    remaining = F.when(
-        (start <= 0) | (F.coalesce("__lowest", F.lit(1)) <= 0), F.lit(0)
-    ).otherwise(F.coalesce("__last", start))
-    return (
-        drains.join(entry, ["container_id", "drain_id"], "left")
-        .join(seen, ["container_id", "drain_id"], "left")
-        .select(
-            "container_id", "drain_id", "drain_ms",
-            F.when(remaining > 0, "drain_timeout").otherwise("drained").alias("verdict"),
-            remaining.cast("int").alias("remaining"),
-        )
-    )
-
-
-def _depth_before(drains: DataFrame, depth: DataFrame, slice_ms: int = 3_600_000) -> DataFrame:
-    """Latest depth at or before each drain: readings and drains in one ordered union, carried
-    forward inside time slices and then over the slice summaries."""
-    none_int = F.lit(None).cast("int")
-    none_long = F.lit(None).cast("bigint")
-    union = depth.select(
-        "container_id", "ts_ms", F.lit(0).alias("side"), "event_id", "depth", none_long.alias("drain_id")
-    ).unionByName(
-        drains.select(
-            "container_id", F.col("drain_ms").alias("ts_ms"), F.lit(1).alias("side"),
-            F.col("drain_id").alias("event_id"), none_int.alias("depth"), "drain_id",
-        )
-    ).withColumn("__slice", F.floor(F.col("ts_ms") / F.lit(slice_ms)).cast("bigint"))
-    parts = ["container_id", "__slice"]
-    inner = W.partitionBy(*parts).orderBy("ts_ms", "side", "event_id")
-    per_slice = union.groupBy(*parts).agg(
-        F.max_by("depth", F.when(F.col("depth").isNotNull(), order_key("ts_ms", "event_id"))).alias("__last")
-    )
-    carry = W.partitionBy("container_id").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_slice.select(
-        *parts, F.last("__last", ignorenulls=True).over(carry).alias("__carry")
-    )
-    held = F.last("depth", ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, 0))
-    return (
-        union.withColumn("__held", held)
-        .filter(F.col("side") == 1)
-        .join(carried, parts)
-        .select(
-            "container_id", "drain_id", F.coalesce("__held", "__carry").alias("entry_depth")
-        )
+        "container_id", "ts_ms", "event_id", "depth",
+        F.when(F.col("depth") <= 0, F.col("ts_ms")).alias("empty_ms"),
+    )
+    ends = F.array(
+        F.struct(F.col("drain_ms").alias("ts_ms"), F.lit(True).alias("inclusive")),
+        F.struct((F.col("drain_ms") + timeout_ms).alias("ts_ms"), F.lit(False).alias("inclusive")),
+    )
+    points = drains.select("container_id", "drain_id", "drain_ms", F.inline(ends))
+    looked_up = asof_last(marks, points, ["container_id"], ["depth", "empty_ms"])
+    begins = F.col("ts_ms") == F.col("drain_ms")
+    both = looked_up.groupBy("container_id", "drain_id", "drain_ms").agg(
+        F.max(F.when(begins, F.col("depth"))).alias("__entry"),
+        F.max(F.when(~begins, F.col("depth"))).alias("__final"),
+        F.max(F.when(~begins, F.col("empty_ms"))).alias("__empty"),
+    )
+    emptied = (F.coalesce("__entry", F.lit(0)) <= 0) | (F.col("__empty") >= F.col("drain_ms"))
+    remaining = F.when(emptied, F.lit(0)).otherwise(F.col("__final"))
+    return both.select(
+        "container_id", "drain_id", "drain_ms",
+        F.when(remaining > 0, "drain_timeout").otherwise("drained").alias("verdict"),
+        remaining.cast("int").alias("remaining"),
     )
 
 

@@ -170,7 +170,7 @@ def _with_bucket(df: DataFrame, version: str | None) -> DataFrame:
 def rank_requests(
     requests: DataFrame,
     window_ms: int = WINDOW_MS,
-    slice_ms: int = 1000,
+    slice_ms: int | None = None,
     ts_ms: str = "ts_ms",
     row_id: str = "request_id",
     few_buckets: bool = False,
@@ -181,7 +181,9 @@ def rank_requests(
     Adds ``window_start_ms, place, capacity, late``. A bucket's windows start at its first request,
     whose rule sets the capacity. ``carried`` (bucket, first_ms, capacity, window_start_ms, used)
     continues buckets from earlier batches; a request of a window before the carried one is late.
+    A window is ranked in about a thousand slices of at least a second, or in ``slice_ms`` ones.
     """
+    slice_ms = slice_ms or max(1000, window_ms // 1024)
     first_seen = F.min(order_key(ts_ms, row_id))
     fresh = (
         requests.filter(F.col("bucket").isNotNull())
@@ -260,7 +262,7 @@ def decide(placed: DataFrame, window_ms: int = WINDOW_MS, ts_ms: str = "ts_ms")
 def rate_limit(
     requests: DataFrame,
     window_ms: int = WINDOW_MS,
-    slice_ms: int = 1000,
+    slice_ms: int | None = None,
     ts_ms: str = "ts_ms",
     row_id: str = "request_id",
     few_buckets: bool = False,
@@ -294,7 +296,7 @@ def carry_buckets(placed: DataFrame, carried: DataFrame | None = None) -> DataFr
 
 def quota_decisions(
     requests: DataFrame, rules: DataFrame, window_ms: int = WINDOW_MS, version: str | None = None,
-    slice_ms: int = 1000,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """Match and limit in one call."""
     matched, few = match_and_size(requests, rules, version=version)

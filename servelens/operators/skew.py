@@ -101,6 +101,64 @@ def sliced_lag(
     return out.drop("__slice", "__carry", "__first")
 
 
+def asof_last(
+    marks: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    ts_ms: str = "ts_ms",
+    row_id: str = "event_id",
+    slice_ms: int = 3_600_000,
+) -> DataFrame:
+    """For each point (keys, ts_ms, inclusive, ...) the last non-null ``values`` of the marks
+    (keys, ts_ms, row_id, values) before it; ``inclusive`` points also see marks of their own time.
+
+    Marks and points are merged in time order and values carried forward, inside slices and then
+    over one summary row per slice: no pair of a point and a mark is ever formed.
+    """
+    rest = [c for c in points.columns if c not in (*keys, ts_ms, "inclusive")]
+    kinds = {v: marks.schema[v].dataType for v in values}
+    no_point = F.lit(None).cast(points.select(F.struct(*rest).alias("p")).schema["p"].dataType)
+    merged = (
+        marks.select(
+            *keys, ts_ms, F.lit(1).alias("__side"), F.col(row_id).alias("__id"), *values,
+            no_point.alias("__point"),
+        )
+        .unionByName(
+            points.select(
+                *keys, ts_ms, F.when(F.col("inclusive"), 2).otherwise(0).alias("__side"),
+                F.lit(0).cast("bigint").alias("__id"),
+                *[F.lit(None).cast(k).alias(v) for v, k in kinds.items()],
+                F.struct(*rest).alias("__point"),
+            )
+        )
+        .withColumn("__slice", time_slice(ts_ms, slice_ms))
+    )
+    parts = [*keys, "__slice"]
+    at = order_key(ts_ms, "__id")
+    summary = merged.groupBy(*parts).agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), at)).alias(v) for v in values]
+    )
+    earlier = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = summary.select(
+        *parts, *[F.last(v, ignorenulls=True).over(earlier).alias(f"__c_{v}") for v in values]
+    )
+    inner = (
+        W.partitionBy(*parts)
+        .orderBy(ts_ms, "__side", "__id")
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    held = merged.withColumns(
+        {f"__h_{v}": F.last(v, ignorenulls=True).over(inner) for v in values}
+    ).filter(F.col("__side") != 1)
+    return held.join(carried, parts).select(
+        *keys,
+        ts_ms,
+        *[F.col(f"__point.{c}").alias(c) for c in rest],
+        *[F.coalesce(f"__h_{v}", f"__c_{v}").alias(v) for v in values],
+    )
+
+
 def top_n_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, row_id: Sequence[str]
 ) -> DataFrame:

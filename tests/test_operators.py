@@ -360,3 +360,16 @@ def test_scoring_routes_by_base(spark):
     for salts in (None, 4):
         out = scoring.score_routed(df, models, "model", "x", cluster_salts=salts, row_id="id")
         assert {r["id"]: r["score"] for r in out.collect()} == {1: [3.0, 6.0], 2: [1.0, 1.0], 3: None}
+
+
+def test_asof_equals_scan(spark):
+    rng = random.Random(11)
+    marks = [(rng.choice("hhhab"), rng.randrange(0, 5000), i, rng.choice([None, 0, 1, 2])) for i in range(500)]
+    points = [(rng.choice("hhabz"), rng.randrange(0, 5000), rng.random() < 0.5, i) for i in range(300)]
+    m = spark.createDataFrame(marks, "k string, ts_ms long, event_id long, v int")
+    p = spark.createDataFrame(points, "k string, ts_ms long, inclusive boolean, pid long")
+    out = {r["pid"]: r["v"] for r in skew.asof_last(m, p, ["k"], ["v"], slice_ms=300).collect()}
+    for k, ts, inclusive, pid in points:
+        seen = [x for x in marks if x[0] == k and x[3] is not None and (x[1] < ts or (inclusive and x[1] == ts))]
+        assert out[pid] == (max(seen, key=lambda x: (x[1], x[2]))[3] if seen else None)
+    assert len(out) == len(points)
