@@ -173,20 +173,27 @@ def model_scorecard(requests: DataFrame, keys: Sequence[str] = ("model",)) -> Da
 
 def shadow_compare(requests: DataFrame) -> DataFrame:
     """Primary against mirrored traffic, side by side per model, with shadow minus primary."""
-    card = model_scorecard(requests)
     is_shadow = F.startswith(F.col("model"), F.lit(SHADOW_PREFIX))
-    measures = ["requests", "error_rate", "p50_us", "p95_us", "p99_us"]
-    primary = card.filter(~is_shadow).select(
-        "model", *[F.col(m).alias(f"primary_{m}") for m in measures]
+    name = F.when(is_shadow, F.substring("model", len(SHADOW_PREFIX) + 1, 1 << 20)).otherwise(
+        F.col("model")
     )
-    shadow = card.filter(is_shadow).select(
-        F.substring("model", len(SHADOW_PREFIX) + 1, 1 << 20).alias("model"),
-        *[F.col(m).alias(f"shadow_{m}") for m in measures],
+    measures = ["requests", "error_rate", "p50_us", "p95_us", "p99_us"]
+    sides = {"primary": ~is_shadow, "shadow": is_shadow}
+    paired = (
+        model_scorecard(requests)
+        .groupBy(name.alias("model"))
+        .agg(
+            *[
+                F.max(F.when(cond, F.col(m))).alias(f"{side}_{m}")
+                for side, cond in sides.items()
+                for m in measures
+            ]
+        )
     )
     deltas = [
         (F.col(f"shadow_{m}") - F.col(f"primary_{m}")).alias(f"delta_{m}") for m in measures[1:]
     ]
-    return primary.join(shadow, "model", "full_outer").select("*", *deltas)
+    return paired.select("*", *deltas)
 
 
 def latest_per_key(

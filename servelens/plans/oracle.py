@@ -1074,6 +1074,54 @@ ORACLE["instance_list"] = req(
     "SELECT concat(host, ':8000') AS value FROM live WHERE event = 'registered'", LIFECYCLE, ROSTER
 )
 
+ORACLE["fleet_exposition"] = req(
+    """,
+latest AS (
+  SELECT container_id, host, max_by(gpu_load, scrape_id) AS gpu_load,
+    max_by(queue_depth, scrape_id) AS queue_depth FROM loads GROUP BY 1, 2
+),
+started AS (
+  SELECT container_id, max(ts_ms) FILTER (event = 'ready') - max(ts_ms) FILTER (event = 'start')
+    AS startup_ms FROM life GROUP BY 1
+),
+gpu AS (
+  SELECT host, request_id, unnest(['0', '1', '0']) AS gpu,
+    unnest(['utilization', 'utilization', 'memory_used_bytes']) AS metric,
+    unnest([concat(k, '.5'), CAST(request_id % 100 AS VARCHAR),
+            CAST(completion_tokens * 1000 AS VARCHAR)]) AS value
+  FROM requests_v WHERE k % 10 NOT IN (7, 8)
+),
+newest AS (SELECT * FROM failures ORDER BY ts_ms DESC, alert_id DESC LIMIT 100),
+label AS (SELECT *, concat('{container_id="', container_id, '",host="', host, '"}') AS l FROM latest)
+SELECT concat('container_load', l, ' ', CAST(gpu_load AS VARCHAR)) AS line FROM label
+UNION ALL SELECT concat('container_queue_depth', l, ' ', queue_depth) FROM label
+UNION ALL SELECT concat('container_startup_ms{container_id="', container_id, '"} ', startup_ms)
+  FROM latest JOIN started USING (container_id) WHERE startup_ms IS NOT NULL
+UNION ALL SELECT concat('gpu_', metric, '{container_id="', replace(host, 'host-', 'container_'),
+    '",host="', host, '",gpu="', gpu, '"} ', max_by(value, request_id))
+  FROM gpu GROUP BY host, gpu, metric
+UNION ALL SELECT 'target_containers 8'
+UNION ALL SELECT concat('running_containers ', count(*)) FROM latest
+UNION ALL SELECT concat('queue_depth_total ', CAST(sum(queue_depth) AS BIGINT)) FROM latest
+UNION ALL SELECT concat('alerts_total ', count(*)) FROM newest
+UNION ALL SELECT concat('container_failures_total ', count(*)) FROM newest
+UNION ALL SELECT 'scaling_events_total 0'
+UNION ALL SELECT concat('# ', unnest(['HELP', 'TYPE']), ' ', f, ' ', unnest([h, t])) FROM (VALUES
+  ('target_containers', 'gauge', 'Target number of containers'),
+  ('running_containers', 'gauge', 'Current number of running containers'),
+  ('queue_depth_total', 'gauge', 'Total queue depth across all containers'),
+  ('container_startup_ms', 'gauge', 'Container startup time in milliseconds'),
+  ('alerts_total', 'counter', 'Total number of alerts'),
+  ('container_failures_total', 'counter', 'Total container failures'),
+  ('scaling_events_total', 'counter', 'Total scaling events')) AS x(f, t, h)
+WHERE f <> 'container_startup_ms' OR EXISTS (
+  SELECT 1 FROM latest JOIN started USING (container_id) WHERE startup_ms IS NOT NULL)
+""",
+    LOADS,
+    LIFECYCLE,
+    FAILURES,
+)
+
 # --- state and lifecycle -----------------------------------------------------------------------
 
 ORACLE["breaker_transitions"] = req(

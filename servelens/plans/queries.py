@@ -711,7 +711,32 @@ def to_exposition(spark, sf):
         .unionByName(sinks.scorecard_metrics(metrics.model_scorecard(f)))
         .unionByName(sinks.token_metrics(tokens.token_chargeback(V.usage(spark, sf))))
     )
-    return sinks.to_exposition(rows, prefix="fleet_").select("line")
+    return sinks.to_exposition(stage(rows, "metrics"), prefix="fleet_").select("line")
+
+
+@query
+def fleet_exposition(spark, sf):
+    """Container, GPU, fleet and alert families from scrapes and lifecycle events."""
+    pages, events = V.scrapes(spark, sf), V.container_events(spark, sf)
+    loads = _loads(spark, sf)
+    latest = loads.groupBy("container_id", "host").agg(
+        F.max_by("gpu_load", F.col("scrape_id")).alias("gpu_load"),
+        F.max_by("queue_depth", F.col("scrape_id")).alias("queue_depth"),
+    )
+    started = fleet.startup_times(events).select("container_id", "startup_ms")
+    gpus = fleet.gpu_table(telemetry.parse_exposition(pages, [fleet.GPU_FAMILY]))
+    totals = latest.agg(
+        F.lit(8).alias("target"), F.count(F.lit(1)).alias("running"),
+        F.sum("queue_depth").alias("queue_depth"),
+    )
+    rows = (
+        sinks.container_metrics(latest.join(started, "container_id", "left"))
+        .unionByName(sinks.gpu_metrics(gpus.withColumn("container_id", F.replace(
+            "host", F.lit("host-"), F.lit("container_")))))
+        .unionByName(sinks.fleet_metrics(totals))
+        .unionByName(sinks.alert_metrics(fleet.alert_rollup(_alerts(spark, sf))))
+    )
+    return sinks.to_exposition(stage(rows, "fleet-metrics")).select("line")
 
 
 @query

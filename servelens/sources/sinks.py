@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +29,26 @@ FAMILIES = {
 }
 
 
-def metric_rows(df: DataFrame, name: str | Column, value: Column, **labels: Column) -> DataFrame:
-    """Long-form metric rows (metric, labels, value) with labels in the order given."""
-    metric = F.lit(name) if isinstance(name, str) else name
+def metric(name: str | Column, value: Column, **labels: Column) -> Column:
+    """struct(metric, labels, value) with the labels in the order given; null for a null value."""
     pairs = [
         F.concat(F.lit(f'{k}="'), escape_label(v), F.lit('"')) for k, v in labels.items()
     ]
     text = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if pairs else F.lit("")
-    return df.select(metric.alias("metric"), text.alias("labels"), value.cast("string").alias("value"))
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            (F.lit(name) if isinstance(name, str) else name).alias("metric"),
+            text.alias("labels"),
+            value.cast("string").alias("value"),
+        ),
+    )
+
+
+def metric_rows(df: DataFrame, *metrics: Column) -> DataFrame:
+    """Long-form rows (metric, labels, value) of the non-null metrics, in one pass over ``df``."""
+    present = F.filter(F.array(*metrics), lambda m: m.isNotNull())
+    return df.select(F.inline(present))
 
 
 def escape_label(col: Column | str) -> Column:
@@ -50,54 +60,90 @@ def escape_label(col: Column | str) -> Column:
 def histogram_metrics(histogram: DataFrame) -> DataFrame:
     """Bucket, sum and count rows from the long histogram."""
     name = "inference_latency_seconds"
-    model = F.col("model")
-    buckets = metric_rows(
-        histogram, f"{name}_bucket", F.col("cum_count"), model=model, le=F.col("le")
+    model, last = F.col("model"), F.col("le") == "+Inf"
+    return metric_rows(
+        histogram,
+        metric(f"{name}_bucket", F.col("cum_count"), model=model, le=F.col("le")),
+        metric(f"{name}_sum", F.when(last, F.col("sum_us") / 1_000_000), model=model),
+        metric(f"{name}_count", F.when(last, F.col("count")), model=model),
     )
-    totals = histogram.filter(F.col("le") == "+Inf")
-    sums = metric_rows(totals, f"{name}_sum", F.col("sum_us") / 1_000_000, model=model)
-    counts = metric_rows(totals, f"{name}_count", F.col("count"), model=model)
-    return buckets.unionByName(sums).unionByName(counts)
 
 
 def scorecard_metrics(card: DataFrame) -> DataFrame:
     """Percentile, request-count and error-rate rows from the scorecard."""
-    model = F.col("model")
-    parts = [
-        metric_rows(
-            card, f"inference_latency_{p}_ms", F.col(f"{p}_us") / 1000, model=model
-        )
-        for p in PERCENTILES
-    ]
-    total = "inference_requests_total"
+    model, total = F.col("model"), "inference_requests_total"
     success = F.greatest(F.lit(0), F.col("requests") - F.col("errors"))
-    parts.append(metric_rows(card, total, success, model=model, status=F.lit("success")))
-    parts.append(metric_rows(card, total, F.col("errors"), model=model, status=F.lit("error")))
-    parts.append(metric_rows(card, "model_error_rate", F.col("error_rate"), model=model))
-    return reduce(DataFrame.unionByName, parts)
+    return metric_rows(
+        card,
+        *[
+            metric(f"inference_latency_{p}_ms", F.col(f"{p}_us") / 1000, model=model)
+            for p in PERCENTILES
+        ],
+        metric(total, success, model=model, status=F.lit("success")),
+        metric(total, F.col("errors"), model=model, status=F.lit("error")),
+        metric("model_error_rate", F.col("error_rate"), model=model),
+    )
 
 
 def token_metrics(chargeback: DataFrame) -> DataFrame:
     who = {"user": F.col("user_name"), "model": F.col("model")}
-    spent = lambda c: chargeback.filter(F.col(c) > 0)
-    return metric_rows(spent("tokens_in"), "tokens_in_total", F.col("tokens_in"), **who).unionByName(
-        metric_rows(spent("tokens_out"), "tokens_out_total", F.col("tokens_out"), **who)
+    spent = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return metric_rows(
+        chargeback,
+        metric("tokens_in_total", spent("tokens_in"), **who),
+        metric("tokens_out_total", spent("tokens_out"), **who),
     )
 
 
 def container_metrics(loads: DataFrame) -> DataFrame:
-    """Load and depth per container; ``loads`` is the latest reading of each."""
+    """Load, depth and start-up time per container; ``loads`` is the latest reading of each, with
+    ``startup_ms`` null where it is not known."""
     at = {"container_id": F.col("container_id"), "host": F.col("host")}
-    return metric_rows(loads, "container_load", F.col("gpu_load"), **at).unionByName(
-        metric_rows(loads, "container_queue_depth", F.col("queue_depth"), **at)
+    return metric_rows(
+        loads,
+        metric("container_load", F.col("gpu_load"), **at),
+        metric("container_startup_ms", F.col("startup_ms"), container_id=F.col("container_id")),
+        metric("container_queue_depth", F.col("queue_depth"), **at),
+    )
+
+
+def gpu_metrics(gpus: DataFrame) -> DataFrame:
+    """One row per GPU metric of (container_id, host, gpu, metrics map)."""
+    rows = gpus.select("container_id", "host", "gpu", F.explode("metrics").alias("name", "text"))
+    return metric_rows(
+        rows,
+        metric(
+            F.concat(F.lit("gpu_"), F.col("name")), F.col("text"),
+            container_id=F.col("container_id"), host=F.col("host"), gpu=F.col("gpu"),
+        ),
+    )
+
+
+def fleet_metrics(fleet: DataFrame) -> DataFrame:
+    """Fleet gauges of one row (target, running, queue_depth)."""
+    return metric_rows(
+        fleet,
+        metric("target_containers", F.col("target")),
+        metric("running_containers", F.col("running")),
+        metric("queue_depth_total", F.col("queue_depth")),
+    )
+
+
+def alert_metrics(rollup: DataFrame) -> DataFrame:
+    """Alert counters over the newest alerts, from the ``recent`` row of the roll-up."""
+    return metric_rows(
+        rollup.filter(F.col("scope") == "recent"),
+        metric("alerts_total", F.col("alerts")),
+        metric("container_failures_total", F.col("container_failures")),
+        metric("scaling_events_total", F.col("scaling_events")),
     )
 
 
 def to_exposition(metrics: DataFrame, prefix: str = "") -> DataFrame:
     """Metric rows -> text lines with HELP and TYPE ahead of each family.
 
-    Columns: ``family_ord`` and ``metric`` give the order, ``line`` the text. Sort by
-    (family_ord, part, line) when writing one file; separate files need no order.
+    Sorting by (family_ord, part, line) gives the exposition order. The rows are read twice, for
+    samples and for families: stage them first, they are few.
     """
     base = F.regexp_replace(F.col("metric"), "^(inference_latency_seconds)_(bucket|sum|count)$", "$1")
     known = list(FAMILIES)

@@ -56,7 +56,7 @@ def test_exposition_out(spark, tmp_path):
     parts = sinks.histogram_metrics(metrics.latency_histogram(df)).unionByName(
         sinks.scorecard_metrics(metrics.model_scorecard(df))
     )
-    odd = sinks.metric_rows(spark.range(1), "custom", F.lit(1), who=F.lit('a"b\\c'))
+    odd = sinks.metric_rows(spark.range(1), sinks.metric("custom", F.lit(1), who=F.lit('a"b\\c')))
     path = str(tmp_path / "metrics")
     sinks.write_exposition(sinks.to_exposition(parts.unionByName(odd), "x_"), path)
     lines = [r["value"] for r in spark.read.text(path).collect()]
