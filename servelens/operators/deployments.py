@@ -64,9 +64,10 @@ def allocate_replicas(deployments: DataFrame, key: str = "name") -> DataFrame:
         F.slice("__order", F.lit(1), F.greatest(F.col("__left"), F.lit(0)).cast("int")),
         lambda x: F.when(~x["off"], x["pos"]),
     )
+    # The outer form keeps the optimiser from testing (and so parsing) the array a second time.
     exploded = ranked.withColumn("__winners", winners).select(
-        key, "__total", "__floors", "__winners", F.posexplode("traffic").alias("pos", "v")
-    )
+        key, "__total", "__floors", "__winners", F.posexplode_outer("traffic").alias("pos", "v")
+    ).filter(F.col("pos").isNotNull())
     extra = F.coalesce(F.array_contains("__winners", F.col("pos")), F.lit(False))
     return exploded.select(
         key,
@@ -86,8 +87,8 @@ def effective_variants(deployments: DataFrame) -> DataFrame:
         F.nullif(F.col(f"v.{field}"), F.lit("")), F.col(base)
     )
     return deployments.select(
-        "name", "image", "model_repository", F.posexplode("traffic").alias("pos", "v")
-    ).select(
+        "name", "image", "model_repository", F.posexplode_outer("traffic").alias("pos", "v")
+    ).filter(F.col("pos").isNotNull()).select(
         "name",
         "pos",
         F.col("v.name").alias("variant"),
