@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -57,10 +60,25 @@ def ship_package(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(sys.modules["servelens"])
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    In local mode, where there is one machine only, a temporary folder takes its place if it is
+    unset; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="servelens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root.rstrip("/")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="servelens-")
-    return f"{root.rstrip('/')}/servelens/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/servelens/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
