@@ -58,10 +58,11 @@ def targets(
         .withColumn("cap", cap)
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("level", level)
+        .withColumn("turn", F.row_number().over(by_ratio))
         .withColumn("free", F.col("ratio") > F.col("level"))
         # The first source that isn't stopped by its cap sets the level of all behind it.
         .withColumn(
-            "common", F.min(F.when(F.col("free"), F.struct("ratio", "level"))).over(everything)
+            "common", F.min(F.when(F.col("free"), F.struct("turn", "level"))).over(everything)
         )
     )
     return leveled.select(

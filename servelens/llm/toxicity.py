@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Training counts every word, and every word's first letters, in toxic and other labelled documents.
-A word's log-odds has the log-odds of its first letters as Dirichlet prior, which itself has the
-corpus-wide rate as prior, so rare and unseen forms lean on their stem. Less a fixed cost per word,
+Training counts every word, and every word's first 3 to 7 letters, in toxic and other labelled
+documents. A word's log-odds has the log-odds of its first letters as Dirichlet prior, these that of
+one letter less, and so on, so rare and unseen forms lean on their stem. Less a fixed cost per word,
 these scores have a negative mean, and one linear scan finds all maximal scoring segments of a
 text: the disjoint segments that no extension improves. How high the best segment of an ordinary
 text comes is a matter of extreme values: their distribution is fitted to the other labelled
@@ -16,12 +16,13 @@ import math
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servelens.llm.common import map_rows, pick, text_bytes
@@ -29,68 +30,66 @@ from servelens.llm.labels import bounded_sample, held_out, training_rows
 from servelens.worker import per_worker
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Table sizes: words and stems are counted in as many places, whatever the vocabulary.
-WORD_PLACES, STEM_PLACES, STEM = 1 << 18, 1 << 16, 4
-PRIOR_WORD, PRIOR_STEM = 4.0, 40.0
+#: A word is counted whole and by its first letters, each in a table of fixed size: (letters, places,
+#: prior occurrences at the log-odds of the level before).
+LEVELS = ((3, 1 << 14, 40.0), (4, 1 << 16, 20.0), (5, 1 << 16, 10.0), (6, 1 << 17, 6.0), (7, 1 << 17, 4.0), (None, 1 << 18, 3.0))
+OFFSETS = tuple(sum(size for _, size, _ in LEVELS[:k]) for k in range(len(LEVELS)))
+PLACES = sum(size for _, size, _ in LEVELS)
 #: Cost of a word in nats: log-odds below it do not pay for an extension.
 COST = 1.0
 #: Chance, per text, that an ordinary text has a segment this high.
-SIGNIFICANT = 0.01
+SIGNIFICANT = 0.1
+LEAST = -math.log10(SIGNIFICANT)
+#: Segments of a fitted document whose scores go to the driver, best first.
+SENT = 32
+#: Counts by half and class.
+COUNTS = ("n00", "n01", "n10", "n11")
 #: Most labelled documents that the curves are fitted to (counts use all of them).
 FITTED = 20_000
 
 
-def place(word: str, places: int) -> int:
-    return zlib.crc32(word.encode()) % places
+def places_of(word: str) -> list[int]:
+    """The places of a word's beginnings and of itself, general to special."""
+    return [
+        offset + zlib.crc32(word[:letters].encode()) % size
+        for offset, (letters, size, _) in zip(OFFSETS, LEVELS)
+    ]
 
 
-class Places:
-    """Word to its places, remembering up to ``most`` words."""
+def half_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(2)).cast("int")
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
-        self.known: dict[str, tuple[int, int]] = {}
 
-    def of(self, words: list[str]) -> list[tuple[int, int]]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = (place(w, WORD_PLACES), place(w[:STEM], STEM_PLACES))
-        return [known[w] for w in words]
+def count_words(rows: DataFrame) -> np.ndarray:
+    """Texts that hold a word by (half, class, place) in ``rows(text, y, half)``.
 
-
-def count_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences per class (0, 1) and place of words and of stems in ``rows(text, y)``.
-
-    Each task sums its rows into arrays of fixed size, so at most that many rows per task are
+    Each task sums its rows into an array of fixed size, so at most that many rows per task are
     shuffled, and the result on the driver is bounded by the table sizes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places()
-        sums = np.zeros((2, WORD_PLACES + STEM_PLACES), np.int64)
+        sums = np.zeros((4, PLACES), np.int64)
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs = places.of(TOKEN.findall(text.decode().lower()))
-                if pairs:
-                    at = np.array(pairs)
-                    np.add.at(sums[y], at[:, 0], 1)
-                    np.add.at(sums[y], WORD_PLACES + at[:, 1], 1)
+            words: list[Counter] = [Counter() for _ in COUNTS]
+            for text, y, half in zip(*(c.to_pylist() for c in batch.columns)):
+                words[2 * half + y].update(set(TOKEN.findall(text.decode().lower())))
+            for row, counter in zip(sums, words):
+                if counter:
+                    at = np.array([places_of(w) for w in counter])
+                    times = np.repeat(np.fromiter(counter.values(), np.int64), len(LEVELS))
+                    row += np.bincount(at.ravel(), times, PLACES).astype(np.int64)
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["place", "n0", "n1"]
+            [pa.array(at), *[pa.array(s[at]) for s in sums]], names=["place", *COUNTS]
         )
 
-    parts = rows.select(text_bytes().alias("text"), "y").mapInArrow(
-        run, "place long, n0 long, n1 long"
+    parts = rows.select(text_bytes().alias("text"), "y", "half").mapInArrow(
+        run, "place long, " + ", ".join(f"{c} long" for c in COUNTS)
     )
-    total = parts.groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    sums = np.zeros((2, WORD_PLACES + STEM_PLACES))
-    at = total.column("place").to_numpy()
-    sums[0, at], sums[1, at] = total.column("n0").to_numpy(), total.column("n1").to_numpy()
-    return sums[:, :WORD_PLACES], sums[:, WORD_PLACES:]
+    total = parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
+    sums = np.zeros((4, PLACES))
+    sums[:, total.column("place").to_numpy()] = [total.column(c).to_numpy() for c in COUNTS]
+    return sums.reshape(2, 2, -1)
 
 
 def log_odds(n1: float, n0: float, prior: float, rate: float, totals: tuple[float, float]) -> float:
@@ -130,8 +129,7 @@ def segments(
 class ToxicModel:
     """Counts by class and place, and the fitted curves; its size doesn't depend on the corpus."""
 
-    words: np.ndarray
-    stems: np.ndarray
+    counts: np.ndarray
     totals: tuple[float, float]
     growth: float = 0.0  # of an ordinary text's best segment with log(words)
     location: float = 0.0
@@ -141,14 +139,14 @@ class ToxicModel:
 
     def scorer(self) -> Callable[[str], float]:
         """Word to its log-odds less the cost of a word."""
-        n0, n1 = self.words.astype(float).tolist()
-        stems0, stems1 = self.stems.astype(float).tolist()
-        totals = self.totals
+        n0, n1 = self.counts.astype(float).tolist()
+        totals, priors = self.totals, [prior for *_, prior in LEVELS]
 
         def score(word: str) -> float:
-            at, stem = place(word, WORD_PLACES), place(word[:STEM], STEM_PLACES)
-            rate = log_odds(stems1[stem], stems0[stem], PRIOR_STEM, 0.0, totals)
-            return log_odds(n1[at], n0[at], PRIOR_WORD, rate, totals) - COST
+            rate = 0.0
+            for at, prior in zip(places_of(word), priors):
+                rate = log_odds(n1[at], n0[at], prior, rate, totals)
+            return rate - COST
 
         return score
 
@@ -158,6 +156,12 @@ class ToxicModel:
         # 1 - exp(-exp(-z)) by the Gumbel distribution, which is exp(-z) where that is small.
         return z / math.log(10) if z > 30 else -math.log10(max(-math.expm1(-math.exp(-max(z, -6.0))), 1e-300))
 
+    def total(self, scores: list[float], n: int) -> tuple[float, list[float]]:
+        """The sum over significant segments, or the best one's evidence, and that of each."""
+        parts = [self.evidence(s, n) for s in scores]
+        significant = sum(e for e in parts if e >= LEAST)
+        return significant or max(parts, default=self.evidence(0.0, n)), parts
+
     def probability(self, evidence: float) -> float:
         x = self.slope * evidence + self.intercept
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
@@ -187,18 +191,20 @@ class Scanner:
         at = np.flatnonzero(net > 0)
         if not len(at):
             return len(words), []
+        # A word's k-th occurrence counts 1/k: repeats of one word are no further evidence.
+        times: Counter = Counter()
+        for p in at.tolist():
+            times[words[p]] += 1
+            net[p] /= times[words[p]]
         gains = net[at]
         before = np.cumsum(net)[at] - gains
         return len(words), segments(at.tolist(), gains.tolist(), before.tolist())
 
-    def judge(self, text: str) -> tuple[float, float, list[tuple[float, int, int]]]:
-        """Evidence of the whole text, its best segment's score, and its significant segments."""
+    def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
+        """Evidence of the whole text, and its significant segments with their own."""
         n, found = self.find(text)
-        best = max((s for s, _, _ in found), default=0.0)
-        parts = [(self.model.evidence(s, n), first, last) for s, first, last in found]
-        toxic = [p for p in parts if p[0] >= -math.log10(SIGNIFICANT)]
-        total = sum(p[0] for p in toxic) or self.model.evidence(best, n)
-        return total, best, toxic
+        total, parts = self.model.total([s for s, _, _ in found], n)
+        return total, [(e, first, last) for e, (_, first, last) in zip(parts, found) if e >= LEAST]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -216,43 +222,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
+def model_of(counts: np.ndarray) -> ToxicModel:
+    words = counts[:, OFFSETS[-1] :].sum(axis=1) + 1
+    return ToxicModel(counts.astype("float32"), (float(words[0]), float(words[1])))
+
+
 def train(documents: DataFrame, labels: DataFrame, fitted: int = FITTED) -> ToxicModel:
     """Fit on the labelled rows outside the held-out fold. Counts use all of them; the curves use at
-    most ``fitted``, from which two numbers a row go to the driver.
+    most ``fitted``, of which a few numbers a row go to the driver.
 
-    The fitted rows' own words are taken out of the counts when they are scored, so that a
-    segment of a rare word does not vouch for itself.
+    Rows are in two halves: those of one are fitted with the counts of the other, so that a
+    word that occurs in one document only does not vouch for it.
     """
-    rows = training_rows(documents, labels, "toxic")
-    words, stems = count_words(rows)
-    totals = (float(words[0].sum()) + 1, float(words[1].sum()) + 1)
-    bare = ToxicModel(words.astype("float32"), stems.astype("float32"), totals)
-    shared = rows.sparkSession.sparkContext.broadcast(bare)
+    rows = training_rows(documents, labels, "toxic").withColumn("half", half_of(F.col("doc_id")))
+    counts = count_words(rows)
+    bare = model_of(counts.sum(axis=0))
+    shared = rows.sparkSession.sparkContext.broadcast([model_of(counts[1]), model_of(counts[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        scanners = [Scanner(m) for m in shared.value]
         for batch in batches:
-            found = [scanner.find(t.decode()) for t in batch.column(0).to_pylist()]
-            best = [max((s for s, _, _ in parts), default=0.0) for _, parts in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64()), batch.column(1)],
-                names=["n", "best", "y"],
-            )
-
-    sample = bounded_sample(rows, fitted).select(text_bytes().alias("text"), "y")
-    got = sample.mapInArrow(run, "n long, best double, y int").toArrow()
-    n, best, y = (got.column(c).to_numpy() for c in ("n", "best", "y"))
+            texts, halves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            found = [scanners[h].find(t.decode()) for t, h in zip(texts, halves)]
+            scores = [sorted((s for s, _, _ in parts), reverse=True)[:SENT] for _, parts in found]
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["n", "scores", "y"])
+
+    sample = bounded_sample(rows, fitted).select(text_bytes().alias("text"), "y", "half")
+    got = sample.mapInArrow(run, "n long, scores array<double>, y int").toArrow()
+    n, y, scores = got.column("n").to_numpy(), got.column("y").to_numpy(), got.column("scores").to_pylist()
+    best = np.array([max(x, default=0.0) for x in scores])
     if not len(y) or y.min() == y.max():
         return bare
-    # Ordinary texts: the mean of the best segment grows with log(n); the rest is Gumbel.
+    # Ordinary texts: the best segment's median grows with log(n); the rest is Gumbel, fitted to
+    # quartiles, which a few mislabelled or odd texts don't move.
     plain = y == 0
-    logs = np.log(n[plain] + 1)
-    growth = max(0.0, float(np.polyfit(logs, best[plain], 1)[0])) if np.ptp(logs) > 0 else 0.0
-    rest = best[plain] - growth * logs
-    scale = max(float(rest.std()) * math.sqrt(6) / math.pi, 0.25)
-    location = float(rest.mean()) - 0.5772 * scale
+    logs, ordinary = np.log(n[plain] + 1), best[plain]
+    edges = np.unique(np.quantile(logs, np.linspace(0, 1, 9)))
+    bins = np.clip(np.searchsorted(edges, logs, "right") - 1, 0, max(len(edges) - 2, 0))
+    centres = np.array([(logs[bins == k].mean(), np.median(ordinary[bins == k])) for k in np.unique(bins)])
+    growth = max(0.0, float(np.polyfit(*centres.T, 1)[0])) if len(centres) > 1 else 0.0
+    low, middle, high = np.quantile(ordinary - growth * logs, [0.25, 0.5, 0.75])
+    scale = max(float(high - low) / 1.5725, 0.25)  # of the quartiles of the standard Gumbel
+    location = float(middle) - 0.3665 * scale
     curve = replace(bare, growth=growth, location=location, scale=scale)
-    evidence = np.array([curve.evidence(b, k) for b, k in zip(best, n)])
+    evidence = np.array([curve.total(x, k)[0] for x, k in zip(scores, n)])
     slope, intercept = fit_logistic(np.minimum(evidence, 20.0), y.astype(float))
     return replace(curve, slope=max(slope, 1e-6), intercept=intercept)
 
@@ -277,7 +291,7 @@ def score_toxicity(
         def run(texts: list[bytes]) -> dict[str, list]:
             out: dict[str, list] = {"score": [], "n_passages": [], "passages": []}
             for text in texts:
-                evidence, _, toxic = scanner.judge(text.decode())
+                evidence, toxic = scanner.judge(text.decode())
                 out["score"].append(shared.value.probability(evidence))
                 out["n_passages"].append(len(toxic))
                 out["passages"].append([{"first": a, "last": b} for _, a, b in toxic])
