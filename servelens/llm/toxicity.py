@@ -237,10 +237,11 @@ def train(documents: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Toxi
     rows = training_rows(documents, labels, "toxic").withColumn("half", half_of(F.col("doc_id")))
     counts = count_words(rows)
     bare = model_of(counts.sum(axis=0))
-    shared = rows.sparkSession.sparkContext.broadcast([model_of(counts[1]), model_of(counts[0])])
+    # Plain values: a broadcast is unpickled where this package may not be installed.
+    shared = rows.sparkSession.sparkContext.broadcast([vars(model_of(counts[h])) for h in (1, 0)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(m) for m in shared.value]
+        scanners = [Scanner(ToxicModel(**m)) for m in shared.value]
         for batch in batches:
             texts, halves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             found = [scanners[h].find(t.decode()) for t, h in zip(texts, halves)]
@@ -282,17 +283,17 @@ def score_toxicity(
     both classes every text gets a score by the unfitted curve. Labels, lang and source are no input.
     """
     model = train(documents, labels, fitted)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     number = uuid.uuid4().hex
 
     def make():
-        scanner = per_worker(("toxicity", number), lambda: Scanner(shared.value))
+        scanner = per_worker(("toxicity", number), lambda: Scanner(ToxicModel(**shared.value)))
 
         def run(texts: list[bytes]) -> dict[str, list]:
             out: dict[str, list] = {"score": [], "n_passages": [], "passages": []}
             for text in texts:
                 evidence, toxic = scanner.judge(text.decode())
-                out["score"].append(shared.value.probability(evidence))
+                out["score"].append(scanner.model.probability(evidence))
                 out["n_passages"].append(len(toxic))
                 out["passages"].append([{"first": a, "last": b} for _, a, b in toxic])
             return out
