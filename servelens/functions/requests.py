@@ -114,7 +114,11 @@ def retry_after_sec(ms: Column | str) -> Column:
 
 
 def sample_fraction(request_id: Column | str, rate: float, endpoint: str | None) -> Column:
-    """Deterministic Bernoulli filter; no endpoint or a rate of zero keeps nothing."""
+    """Deterministic Bernoulli filter on a hash of the id, the same in any engine that has MD5; no
+    endpoint or a rate of zero keeps nothing."""
     if not endpoint or rate <= 0:
         return F.lit(False)
-    return F.pmod(F.xxhash64(_c(request_id)), F.lit(1_000_000)) < int(rate * 1_000_000)
+    if rate >= 1:
+        return F.lit(True)
+    first = F.left(F.md5(_c(request_id).cast("string").cast("binary")), F.lit(8))
+    return F.coalesce(first < F.lit(format(int(rate * (1 << 32)), "08x")), F.lit(False))

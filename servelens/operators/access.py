@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVERYONE = "*"
-# Grants compiled into one expression; longer lists are joined.
-MAX_INLINE_GRANTS = 128
 MODES = ("enforce", "off", "degraded_strict", "degraded_lenient")
-GRANT_FIELDS = ("principal_type", "principal", "access", "resource_glob")
 
 
 def glob_to_like(glob: Column | str) -> Column:
@@ -19,34 +16,6 @@ def glob_to_like(glob: Column | str) -> Column:
     return F.translate(escaped, "*?", "%_")
 
 
-def _like_literal(glob: str) -> str:
-    out = glob.lower().replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return out.replace("*", "%").replace("?", "_")
-
-
-def grant_expression(
-    grants: list, user: Column, groups: Column, access: str, resource: Column
-) -> Column:
-    """Whether any of a short list of grants covers the call; no shuffle and no join."""
-    verdict = F.lit(False)
-    for g in grants:
-        if g["access"] != access:
-            continue
-        if g["principal"] == EVERYONE:
-            who = F.lit(True)
-        elif g["principal_type"] == "group":
-            who = F.coalesce(F.array_contains(groups, g["principal"]), F.lit(False))
-        else:
-            who = user == g["principal"]
-        verdict = verdict | (who & F.lower(resource).like(_like_literal(g["resource_glob"])))
-    return F.coalesce(verdict, F.lit(False))
-
-
-def _small_grants(grants: DataFrame) -> list | None:
-    rows = grants.select(*GRANT_FIELDS).take(MAX_INLINE_GRANTS + 1)
-    return None if len(rows) > MAX_INLINE_GRANTS else rows
-
-
 def principals(user: Column | str, groups: Column | str) -> Column:
     """Array of the principal keys a caller answers to."""
     u = F.col(user) if isinstance(user, str) else user
@@ -77,40 +46,20 @@ def resource_prefixes(resource: Column | str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(r)), lambda n: F.substring(r, F.lit(1), n))
 
 
-def granted(
-    asks: DataFrame, grants: DataFrame, user: str, groups: str, access: str, resource: str
-) -> DataFrame:
-    """Distinct (caller, resource) of ``asks`` that some grant covers, by equi-joins only.
+def granted(asks: DataFrame, grants: DataFrame, access: str) -> DataFrame:
+    """The distinct (__p, __r) of ``asks(__p, __r)``, principal and resource, that a grant covers.
 
-    The caller comes back as ``__who``, the null-free text of user and groups.
+    A resource meets the principal's own patterns on their literal prefix, so no pattern is paired
+    with a caller or name that doesn't ask for it.
     """
     rules = keyed_grants(grants).filter(F.col("access") == access).drop("access")
-    caller = _text_key(user, groups).alias("__who")
-    calls = asks.select(caller, resource).distinct()
-    # Which patterns cover which resource is settled on distinct names before callers come in.
-    covers = (
-        asks.select(resource)
-        .distinct()
-        .withColumn("__prefix", F.explode(resource_prefixes(resource)))
-        .join(rules.select("__prefix", "__like").distinct(), "__prefix")
-        .filter(F.like(F.lower(resource), F.col("__like")))
-        .select(resource, "__like")
-    )
-    # What everyone may use needs no caller; the rest meets on the caller, whose share is small.
-    for_all = rules.filter(F.col("__p") == EVERYONE).select("__like")
-    open_names = covers.join(for_all, "__like", "left_semi").select(resource).distinct()
-    held = (
-        asks.select(caller, F.explode(principals(user, groups)).alias("__p"))
-        .distinct()
-        .filter(F.col("__p") != EVERYONE)
-        .join(rules.select("__p", "__like"), "__p")
-        .select("__who", "__like")
-        .distinct()
-    )
-    own = calls.join(held, "__who").join(covers, [resource, "__like"], "left_semi")
     return (
-        own.select("__who", resource)
-        .unionByName(calls.join(open_names, resource, "left_semi").select("__who", resource))
+        asks.select("__p", "__r")
+        .distinct()
+        .withColumn("__prefix", F.explode(resource_prefixes("__r")))
+        .join(rules, ["__p", "__prefix"])
+        .filter(F.like(F.lower("__r"), F.col("__like")))
+        .select("__p", "__r")
         .distinct()
     )
 
@@ -136,46 +85,38 @@ def evaluate_access(
     if mode != "enforce" or grants is None:
         verdict = F.lit(mode != "degraded_strict")
         return requests.withColumns({"base_allowed": verdict, "allowed": verdict})
-    few = _small_grants(grants)
-    if few is not None:
-        base_ok = grant_expression(few, F.col(user), F.col(groups), access, F.col(base))
-        full_ok = grant_expression(few, F.col(user), F.col(groups), access, full)
-        return requests.withColumns(
-            {"base_allowed": base_ok, "allowed": base_ok & (F.col(lora).isNull() | full_ok)}
+    # Each distinct call is settled once, from what its principals may use of base and adapter.
+    call = F.struct(user, groups, base, lora)
+    calls = requests.select(user, groups, base, lora).distinct()
+    asks = (
+        calls.select(
+            call.alias("__call"),
+            F.explode(principals(user, groups)).alias("__p"),
+            F.col(base).alias("__base"),
+            full.alias("__full"),
         )
-    # Settle each distinct call once; the verdict then comes back in a single join.
-    call = [user, groups, base, lora]
-    calls = requests.select(*call).distinct()
-    asks = calls.select(
-        user, groups, F.explode(F.array_distinct(F.array(F.col(base), full))).alias("__r")
-    ).filter(F.col("__r").isNotNull())
-    allowed = granted(asks, grants, user, groups, access, "__r")
-    who = _text_key(user, groups)
-    base_hits = allowed.select("__who", F.col("__r").alias(base), F.lit(True).alias("__base"))
-    full_hits = allowed.select("__who", F.col("__r").alias("__full"), F.lit(True).alias("__both"))
+        .withColumn("__r", F.explode(F.array_distinct(F.array("__base", "__full"))))
+        .filter(F.col("__r").isNotNull())
+    )
+    hits = granted(asks, grants, access)
     verdicts = (
-        calls.withColumns({"__who": who, "__full": full})
-        .join(base_hits, ["__who", base], "left")
-        .join(full_hits, ["__who", "__full"], "left")
-        .select(
-            _text_key(*call).alias("__call"),
-            F.coalesce("__base", F.lit(False)).alias("base_allowed"),
-            (
-                F.coalesce("__base", F.lit(False))
-                & (F.col(lora).isNull() | F.coalesce("__both", F.lit(False)))
-            ).alias("allowed"),
+        asks.join(hits, ["__p", "__r"], "left_semi")
+        .groupBy("__call")
+        .agg(
+            F.max(F.col("__r") == F.col("__base")).alias("__base_ok"),
+            F.max(F.col("__r") == F.col("__full")).alias("__full_ok"),
         )
     )
+    base_ok = F.coalesce("__base_ok", F.lit(False))
+    full_ok = F.col(lora).isNull() | F.coalesce("__full_ok", F.lit(False))
     return (
-        requests.withColumn("__call", _text_key(*call)).join(verdicts, "__call", "left").drop("__call")
+        requests.withColumn("__call", call)
+        .join(verdicts, "__call", "left")
+        .withColumns({"base_allowed": base_ok, "allowed": base_ok & full_ok})
+        .drop("__call", "__base_ok", "__full_ok")
     )
 
 
-def _text_key(*columns: str) -> Column:
-    """Null-free text of several columns, fit for an equi-join."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-
-
 def visible_catalog(
     users: DataFrame,
     catalog: DataFrame,

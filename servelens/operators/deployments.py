@@ -101,17 +101,18 @@ def effective_variants(deployments: DataFrame) -> DataFrame:
 def stale_variants(deployments: DataFrame, running: DataFrame) -> DataFrame:
     """Running (name, variant) rows that the spec no longer wants.
 
-    A labelled variant is stale unless the spec lists it; the unlabelled single deployment is
+    All of a deployment that is gone is stale. A labelled variant is stale unless the spec lists it; the unlabelled single deployment is
     stale once the spec has variants.
     """
     listed = deployments.select(
-        "name", F.transform("traffic", lambda v: v["name"]).alias("__names")
+        "name", F.transform("traffic", lambda v: v["name"]).alias("__names"), F.lit(True).alias("__found")
     )
     names = F.coalesce("__names", F.array().cast("array<string>"))
     stale = F.when(F.col("variant").isNull(), F.size(names) > 0).otherwise(
         ~F.coalesce(F.array_contains(names, F.col("variant")), F.lit(False))
     )
-    return running.join(listed, "name").filter(stale).drop("__names")
+    gone = F.col("__found").isNull()
+    return running.join(listed, "name", "left").filter(gone | stale).drop("__names", "__found")
 
 
 def deployment_status(deployments: DataFrame, pods: DataFrame) -> DataFrame:

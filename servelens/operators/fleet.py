@@ -21,6 +21,11 @@ DRAIN_TIMEOUT_MS = 30_000
 RECENT_ALERTS = 100
 
 
+def _count(value: Column) -> Column:
+    """A scraped number as a whole one, at most the largest 32-bit one."""
+    return F.least(value, F.lit(2147483647.0)).cast("bigint")
+
+
 def scrape_load(
     scrapes: DataFrame, samples: DataFrame, keys=("host", "container_id", "ts_ms", "scrape_id")
 ) -> DataFrame:
@@ -29,16 +34,15 @@ def scrape_load(
     GPU load is the mean utilisation over GPUs / 100; without GPU lines a scrape that mentions
     the activity marker counts as 0.3, else 0. Depth sums the pending counts, truncated each.
     """
+    # Digits and dots only, as in the text form: a sign or exponent is not part of the grammar.
+    plain = F.regexp_extract("value_text", r"^[\d.]+", 0).try_cast("double")
     usable = samples.filter(
-        F.col("labelled")
-        & F.col("metric").isin(GPU_UTILIZATION, PENDING_REQUESTS)
-        & (F.col("value") >= 0)
-        & ~F.isnan("value")
-    )
+        F.col("labelled") & F.col("metric").isin(GPU_UTILIZATION, PENDING_REQUESTS)
+    ).withColumn("value", plain).filter(F.col("value").isNotNull())
     is_gpu = F.col("metric") == GPU_UTILIZATION
     measured = usable.groupBy(*keys).agg(
         F.avg(F.when(is_gpu, F.col("value"))).alias("__gpu"),
-        F.sum(F.when(~is_gpu, F.col("value").cast("int"))).alias("__depth"),
+        F.sum(F.when(~is_gpu, _count(F.col("value")))).alias("__depth"),
     )
     # The page text stays behind: only the fallback value derived from it meets the samples.
     idle = F.when(F.contains("body", F.lit(ACTIVITY_MARKER)), ACTIVE_LOAD).otherwise(0.0)
@@ -68,7 +72,7 @@ def scrape_load_inline(scrapes: DataFrame, keys=("host", "container_id", "ts_ms"
         *keys,
         F.when(F.size(gpu) > 0, mean).otherwise(idle).alias("gpu_load"),
         F.aggregate(
-            F.col("__pending"), F.lit(0).cast("bigint"), lambda a, v: a + v.cast("int")
+            F.col("__pending"), F.lit(0).cast("bigint"), lambda a, v: a + _count(v)
         ).alias("queue_depth"),
     )
 
@@ -92,11 +96,14 @@ def gpu_table(samples: DataFrame) -> DataFrame:
         F.col("labels")["gpu"].alias("gpu"),
         F.substring("metric", len(GPU_FAMILY) + 1, 1 << 20).alias("name"),
         "value_text",
-        F.struct("ts_ms", "scrape_id", "line_no").alias("at"),
+        order_key("ts_ms", "scrape_id").alias("at"),
+        "line_no",
     )
+    # The last line of a page wins before pages meet.
+    pages = gpu.groupBy("host", "gpu", "name", "at").agg(F.max_by("value_text", "line_no").alias("value"))
     return (
-        gpu.groupBy("host", "gpu", "name")
-        .agg(F.max_by("value_text", "at").alias("value"))
+        pages.groupBy("host", "gpu", "name")
+        .agg(F.max_by("value", "at").alias("value"))
         .groupBy("host", "gpu")
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("metrics"))
     )
@@ -283,14 +290,14 @@ def container_alerts(events: DataFrame) -> DataFrame:
     """Failure alerts from lifecycle rows: non-zero exits and start errors."""
     failed_exit = (F.col("event") == "completed") & (F.col("exit_status") != 0)
     why = F.when(
-        failed_exit, F.concat(F.lit("Exit status: "), F.col("exit_status").cast("string"),
-                              F.lit(", "), F.coalesce("detail", F.lit("")))
-    ).otherwise(F.concat(F.lit("Start error: "), F.coalesce("detail", F.lit("null"))))
+        failed_exit, F.concat(F.lit("exit code "), F.col("exit_status").cast("string"),
+                              F.lit(" - "), F.coalesce("detail", F.lit("")))
+    ).otherwise(F.concat(F.lit("no start - "), F.coalesce("detail", F.lit("null"))))
     return events.filter(failed_exit | (F.col("event") == "start_error")).select(
         F.col("event_id").alias("alert_id"),
         "ts_ms",
         F.lit("container_failure").alias("alert_type"),
-        F.concat(F.lit("Container "), F.col("container_id"), F.lit(" failed: "), why).alias("message"),
+        F.concat(F.lit("Failure of container "), F.col("container_id"), F.lit(": "), why).alias("message"),
         F.lit("critical").alias("severity"),
     )
 
@@ -315,10 +322,11 @@ def readiness_alerts(verdicts: DataFrame, timeout_ms: int = WARMUP_TIMEOUT_MS) -
         F.col("start_id").alias("alert_id"),
         F.col("registered_ms").alias("ts_ms"),
         F.col("verdict").alias("alert_type"),
-        F.when(ok, F.concat(cid, F.lit(" ready after "), F.col("took_ms").cast("string"), F.lit("ms")))
+        F.when(ok, F.concat(
+            cid, F.lit(" took "), F.col("took_ms").cast("string"), F.lit(" ms to get ready")
+        ))
         .otherwise(F.concat(cid, F.lit(
-            f" did not pass /v2/health/ready within {timeout_ms}ms — registering to preserve "
-            "capacity, expect cold-start latency"
+            f" was not ready after {timeout_ms} ms and is listed all the same"
         )))
         .alias("message"),
         F.when(ok, "info").otherwise("warning").alias("severity"),
@@ -331,8 +339,8 @@ def drain_alerts(verdicts: DataFrame, timeout_ms: int = DRAIN_TIMEOUT_MS) -> Dat
         (F.col("drain_ms") + timeout_ms).alias("ts_ms"),
         F.lit("drain_timeout").alias("alert_type"),
         F.concat(
-            F.lit("Container "), F.col("container_id"), F.lit(" still had "),
-            F.col("remaining").cast("string"), F.lit(" in-flight requests at drain timeout"),
+            F.lit("Drain of container "), F.col("container_id"), F.lit(" ended with "),
+            F.col("remaining").cast("string"), F.lit(" requests open"),
         ).alias("message"),
         F.lit("warning").alias("severity"),
     )

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from servelens.operators.skew import (
+    exact_quantiles,
+    group_key,
     order_key,
     sliced_lag,
     time_slice,
@@ -160,27 +162,43 @@ def tracked_models(latencies: DataFrame, requests: DataFrame) -> DataFrame:
     return latencies.select("model").union(requests.select("model")).distinct()
 
 
-def model_scorecard(requests: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+def model_scorecard(
+    requests: DataFrame, keys: Sequence[str] = ("model",), recent: int | None = None
+) -> DataFrame:
+    """Counts, error rate and percentiles per key; a null key is a key.
+
+    Percentiles cover all requests, or the newest ``recent`` ones of each key.
+    """
     counts = request_counts(requests, keys)
-    recent = recent_percentiles(requests, keys).drop("samples")
+    if recent is None:
+        probs = {f"{name}_us": p / 100 for name, p in PERCENTILES.items()}
+        times = exact_quantiles(requests, keys, "latency_us", probs)
+    else:
+        times = recent_percentiles(requests, keys, recent).drop("samples")
     zero = {f"{p}_us": 0 for p in PERCENTILES}
+    keyed = times.withColumn("__key", group_key(keys)).drop(*keys)
     return (
-        counts.join(recent, list(keys), "left")
-        .fillna(zero)
+        counts.withColumn("__key", group_key(keys))
+        .join(keyed, "__key", "left")
+        .drop("__key")
+        .fillna(zero, list(zero))
         .withColumn("error_rate", safe_rate("errors", "requests"))
     )
 
 
-def shadow_compare(requests: DataFrame) -> DataFrame:
-    """Primary against mirrored traffic, side by side per model, with shadow minus primary."""
-    is_shadow = F.startswith(F.col("model"), F.lit(SHADOW_PREFIX))
+def shadow_compare(requests: DataFrame, recent: int | None = None) -> DataFrame:
+    """Primary against mirrored traffic, side by side per model, with shadow minus primary.
+
+    Requests without a model are primary ones of the model null.
+    """
+    is_shadow = F.coalesce(F.startswith(F.col("model"), F.lit(SHADOW_PREFIX)), F.lit(False))
     name = F.when(is_shadow, F.substring("model", len(SHADOW_PREFIX) + 1, 1 << 20)).otherwise(
         F.col("model")
     )
     measures = ["requests", "error_rate", "p50_us", "p95_us", "p99_us"]
     sides = {"primary": ~is_shadow, "shadow": is_shadow}
     paired = (
-        model_scorecard(requests)
+        model_scorecard(requests, recent=recent)
         .groupBy(name.alias("model"))
         .agg(
             *[

@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from servelens.operators.skew import (
+    SALTS,
+    asof_last,
     order_key,
     order_key_ts,
-    sliced_lag,
+    salted,
+    salted_join,
     sliced_row_number,
     time_slice,
 )
@@ -19,8 +22,6 @@ from servelens.operators.skew import (
 # Fixed values.
 WINDOW_MS = 60_000
 ZERO_QUOTA_RETRY_MS = 60_000
-# Rules compiled into one expression; longer lists are joined.
-MAX_INLINE_RULES = 128
 RULE_FIELDS = ("rule_user", "rule_group", "rule_model", "rpm")
 
 
@@ -42,12 +43,6 @@ def rule_text(
     )
 
 
-def _small_rules(rules: DataFrame, columns: Sequence[str]) -> list | None:
-    """The rules as rows if they are few, else None. Reads at most MAX_INLINE_RULES + 1 rows."""
-    rows = rules.select(*columns).take(MAX_INLINE_RULES + 1)
-    return None if len(rows) > MAX_INLINE_RULES else rows
-
-
 def match_quota_rule(
     requests: DataFrame,
     rules: DataFrame,
@@ -61,63 +56,11 @@ def match_quota_rule(
 
     ``rules`` is the output of ``load_quota_rules``; ``rule_ord`` is most specific first. With
     ``version``, both sides carry that column and only rules of the same version apply.
-    """
-    return match_and_size(requests, rules, user, groups, model, version)[0]
-
-
-def match_and_size(
-    requests: DataFrame,
-    rules: DataFrame,
-    user: str = "user_name",
-    groups: str = "groups",
-    model: str = "base_model",
-    version: str | None = None,
-) -> tuple[DataFrame, bool]:
-    """:func:`match_quota_rule` and whether the rules, hence the buckets, are known to be few."""
-    keep = [*([version] if version else []), "rule_ord", *RULE_FIELDS]
-    few = _small_rules(rules, keep)
-    if few is not None:
-        return _match_inline(requests, few, user, groups, model, version), True
-    return _match_joined(requests, rules, user, groups, model, version), False
-
 
-def _match_inline(requests, rows, user, groups, model, version) -> DataFrame:
-    ordered = sorted(rows, key=lambda r: r["rule_ord"])
-    index = None
-    for i, r in enumerate(ordered):
-        cond = F.lit(True)
-        if version:
-            cond = cond & (F.col(version) == F.lit(r[version]))
-        if r["rule_user"] is not None:
-            cond = cond & (F.col(user) == r["rule_user"])
-        if r["rule_group"] is not None:
-            cond = cond & F.coalesce(F.array_contains(groups, r["rule_group"]), F.lit(False))
-        if r["rule_model"] != "*":
-            cond = cond & (F.col(model) == r["rule_model"])
-        index = F.when(cond, i) if index is None else index.when(cond, i)
-    indexed = requests.withColumn("__rule", F.lit(None).cast("int") if index is None else index)
-
-    def pick(values, kind):
-        literals = F.array(*[F.lit(v).cast(kind) for v in values]) if ordered else None
-        empty = F.lit(None).cast(kind)
-        return empty if literals is None else F.get(literals, F.col("__rule"))
-
-    matched = indexed.withColumns(
-        {
-            "rule_user": pick([r["rule_user"] for r in ordered], "string"),
-            "rule_group": pick([r["rule_group"] for r in ordered], "string"),
-            "rule_model": pick([r["rule_model"] for r in ordered], "string"),
-            "rpm": pick([r["rpm"] for r in ordered], "int"),
-        }
-    ).drop("__rule")
-    return _with_bucket(matched, version)
-
-
-def _match_joined(requests, rules, user, groups, model, version) -> DataFrame:
-    """Resolve each distinct caller once by equi-joins on the rule's fixed parts, join back.
-
-    The join back is the only one over all requests; adaptive execution splits a caller that
-    holds many of them, since no operator above needs the join's partitioning.
+    Each distinct caller is resolved once by equi-joins on the rule's fixed parts. Rules of equal
+    ``rule_ord`` are taken in the order of their fields, whatever their number. The join back is the
+    only one over all requests; adaptive execution splits a caller that holds many of them, since no
+    operator above needs the join's partitioning.
     """
     who = [*([version] if version else []), user, groups, model]
     callers = requests.select(*who).distinct()
@@ -150,8 +93,8 @@ def _match_joined(requests, rules, user, groups, model, version) -> DataFrame:
     on = [*([version] if version else []), "__ku", "__kg", "__km"]
     best = keyed.groupBy(*on).agg(F.min("__r").alias("__r"))
     resolved = shapes.join(best, on).groupBy(*who).agg(F.min("__r").alias("__r"))
-    # Null callers cannot equal each other in an equi-join: compare a null-free text of them.
-    key = F.to_json(F.struct(*who), {"ignoreNullFields": "false"})
+    # Null fields of a struct are equal to each other, so callers with nulls find their rule.
+    key = F.struct(*who)
     resolved = resolved.select(key.alias("__who"), "__r")
     joined = requests.withColumn("__who", key).join(resolved, "__who", "left")
     out = joined.select(
@@ -173,7 +116,6 @@ def rank_requests(
     slice_ms: int | None = None,
     ts_ms: str = "ts_ms",
     row_id: str = "request_id",
-    few_buckets: bool = False,
     carried: DataFrame | None = None,
 ) -> DataFrame:
     """Place requests matched by :func:`match_quota_rule` in their bucket's windows.
@@ -210,7 +152,8 @@ def rank_requests(
             "__kept_w",
             "__used",
         )
-    anchored = requests.join(F.broadcast(starts) if few_buckets else starts, "bucket", "left")
+    # A bucket, and requests without one, may hold most of the rows: the small side is repeated.
+    anchored = salted_join(requests, starts, ["bucket"], [row_id])
     # Requests outside any bucket ride along on plain time windows, so they stay spread too.
     since = F.coalesce(F.col(ts_ms) - F.col("__t0"), F.col(ts_ms))
     keyed = anchored.withColumns(
@@ -242,7 +185,9 @@ def rank_requests(
 def decide(placed: DataFrame, window_ms: int = WINDOW_MS, ts_ms: str = "ts_ms") -> DataFrame:
     """Add ``allowed, retry_after_ms, reason, rule_desc`` to placed requests."""
     zero = F.coalesce(F.col("rpm") == 0, F.lit(False))
-    over = F.coalesce(F.col("place") > F.col("capacity"), F.lit(False))
+    # A late request's window is over and its count is gone: it doesn't pass.
+    late = F.col("late") & ~zero
+    over = F.coalesce(F.col("place") > F.col("capacity"), F.lit(False)) | late
     wait = F.col("window_start_ms") + window_ms - F.col(ts_ms)
     return placed.withColumns(
         {
@@ -251,7 +196,7 @@ def decide(placed: DataFrame, window_ms: int = WINDOW_MS, ts_ms: str = "ts_ms")
             .when(over, F.greatest(F.lit(1), wait))
             .otherwise(F.lit(0))
             .cast("bigint"),
-            "reason": F.when(zero, "quota_zero").when(over, "rate_limited"),
+            "reason": F.when(zero, "quota_zero").when(late, "late").when(over, "rate_limited"),
             "rule_desc": F.when(
                 zero | over, rule_text("rule_user", "rule_group", "rule_model", "rpm")
             ),
@@ -265,15 +210,12 @@ def rate_limit(
     slice_ms: int | None = None,
     ts_ms: str = "ts_ms",
     row_id: str = "request_id",
-    few_buckets: bool = False,
 ) -> DataFrame:
     """Decide every request matched by :func:`match_quota_rule`.
 
-    The first ``rpm`` requests of a bucket's window pass. ``few_buckets`` says that the caller
-    checked the number of rules (buckets never outnumber them), which lets the bucket table be
-    broadcast.
+    The first ``rpm`` requests of a bucket's window pass.
     """
-    placed = rank_requests(requests, window_ms, slice_ms, ts_ms, row_id, few_buckets)
+    placed = rank_requests(requests, window_ms, slice_ms, ts_ms, row_id)
     return decide(placed, window_ms, ts_ms).drop(
         "window_start_ms", "first_ms", "place", "capacity", "late"
     )
@@ -299,63 +241,37 @@ def quota_decisions(
     slice_ms: int | None = None,
 ) -> DataFrame:
     """Match and limit in one call."""
-    matched, few = match_and_size(requests, rules, version=version)
-    return rate_limit(matched, window_ms=window_ms, few_buckets=few, slice_ms=slice_ms)
-
-
-def version_intervals(versions: DataFrame, day_ms: int = 86_400_000) -> DataFrame:
-    """(version, valid_from_ms) -> the same plus valid_to_ms, null for the newest."""
-    newest_first = versions.groupBy("valid_from_ms").agg(F.max("version").alias("version"))
-    back = newest_first.select("*", F.lit(0).alias("__all"), (-F.col("valid_from_ms")).alias("__back"))
-    return sliced_lag(
-        back, ["__all"], ["__back"], time_slice("__back", day_ms), {"valid_from_ms": "valid_to_ms"}
-    ).select("version", "valid_from_ms", "valid_to_ms")
+    matched = match_quota_rule(requests, rules, version=version)
+    return rate_limit(matched, window_ms=window_ms, slice_ms=slice_ms)
 
 
 def rules_asof(
-    requests: DataFrame, versions: DataFrame, ts_ms: str = "ts_ms", day_ms: int = 86_400_000
+    requests: DataFrame,
+    versions: DataFrame,
+    ts_ms: str = "ts_ms",
+    slice_ms: int = 3_600_000,
+    row_id: str = "request_id",
 ) -> DataFrame:
     """Add ``version``: the latest valid rule document at request time, null before the first.
 
-    ``versions`` holds (version, valid_from_ms) of the *valid* documents only. Few versions become
-    one expression; more are spread over days and equi-joined on the day.
+    ``versions`` holds (version, valid_from_ms) of the *valid* documents only; of equal times the
+    larger version wins. Versions are carried forward along the merged time order, in ``SALTS``
+    strands of requests with a copy of the versions each, so no request meets more than one.
     """
-    rows = versions.select("version", "valid_from_ms").take(MAX_INLINE_RULES + 1)
-    if len(rows) <= MAX_INLINE_RULES:
-        newest_first = sorted(rows, key=lambda r: (r["valid_from_ms"], r["version"]), reverse=True)
-        chosen = None
-        for r in newest_first:
-            cond = F.col(ts_ms) >= r["valid_from_ms"]
-            chosen = F.when(cond, r["version"]) if chosen is None else chosen.when(cond, r["version"])
-        kind = versions.schema["version"].dataType
-        return requests.withColumn(
-            "version", F.lit(None).cast(kind) if chosen is None else chosen.cast(kind)
-        )
-    first = requests.agg(F.min(ts_ms)).scalar()
-    last = requests.agg(F.max(ts_ms)).scalar()
-    day = time_slice(ts_ms, day_ms)
-    spread = (
-        version_intervals(versions)
-        .withColumn("__lo", F.greatest(F.col("valid_from_ms"), first))
-        .withColumn("__hi", F.least(F.coalesce(F.col("valid_to_ms") - 1, last), last))
-        .filter(F.col("__hi") >= F.col("__lo"))
-        .withColumn(
-            "__day",
-            F.explode(
-                F.sequence(time_slice("__lo", day_ms), time_slice("__hi", day_ms))
-            ),
-        )
+    newest = versions.groupBy("valid_from_ms").agg(F.max("version").alias("version"))
+    marks = newest.select(
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__strand"),
+        F.col("valid_from_ms").alias("__at"),
+        F.lit(0).cast("bigint").alias("__id"),
+        "version",
     )
-    return (
-        requests.withColumn("__day", day)
-        .alias("q")
-        .join(
-            spread.alias("v"),
-            (F.col("q.__day") == F.col("v.__day"))
-            & (F.col(f"q.{ts_ms}") >= F.col("v.__lo"))
-            & (F.col(f"q.{ts_ms}") <= F.col("v.__hi")),
-            "left",
-        )
-        .select("q.*", "v.version")
-        .drop("__day")
+    points = requests.select(
+        salted([row_id]).alias("__strand"),
+        F.col(ts_ms).alias("__at"),
+        F.lit(True).alias("inclusive"),
+        F.struct(*requests.columns).alias("__q"),
+    )
+    found = asof_last(
+        marks, points, ["__strand"], ["version"], ts_ms="__at", row_id="__id", slice_ms=slice_ms
     )
+    return found.select("__q.*", "version")

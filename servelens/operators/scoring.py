@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servelens.functions.requests import split_model_ref
+from servelens.worker import per_worker
 
 ModelFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
@@ -62,16 +64,16 @@ def score_routed(
         [*df.schema.fields, T.StructField(output_col, T.ArrayType(T.FloatType()), True)]
     )
 
+    call = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, Callable] = {}
         for pdf in batches:
             scores = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             for base, part in pdf.groupby("__base", sort=False):
                 if base not in models:
                     continue
-                if base not in loaded:
-                    loaded[base] = models[base]()
-                out = loaded[base](np.stack(part[input_col].to_list()).astype(np.float32))
+                model = per_worker(("model", call, base), models[base])
+                out = model(np.stack(part[input_col].to_list()).astype(np.float32))
                 scores.loc[part.index] = pd.Series(list(out), index=part.index)
             yield pdf.drop(columns="__base").assign(**{output_col: scores})
 

@@ -13,7 +13,7 @@ from servelens.functions.requests import (
 )
 from servelens.operators.access import evaluate_access
 from servelens.operators.metrics import succeeded
-from servelens.operators.quota import WINDOW_MS, match_and_size, rate_limit
+from servelens.operators.quota import WINDOW_MS, match_quota_rule, rate_limit
 from servelens.operators.routing import TICK_MS, route_least_loaded
 from servelens.sources.telemetry import check_usage_reports, parse_requests
 
@@ -33,12 +33,49 @@ def identify(raw: DataFrame, principal: str = "service") -> DataFrame:
     )
     # Reports are checked against a body that is null for other endpoints, so those skip the work.
     report = F.when(F.col("endpoint") == "usage", F.col("body"))
-    usage = check_usage_reports(named.withColumn("__report", report), body="__report").drop(
-        "__report", "usage_error", "usage_model", "prompt_tokens", "completion_tokens"
+    usage = (
+        check_usage_reports(named.withColumn("__report", report), body="__report")
+        .drop("__report", "usage_error")
+        .withColumnsRenamed(
+            {
+                "prompt_tokens": "usage_prompt_tokens",
+                "completion_tokens": "usage_completion_tokens",
+            }
+        )
     )
     return parse_requests(usage).drop("headers", "body", "response_body", "peer_ip", "path")
 
 
+def usage_records(identified: DataFrame) -> DataFrame:
+    """Billable usage of :func:`identify`'s rows: (user_name, model, prompt_tokens,
+    completion_tokens, ts_ms, source).
+
+    A whole answer (2xx, no stream) is billed to the base model with what its body says; an
+    accepted report to the model as it was sent, so that stream usage is counted, too.
+    """
+    answered = (
+        (F.col("endpoint") == "inference")
+        & F.col("request_error").isNull()
+        & succeeded()
+        & ~F.col("stream")
+    )
+    reported = (F.col("endpoint") == "usage") & (F.col("usage_status") == 200)
+
+    def rows(condition, model, prefix, source):
+        return identified.filter(condition).select(
+            "user_name",
+            F.col(model).alias("model"),
+            F.coalesce(f"{prefix}prompt_tokens", F.lit(0)).alias("prompt_tokens"),
+            F.coalesce(f"{prefix}completion_tokens", F.lit(0)).alias("completion_tokens"),
+            "ts_ms",
+            F.lit(source).alias("source"),
+        )
+
+    return rows(answered, "base_model", "", "response").unionByName(
+        rows(reported, "usage_model", "usage_", "report")
+    )
+
+
 def adjudicate(
     identified: DataFrame,
     rules: DataFrame,
@@ -58,15 +95,13 @@ def adjudicate(
     rules carry that column (see ``rules_asof``) and each version has its own buckets.
     """
     eligible = (F.col("endpoint") == "inference") & F.col("request_error").isNull()
-    matched, few = match_and_size(identified, rules, version=version)
+    matched = match_quota_rule(identified, rules, version=version)
     # Calls stopped before the quota gate neither take nor need a place in a bucket.
     for column in ("bucket", "rpm"):
         matched = matched.withColumn(column, F.when(eligible, F.col(column)))
-    limited = rate_limit(matched, window_ms=window_ms, few_buckets=few).withColumnRenamed(
-        "allowed", "quota_ok"
-    )
+    limited = rate_limit(matched, window_ms=window_ms).withColumnRenamed("allowed", "quota_ok")
     checked = evaluate_access(limited, grants, access_mode)
-    routed = route_least_loaded(checked, depth, roster, tick_ms)
+    routed = route_least_loaded(checked, depth, roster, tick_ms, ticks=identified)
     has_upstream_error = "upstream_error" in routed.columns
     upstream = F.col("upstream_error") if has_upstream_error else F.lit(None).cast("string")
     reason = (
@@ -94,7 +129,9 @@ def adjudicate(
         .otherwise(F.col("status"))
     )
     sent = F.col("outcome").isin("forwarded", "upstream_timeout", "upstream_error")
-    throttled = F.col("outcome").isin("quota_zero", "rate_limited")
+    # Tokens count for answers that came whole: a stream reports its own, a failed call has none.
+    billed = sent & succeeded(code) & ~F.col("stream")
+    throttled = F.col("outcome").isin("quota_zero", "rate_limited", "late")
     return routed.withColumn("outcome", reason).select(
         "request_id",
         "ts_ms",
@@ -110,8 +147,8 @@ def adjudicate(
         sent.alias("forwarded"),
         (sent & succeeded(code)).alias("ok"),
         F.when(sent, F.col("latency_us")).alias("latency_us"),
-        F.when(sent, F.col("prompt_tokens")).alias("prompt_tokens"),
-        F.when(sent, F.col("completion_tokens")).alias("completion_tokens"),
+        F.when(billed, F.col("prompt_tokens")).alias("prompt_tokens"),
+        F.when(billed, F.col("completion_tokens")).alias("completion_tokens"),
     )
 
 

@@ -457,7 +457,7 @@ card AS (
   JOIN (SELECT model, quantile_disc(latency_us, 0.5) AS p50_us,
                quantile_disc(latency_us, 0.95) AS p95_us,
                quantile_disc(latency_us, 0.99) AS p99_us, count(*) AS samples
-        FROM recent GROUP BY 1) q USING (model)
+        FROM with_shadow GROUP BY 1) q USING (model)
 )"""
 ORACLE["shadow_compare"] = req(
     """
@@ -574,6 +574,7 @@ SELECT name, variant FROM (
   SELECT name, variants, CAST(NULL AS VARCHAR) AS variant, 0 AS i FROM d
   UNION ALL SELECT name, variants, concat('v', n % 6), n % 6 FROM d)
 WHERE CASE WHEN variant IS NULL THEN variants > 0 ELSE NOT (i BETWEEN 1 AND variants) END
+UNION ALL SELECT concat('old-', n), NULL FROM d WHERE n % 50 = 0
 """
 )
 RESOURCE = """CASE accelerator_type WHEN 'amd_gpu' THEN 'amd.com/gpu'
@@ -701,9 +702,9 @@ FROM (SELECT deployment, host, max_by(status = 200, request_id) AS ready
 FAILURES = """
 failures AS (
   SELECT event_id AS alert_id, ts_ms, 'container_failure' AS alert_type,
-    concat('Container ', container_id, ' failed: ', CASE WHEN event = 'completed'
-      THEN concat('Exit status: ', exit_status, ', ', coalesce(detail, ''))
-      ELSE concat('Start error: ', coalesce(detail, 'null')) END) AS message,
+    concat('Failure of container ', container_id, ': ', CASE WHEN event = 'completed'
+      THEN concat('exit code ', exit_status, ' - ', coalesce(detail, ''))
+      ELSE concat('no start - ', coalesce(detail, 'null')) END) AS message,
     'critical' AS severity
   FROM life WHERE (event = 'completed' AND exit_status <> 0) OR event = 'start_error'
 )"""
@@ -719,10 +720,9 @@ warm AS (
 warmups AS (
   SELECT start_id AS alert_id, start_ms + coalesce(took_ms, 120000) AS ts_ms,
     CASE WHEN took_ms IS NULL THEN 'warmup_timeout' ELSE 'warmup_ok' END AS alert_type,
-    CASE WHEN took_ms IS NULL THEN concat('Container ', container_id, ' did not pass ',
-        '/v2/health/ready within 120000ms — registering to preserve capacity, ',
-        'expect cold-start latency')
-      ELSE concat('Container ', container_id, ' ready after ', took_ms, 'ms') END AS message,
+    CASE WHEN took_ms IS NULL THEN concat('Container ', container_id,
+        ' was not ready after 120000 ms and is listed all the same')
+      ELSE concat('Container ', container_id, ' took ', took_ms, ' ms to get ready') END AS message,
     CASE WHEN took_ms IS NULL THEN 'warning' ELSE 'info' END AS severity
   FROM warm
 )"""
@@ -1049,14 +1049,14 @@ m(metric, labels, value) AS (
 SELECT concat('fleet_', metric, labels, ' ', value) AS line FROM m
 UNION ALL
 SELECT concat('# ', unnest(['HELP', 'TYPE']), ' fleet_', f, ' ', unnest([h, t])) FROM (VALUES
-  ('inference_latency_seconds', 'histogram', 'Inference latency in seconds'),
-  ('inference_latency_p50_ms', 'gauge', 'Per-instance p50'),
-  ('inference_latency_p95_ms', 'gauge', 'Per-instance p95'),
-  ('inference_latency_p99_ms', 'gauge', 'Per-instance p99'),
-  ('inference_requests_total', 'counter', 'Inference requests by model and outcome'),
-  ('model_error_rate', 'gauge', 'Error rate per model (0.0 to 1.0)'),
-  ('tokens_in_total', 'counter', 'Total prompt tokens consumed'),
-  ('tokens_out_total', 'counter', 'Total completion tokens generated')) AS x(f, t, h)
+  ('inference_latency_seconds', 'histogram', 'Answer times in seconds'),
+  ('inference_latency_p50_ms', 'gauge', 'Median answer time in milliseconds'),
+  ('inference_latency_p95_ms', 'gauge', '95th percentile of answer times in milliseconds'),
+  ('inference_latency_p99_ms', 'gauge', '99th percentile of answer times in milliseconds'),
+  ('inference_requests_total', 'counter', 'Answered calls for each model and result'),
+  ('model_error_rate', 'gauge', 'Share of calls that failed, for each model'),
+  ('tokens_in_total', 'counter', 'Tokens of prompts'),
+  ('tokens_out_total', 'counter', 'Tokens of answers')) AS x(f, t, h)
 """,
     BUCKETS,
     CARD,
@@ -1091,7 +1091,6 @@ gpu AS (
             CAST(completion_tokens * 1000 AS VARCHAR)]) AS value
   FROM requests_v WHERE k % 10 NOT IN (7, 8)
 ),
-newest AS (SELECT * FROM failures ORDER BY ts_ms DESC, alert_id DESC LIMIT 100),
 label AS (SELECT *, concat('{container_id="', container_id, '",host="', host, '"}') AS l FROM latest)
 SELECT concat('container_load', l, ' ', CAST(gpu_load AS VARCHAR)) AS line FROM label
 UNION ALL SELECT concat('container_queue_depth', l, ' ', queue_depth) FROM label
@@ -1103,17 +1102,17 @@ UNION ALL SELECT concat('gpu_', metric, '{container_id="', replace(host, 'host-'
 UNION ALL SELECT 'target_containers 8'
 UNION ALL SELECT concat('running_containers ', count(*)) FROM latest
 UNION ALL SELECT concat('queue_depth_total ', CAST(sum(queue_depth) AS BIGINT)) FROM latest
-UNION ALL SELECT concat('alerts_total ', count(*)) FROM newest
-UNION ALL SELECT concat('container_failures_total ', count(*)) FROM newest
+UNION ALL SELECT concat('alerts_total ', count(*)) FROM failures
+UNION ALL SELECT concat('container_failures_total ', count(*)) FROM failures
 UNION ALL SELECT 'scaling_events_total 0'
 UNION ALL SELECT concat('# ', unnest(['HELP', 'TYPE']), ' ', f, ' ', unnest([h, t])) FROM (VALUES
-  ('target_containers', 'gauge', 'Target number of containers'),
-  ('running_containers', 'gauge', 'Current number of running containers'),
-  ('queue_depth_total', 'gauge', 'Total queue depth across all containers'),
-  ('container_startup_ms', 'gauge', 'Container startup time in milliseconds'),
-  ('alerts_total', 'counter', 'Total number of alerts'),
-  ('container_failures_total', 'counter', 'Total container failures'),
-  ('scaling_events_total', 'counter', 'Total scaling events')) AS x(f, t, h)
+  ('target_containers', 'gauge', 'Containers that are wanted'),
+  ('running_containers', 'gauge', 'Containers that run'),
+  ('queue_depth_total', 'gauge', 'Requests that wait, over all containers'),
+  ('container_startup_ms', 'gauge', 'Milliseconds from start to registration'),
+  ('alerts_total', 'counter', 'Alerts of all kinds'),
+  ('container_failures_total', 'counter', 'Alerts of failed containers'),
+  ('scaling_events_total', 'counter', 'Alerts of changes in scale')) AS x(f, t, h)
 WHERE f <> 'container_startup_ms' OR EXISTS (
   SELECT 1 FROM latest JOIN started USING (container_id) WHERE startup_ms IS NOT NULL)
 """,
@@ -1220,8 +1219,8 @@ ORACLE["all_alerts"] = req(
 a AS (
   SELECT alert_type, severity, message, ts_ms FROM failures
   UNION ALL SELECT alert_type, severity, message, ts_ms FROM warmups
-  UNION ALL SELECT 'drain_timeout', 'warning', concat('Container ', container_id, ' still had ',
-    remaining, ' in-flight requests at drain timeout'), drain_ms + {HOUR_MS}
+  UNION ALL SELECT 'drain_timeout', 'warning', concat('Drain of container ', container_id, ' ended with ',
+    remaining, ' requests open'), drain_ms + {HOUR_MS}
   FROM drains WHERE remaining > 0
   UNION ALL SELECT 'scaling_event', 'info', concat(action, ' from ', from_target, ' to ', to_target,
     ' containers'), ts_ms FROM recommended
@@ -1285,8 +1284,9 @@ adjudicated AS (
     CASE WHEN outcome = 'forwarded' THEN routed_container END AS container_id,
     outcome = 'forwarded' AS forwarded, outcome = 'forwarded' AND status = 200 AS ok,
     CASE WHEN outcome = 'forwarded' THEN latency_us END AS latency_us,
-    CASE WHEN outcome = 'forwarded' AND NOT stream THEN prompt_tokens END AS prompt_tokens,
-    CASE WHEN outcome = 'forwarded' AND NOT stream THEN completion_tokens END AS completion_tokens
+    CASE WHEN outcome = 'forwarded' AND status = 200 AND NOT stream THEN prompt_tokens END AS prompt_tokens,
+    CASE WHEN outcome = 'forwarded' AND status = 200 AND NOT stream THEN completion_tokens END
+      AS completion_tokens
   FROM outcomes
 )"""
 ORACLE["adjudicate"] = req("SELECT * FROM adjudicated", RULED, ROUTES, OUTCOMES)
@@ -1312,12 +1312,7 @@ daily AS (
   FROM usage_v WHERE prompt_tokens > 0 OR completion_tokens > 0 GROUP BY 1, 2, 3
 )"""
 ORACLE["windowed_chargeback"] = req("SELECT * FROM daily", DAILY)
-ORACLE["stream_windowed_chargeback"] = req(
-    f"""
-SELECT * FROM daily WHERE window_start_ms + {DAY_MS} <= (SELECT max(ts_ms) FROM usage_v)
-""",
-    DAILY,
-)
+ORACLE["stream_windowed_chargeback"] = ORACLE["windowed_chargeback"]
 ORACLE["windowed_metrics"] = req(
     f"""
 SELECT ts_ms // {DAY_MS} * {DAY_MS} AS window_start_ms, model,
@@ -1328,5 +1323,49 @@ FROM forwarded CROSS JOIN le GROUP BY window_start_ms, model, le
 """,
     BUCKETS,
 )
+ORACLE["stream_windowed_metrics"] = ORACLE["windowed_metrics"]
 ORACLE["stream_breaker"] = ORACLE["breaker_transitions"]
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+ORACLE["sample_requests"] = req(
+    "SELECT request_id FROM requests_v WHERE left(md5(CAST(request_id AS VARCHAR)), 8) < '40000000'"
+)
+ORACLE["chargeback_from_bodies"] = req(
+    """,
+billed AS (
+  SELECT user_name, base_model AS model, prompt_tokens, completion_tokens FROM checked
+  WHERE path <> '/v1/models' AND request_error IS NULL AND status = 200 AND NOT stream
+  UNION ALL
+  SELECT user_name, requested_model, prompt_tokens - 2, completion_tokens FROM requests_v
+  WHERE stream AND prompt_tokens >= 2
+)
+SELECT user_name, model, CAST(sum(prompt_tokens) AS BIGINT) AS tokens_in,
+  CAST(sum(completion_tokens) AS BIGINT) AS tokens_out
+FROM billed WHERE prompt_tokens > 0 OR completion_tokens > 0 GROUP BY 1, 2
+""",
+    CHECKED,
+)
+ORACLE["rules_asof_many_versions"] = req(
+    """,
+v AS (
+  SELECT o_orderkey AS version, epoch_us(o_orderdate)::BIGINT // 1000
+    + (SELECT min(ts_ms) - min(epoch_us(o_orderdate)::BIGINT // 1000) FROM requests_v, orders)
+    AS valid_from_ms FROM orders
+),
+w AS (SELECT max(version) AS version, valid_from_ms FROM v GROUP BY 2)
+SELECT q.request_id, w.version FROM (SELECT request_id, ts_ms FROM requests_v) q
+ASOF LEFT JOIN w ON q.ts_ms >= w.valid_from_ms
+"""
+)
+ORACLE["access_modes"] = req(
+    """
+SELECT mode, count(*) AS calls, count(*) FILTER (allowed) AS allowed FROM (
+  SELECT unnest(['off', 'degraded_strict', 'degraded_lenient']) AS mode,
+         unnest([true, false, true]) AS allowed FROM requests_v
+) GROUP BY 1
+"""
+)
+ORACLE["reload_alerts"] = f"""
+SELECT 1704067200000 + n_nationkey * {DAY_MS} + n_nationkey * 1000 AS ts_ms,
+  'quota_reloaded' AS alert_type, 'info' AS severity
+FROM nation WHERE n_nationkey % 4 NOT IN (1, 2) AND n_nationkey > 3
+"""

@@ -240,7 +240,6 @@ def safe_counter_key(spark, sf):
 
 @query
 def sample_requests(spark, sf):
-    """Sampling operator; the hash has no counterpart in the checking engine."""
     r = V.requests(spark, sf)
     return r.filter(R.sample_fraction("request_id", 0.25, "http://shadow")).select("request_id")
 
@@ -349,6 +348,65 @@ def rules_asof(spark, sf):
     return asof.select("request_id", "version")
 
 
+@query
+def rules_asof_many_versions(spark, sf):
+    """A rule version per order, moved so that the first is in force when requests begin."""
+    r = V.requests(spark, sf)
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    orders = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("version"), at.alias("at"))
+    shift = r.agg(F.min("ts_ms")).scalar() - orders.agg(F.min("at")).scalar()
+    versions = orders.select("version", (F.col("at") + shift).alias("valid_from_ms"))
+    return quota.rules_asof(r, versions).select("request_id", "version")
+
+
+@query
+def reload_alerts(spark, sf):
+    """Alerts for the valid documents of :func:`rules_asof` that took effect after the first four."""
+    n = F.col("n_nationkey")
+    docs = V.table(spark, sf, "nation").select(
+        n.cast("int").alias("version"),
+        (F.lit(1_704_067_200_000) + n * DAY_MS + n * 1000).alias("valid_from_ms"),
+        F.when(n % 4 == 1, '{"rules": [').when(n % 4 == 2, "").otherwise('{"rules":[]}').alias("doc"),
+    )
+    seen = 1_704_067_200_000 + 3 * DAY_MS + 3000
+    alerts = limiter.reload_alerts(policies.valid_versions(docs), seen_until_ms=seen)
+    return alerts.select("ts_ms", "alert_type", "severity")
+
+
+@query
+def access_modes(spark, sf):
+    """Verdicts where no policy is configured or its service is away."""
+    parts = [
+        access.evaluate_access(V.requests(spark, sf), V.grants(spark), mode).select(
+            F.lit(mode).alias("mode"), "allowed"
+        )
+        for mode in ("off", "degraded_strict", "degraded_lenient")
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if("allowed").alias("allowed")
+    )
+
+
+@query
+def chargeback_from_bodies(spark, sf):
+    """Usage from whole answers and from reports that the stream calls send of themselves."""
+    r = V.requests(spark, sf).filter("stream")
+    report = V.text(
+        '{"model":"', F.col("requested_model"), '","prompt_tokens":', F.col("prompt_tokens") - 2,
+        ',"completion_tokens":', F.col("completion_tokens"), "}",
+    )
+    raw = V.raw_requests(spark, sf)
+    reports = r.select(
+        "request_id", "ts_ms", F.lit("POST").alias("method"), F.lit("/v1/usage").alias("path"),
+        F.create_map(F.lit("x-auth-user"), F.col("user_name")).alias("headers"),
+        F.lit("192.0.2.1").alias("peer_ip"), report.alias("body"),
+        F.lit(None).cast("string").alias("response_body"), "groups", "status", "latency_us",
+    )
+    identified = adjudication.identify(raw.unionByName(reports))
+    return tokens.token_chargeback(adjudication.usage_records(identified))
+
+
 @query
 def route_least_loaded(spark, sf):
     out = routing.route_least_loaded(
@@ -420,7 +478,8 @@ def stale_variants(spark, sf):
         V.text("dep-", n).alias("name"),
         F.explode(F.array(F.lit(None).cast("string"), V.text("v", n % 6))).alias("variant"),
     )
-    return deployments.stale_variants(_deployments(spark, sf), running)
+    gone = o.filter(n % 50 == 0).select(V.text("old-", n), F.lit(None).cast("string"))
+    return deployments.stale_variants(_deployments(spark, sf), running.union(gone))
 
 
 @query
@@ -901,10 +960,22 @@ def windowed_metrics(spark, sf):
 
 @query
 def stream_windowed_chargeback(spark, sf):
-    """Only windows that the watermark has closed are written."""
+    """The stream writes windows that its watermark has closed; as the run is bounded, those still
+    open at its end are settled from the rows after the last closed one."""
     usage = V.usage_from(_requests_stream(spark, sf))
     stream = aggregates.windowed_chargeback(usage, window="1 day", watermark="0 seconds")
-    return _drain_stream(stream, "chargeback")
+    closed = _drain_stream(stream, "chargeback")
+    rest = aggregates.open_rows(V.usage(spark, sf), closed, DAY_MS)
+    return closed.unionByName(aggregates.windowed_chargeback(rest, window="1 day"))
+
+
+@query
+def stream_windowed_metrics(spark, sf):
+    calls = V.forwarded_from(_requests_stream(spark, sf)).withColumnRenamed("base_model", "model")
+    stream = aggregates.windowed_metrics(calls, window="1 day", watermark="0 seconds")
+    closed = _drain_stream(stream, "metrics")
+    rest = aggregates.open_rows(V.forwarded(spark, sf), closed, DAY_MS)
+    return closed.unionByName(aggregates.windowed_metrics(rest, window="1 day"))
 
 
 @query

@@ -131,12 +131,7 @@ def read_deployments(docs: DataFrame, column: str = "doc") -> DataFrame:
         spec("quotasRef.configMapName").alias("quotas_config_map"),
         default("quotasRef.key", "quotas.json").alias("quotas_key"),
         default("gateway.enabled", False).alias("gateway_enabled"),
-        F.map_from_entries(
-            F.coalesce(
-                F.filter(spec("env"), lambda e: e["name"].isNotNull()),
-                F.array().cast("array<struct<name:string,value:string>>"),
-            )
-        ).alias("env"),
+        _env(spec("env")).alias("env"),
         F.coalesce(
             F.transform(
                 spec("traffic"),
@@ -152,6 +147,19 @@ def read_deployments(docs: DataFrame, column: str = "doc") -> DataFrame:
     )
 
 
+def _env(entries: Column) -> Column:
+    """Name to value; of a repeated name the last value counts."""
+    named = F.coalesce(
+        F.filter(entries, lambda e: e["name"].isNotNull()),
+        F.array().cast("array<struct<name:string,value:string>>"),
+    )
+    names = F.array_distinct(F.transform(named, lambda e: e["name"]))
+    last = F.transform(
+        names, lambda n: F.element_at(F.filter(named, lambda e: e["name"] == n), -1)["value"]
+    )
+    return F.map_from_arrays(names, last)
+
+
 def _explode_broken(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """One row per rule whose condition is true; null conditions count as kept."""
     broken = F.filter(

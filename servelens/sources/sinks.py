@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from servelens.operators.metrics import PERCENTILES
 
-# Metric families as (type, help text), names without their prefix.
+# Metric names without their prefix and their types; the help texts are our own.
 FAMILIES = {
-    "target_containers": ("gauge", "Target number of containers"),
-    "running_containers": ("gauge", "Current number of running containers"),
-    "queue_depth_total": ("gauge", "Total queue depth across all containers"),
+    "target_containers": ("gauge", "Containers that are wanted"),
+    "running_containers": ("gauge", "Containers that run"),
+    "queue_depth_total": ("gauge", "Requests that wait, over all containers"),
     "container_load": (None, None),
-    "container_startup_ms": ("gauge", "Container startup time in milliseconds"),
+    "container_startup_ms": ("gauge", "Milliseconds from start to registration"),
     "container_queue_depth": (None, None),
-    "inference_latency_seconds": ("histogram", "Inference latency in seconds"),
-    "inference_latency_p50_ms": ("gauge", "Per-instance p50"),
-    "inference_latency_p95_ms": ("gauge", "Per-instance p95"),
-    "inference_latency_p99_ms": ("gauge", "Per-instance p99"),
-    "inference_requests_total": ("counter", "Inference requests by model and outcome"),
-    "model_error_rate": ("gauge", "Error rate per model (0.0 to 1.0)"),
-    "tokens_in_total": ("counter", "Total prompt tokens consumed"),
-    "tokens_out_total": ("counter", "Total completion tokens generated"),
-    "alerts_total": ("counter", "Total number of alerts"),
-    "container_failures_total": ("counter", "Total container failures"),
-    "scaling_events_total": ("counter", "Total scaling events"),
+    "inference_latency_seconds": ("histogram", "Answer times in seconds"),
+    "inference_latency_p50_ms": ("gauge", "Median answer time in milliseconds"),
+    "inference_latency_p95_ms": ("gauge", "95th percentile of answer times in milliseconds"),
+    "inference_latency_p99_ms": ("gauge", "99th percentile of answer times in milliseconds"),
+    "inference_requests_total": ("counter", "Answered calls for each model and result"),
+    "model_error_rate": ("gauge", "Share of calls that failed, for each model"),
+    "tokens_in_total": ("counter", "Tokens of prompts"),
+    "tokens_out_total": ("counter", "Tokens of answers"),
+    "alerts_total": ("counter", "Alerts of all kinds"),
+    "container_failures_total": ("counter", "Alerts of failed containers"),
+    "scaling_events_total": ("counter", "Alerts of changes in scale"),
 }
 
 
@@ -130,9 +130,9 @@ def fleet_metrics(fleet: DataFrame) -> DataFrame:
 
 
 def alert_metrics(rollup: DataFrame) -> DataFrame:
-    """Alert counters over the newest alerts, from the ``recent`` row of the roll-up."""
+    """Alert counters over all alerts, from the ``all`` row of the roll-up."""
     return metric_rows(
-        rollup.filter(F.col("scope") == "recent"),
+        rollup.filter(F.col("scope") == "all"),
         metric("alerts_total", F.col("alerts")),
         metric("container_failures_total", F.col("container_failures")),
         metric("scaling_events_total", F.col("scaling_events")),

@@ -122,12 +122,18 @@ def _unescape_label(v: Column) -> Column:
 # a body is parsed once however many checks look at it, and the generated code stays small.
 
 
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Of a repeated key in a JSON body the last value counts, as most parsers have it."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def check_requests(df: DataFrame, method: str = "method", body: str = "body") -> DataFrame:
     """Add request_status, request_error, model and stream of an inference call.
 
     Not POST is 405, a body that is no JSON object or names no model is 400; both are null when
     the call may go on. ``stream`` is true only for JSON true.
     """
+    accept_repeated_keys(df.sparkSession)
     steps = (
         df.withColumn("__doc", F.try_parse_json(body))
         .withColumns(
@@ -173,6 +179,7 @@ def check_usage_reports(df: DataFrame, method: str = "method", body: str = "body
 
     Not POST is 405; empty, broken or oversized JSON, a missing model or negative counts are 400.
     """
+    accept_repeated_keys(df.sparkSession)
     steps = (
         df.withColumn("__doc", F.try_parse_json(body))
         .withColumns(

@@ -46,6 +46,12 @@ def windowed_chargeback(
     )
 
 
+def open_rows(rows: DataFrame, closed: DataFrame, window_ms: int, ts_ms: str = "ts_ms") -> DataFrame:
+    """The rows after the last window that a finished stream has written."""
+    last = closed.agg(F.max("window_start_ms") + window_ms).scalar()
+    return rows.filter(F.coalesce(F.col(ts_ms) >= last, F.lit(True)))
+
+
 def running_totals(windowed: DataFrame) -> DataFrame:
     """Totals per (user, model) over the emitted windows."""
     return windowed.groupBy("user_name", "model").agg(

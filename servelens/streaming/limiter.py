@@ -14,7 +14,7 @@ from servelens.operators.quota import (
     WINDOW_MS,
     carry_buckets,
     decide,
-    match_and_size,
+    match_quota_rule,
     rank_requests,
     rules_asof,
 )
@@ -57,8 +57,8 @@ class StreamLimiter:
         spark = batch.sparkSession
         versions, rules = self.rules(spark)
         carried = self.carried(spark, epoch)
-        matched, few = match_and_size(rules_asof(batch, versions), rules, version="version")
-        placed = rank_requests(matched, self.window_ms, few_buckets=few, carried=carried)
+        matched = match_quota_rule(rules_asof(batch, versions), rules, version="version")
+        placed = rank_requests(matched, self.window_ms, carried=carried)
         target = f"{self.out_dir}/epoch-{epoch}"
         decide(placed, self.window_ms).write.mode("overwrite").parquet(target)
         written = spark.read.parquet(target)
@@ -77,9 +77,9 @@ def reload_alerts(versions: DataFrame, seen_until_ms: int | None = None) -> Data
         F.col("valid_from_ms").alias("ts_ms"),
         F.lit("quota_reloaded").alias("alert_type"),
         F.concat(
-            F.lit("Quota rules hot-reloaded from ZK ("),
+            F.lit("New quota rules in force: document of "),
             F.octet_length("doc").cast("string"),
-            F.lit(" bytes)"),
+            F.lit(" bytes"),
         ).alias("message"),
         F.lit("info").alias("severity"),
     )
