@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servelens.llm.common import pick
-from servelens.session import stage
 
 FOLDS = 5
 
@@ -18,28 +17,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder == 0, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows outside the held-out fold.
-
-    Rows with a null id, text or label are left out; a document with several labels has each. They
-    are written once, as training reads them more than once.
-    """
-    marks = (
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labels outside the held-out fold; a document with several has each. Rows
+    with a null id or label are left out."""
+    return (
         pick(labels, "doc_id", label)
         .where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .select("doc_id", F.col(label).cast("int").alias("y"))
         .distinct()
     )
-    docs = pick(documents, "doc_id", "text").where("text is not null")
-    return stage(docs.where(~held_out(F.col("doc_id"))).join(marks, "doc_id"), f"labelled-{label}")
 
 
-def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """All of ``rows(doc_id, text, ...)``, or a share of about ``most`` of them by a hash of the id
-    and text: the same rows at every run, and no more than one tenth over ``most``."""
-    total = rows.count()
+def bounded(marks: DataFrame, most: int) -> DataFrame:
+    """All of ``marks(doc_id, y)``, or a share of about ``most`` of them by a hash of the id: the
+    same rows at every run, and never more than one tenth over ``most``."""
+    total = marks.count()
     if total <= most:
-        return rows
-    share = int(most / total * (1 << 32))
-    mixed = F.xxhash64("doc_id", "text", F.lit(29)).bitwiseAND(F.lit((1 << 32) - 1))
-    return rows.where(mixed < share).limit(most + most // 10)
+        return marks
+    mixed = F.xxhash64("doc_id", F.lit(29)).bitwiseAND(F.lit((1 << 32) - 1))
+    return marks.where(mixed < int(most / total * (1 << 32))).limit(most + most // 10)
+
+
+def labelled_texts(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, text, y) for ``marks`` from :func:`bounded`, whose bound makes the broadcast safe; no
+    text is shuffled. Null texts teach nothing and are left out."""
+    docs = pick(documents, "doc_id", "text").where("text is not null")
+    return docs.join(F.broadcast(marks), "doc_id")

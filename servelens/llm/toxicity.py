@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servelens.llm.common import map_rows, pick, text_bytes
-from servelens.llm.labels import bounded_sample, held_out, training_rows
+from servelens.llm.labels import bounded, held_out, labelled_texts, training_labels
 from servelens.worker import per_worker
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -44,8 +44,8 @@ LEAST = -math.log10(SIGNIFICANT)
 SENT = 32
 #: Counts by half and class.
 COUNTS = ("n00", "n01", "n10", "n11")
-#: Most labelled documents that the curves are fitted to (counts use all of them).
-FITTED = 20_000
+#: Most labelled documents that words are counted in, and that the curves are fitted to.
+COUNTED, FITTED = 200_000, 20_000
 
 
 def places_of(word: str) -> list[int]:
@@ -227,14 +227,17 @@ def model_of(counts: np.ndarray) -> ToxicModel:
     return ToxicModel(counts.astype("float32"), (float(words[0]), float(words[1])))
 
 
-def train(documents: DataFrame, labels: DataFrame, fitted: int = FITTED) -> ToxicModel:
-    """Fit on the labelled rows outside the held-out fold. Counts use all of them; the curves use at
-    most ``fitted``, of which a few numbers a row go to the driver.
+def train(
+    documents: DataFrame, labels: DataFrame, counted: int = COUNTED, fitted: int = FITTED
+) -> ToxicModel:
+    """Fit on labelled rows outside the held-out fold. Words are counted in at most about ``counted``
+    of them; the curves use at most about ``fitted``, of which a few numbers a row go to the driver.
 
     Rows are in two halves: those of one are fitted with the counts of the other, so that a
     word that occurs in one document only does not vouch for it.
     """
-    rows = training_rows(documents, labels, "toxic").withColumn("half", half_of(F.col("doc_id")))
+    marks = bounded(training_labels(labels, "toxic"), counted)
+    rows = labelled_texts(documents, marks).withColumn("half", half_of(F.col("doc_id")))
     counts = count_words(rows)
     bare = model_of(counts.sum(axis=0))
     # Plain values: a broadcast is unpickled where this package may not be installed.
@@ -249,7 +252,9 @@ def train(documents: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Toxi
             columns = [pa.array([n for n, _ in found], pa.int64()), pa.array(scores, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["n", "scores", "y"])
 
-    sample = bounded_sample(rows, fitted).select(text_bytes().alias("text"), "y", "half")
+    sample = labelled_texts(documents, bounded(marks, fitted)).select(
+        text_bytes().alias("text"), "y", half_of(F.col("doc_id")).alias("half")
+    )
     got = sample.mapInArrow(run, "n long, scores array<double>, y int").toArrow()
     n, y, scores = got.column("n").to_numpy(), got.column("y").to_numpy(), got.column("scores").to_pylist()
     best = np.array([max(x, default=0.0) for x in scores])
@@ -273,7 +278,11 @@ def train(documents: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Toxi
 
 
 def score_toxicity(
-    documents: DataFrame, labels: DataFrame, threshold: float = 0.5, fitted: int = FITTED
+    documents: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    counted: int = COUNTED,
+    fitted: int = FITTED,
 ) -> DataFrame:
     """One row per row of ``documents(doc_id, text)``: held_out, score, predicted (score at or above
     ``threshold``), n_passages and passages, the significant segments as arrays of (first, last)
@@ -282,7 +291,7 @@ def score_toxicity(
     A null text counts as empty and gets the score of a text without a segment. Without labels of
     both classes every text gets a score by the unfitted curve. Labels, lang and source are no input.
     """
-    model = train(documents, labels, fitted)
+    model = train(documents, labels, counted, fitted)
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     number = uuid.uuid4().hex
 
