@@ -1331,7 +1331,7 @@ ORACLE["sample_requests"] = req(
 )
 ORACLE["chargeback_from_bodies"] = req(
     """,
-billed AS (
+paid AS (
   SELECT user_name, base_model AS model, prompt_tokens, completion_tokens FROM checked
   WHERE path <> '/v1/models' AND request_error IS NULL AND status = 200 AND NOT stream
   UNION ALL
@@ -1340,7 +1340,7 @@ billed AS (
 )
 SELECT user_name, model, CAST(sum(prompt_tokens) AS BIGINT) AS tokens_in,
   CAST(sum(completion_tokens) AS BIGINT) AS tokens_out
-FROM billed WHERE prompt_tokens > 0 OR completion_tokens > 0 GROUP BY 1, 2
+FROM paid WHERE prompt_tokens > 0 OR completion_tokens > 0 GROUP BY 1, 2
 """,
     CHECKED,
 )
