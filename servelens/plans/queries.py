@@ -403,7 +403,7 @@ def chargeback_from_bodies(spark, sf):
         F.lit("192.0.2.1").alias("peer_ip"), report.alias("body"),
         F.lit(None).cast("string").alias("response_body"), "groups", "status", "latency_us",
     )
-    identified = adjudication.identify(raw.unionByName(reports))
+    identified = stage(adjudication.identify(raw.unionByName(reports)), "identified")
     return tokens.token_chargeback(adjudication.usage_records(identified))
 
 
