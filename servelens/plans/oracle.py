@@ -1369,3 +1369,18 @@ SELECT 1704067200000 + n_nationkey * {DAY_MS} + n_nationkey * 1000 AS ts_ms,
   'quota_reloaded' AS alert_type, 'info' AS severity
 FROM nation WHERE n_nationkey % 4 NOT IN (1, 2) AND n_nationkey > 3
 """
+ORACLE["stream_rate_limit_reload"] = req(
+    """
+SELECT request_id, CAST(version AS INT) AS version, NOT denied AS allowed, retry_after_ms, reason,
+  rule_desc FROM limited
+""",
+    RULED,
+    f"""
+used AS (
+  SELECT * REPLACE (bucket || '@' || version AS bucket) FROM (
+    SELECT *, CASE WHEN ts_ms >= 1704067200000 + 20 * {DAY_MS} THEN 3
+                   WHEN ts_ms >= 1704067200000 + 10 * {DAY_MS} THEN 2 ELSE 1 END AS version
+    FROM ruled WHERE path <> '/v1/models')
+)""",
+    limited("used"),
+)

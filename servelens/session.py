@@ -90,3 +90,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of one's own below the shared folder that nothing reads any more."""
+    if not path.startswith(f"{shared_root(spark)}/servelens/"):
+        raise ValueError(f"not a table of the shared folder: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

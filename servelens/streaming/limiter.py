@@ -43,9 +43,12 @@ class StreamLimiter:
         self.versions_path, self.state_dir, self.out_dir = versions_path, state_dir, out_dir
         self.window_ms, self.fallback = window_ms, fallback
 
-    def rules(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    def rules(self, spark: SparkSession, first_ms: int, last_ms: int) -> DataFrame:
+        """The valid rule documents in force at some time between the two."""
         docs = valid_versions(spark.read.parquet(self.versions_path), self.fallback)
-        return docs.select("version", "valid_from_ms"), load_quota_rules(docs)
+        at = F.col("valid_from_ms")
+        start = docs.filter(at <= first_ms).agg(F.max(at)).scalar()
+        return docs.filter((at <= last_ms) & (at >= F.coalesce(start, F.lit(first_ms))))
 
     def carried(self, spark: SparkSession, epoch: int) -> DataFrame | None:
         """State left by the previous epoch; a missing one is an error except for the first."""
@@ -55,9 +58,18 @@ class StreamLimiter:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions, rules = self.rules(spark)
+        first_ms, last_ms = batch.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+        docs = self.rules(spark, first_ms or 0, last_ms or 0)
         carried = self.carried(spark, epoch)
-        matched = match_quota_rule(rules_asof(batch, versions), rules, version="version")
+        if carried is not None and first_ms is not None:
+            # Buckets of documents that no request of now can meet are let go.
+            version = F.substring_index("bucket", "@", -1)
+            live = docs.select(F.col("version").cast("string").alias("__v")).distinct()
+            carried = carried.join(live, version == F.col("__v"), "left_semi")
+        versions = docs.select("version", "valid_from_ms")
+        matched = match_quota_rule(
+            rules_asof(batch, versions), load_quota_rules(docs), version="version"
+        )
         placed = rank_requests(matched, self.window_ms, carried=carried)
         target = f"{self.out_dir}/epoch-{epoch}"
         decide(placed, self.window_ms).write.mode("overwrite").parquet(target)
@@ -65,6 +77,10 @@ class StreamLimiter:
         carry_buckets(written, carried).write.mode("overwrite").parquet(
             f"{self.state_dir}/epoch-{epoch}"
         )
+        if epoch >= 2:
+            # The state before the last one is of no use to a replay any more.
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/epoch-{epoch - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def reload_alerts(versions: DataFrame, seen_until_ms: int | None = None) -> DataFrame:

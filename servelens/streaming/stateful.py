@@ -1,7 +1,8 @@
 """Keyed state machines on streams. Batch and stream share the walks of ``operators.state``.
 
-Rows of one key are ordered within a trigger; a row older than the key's last one is skipped and
-left to the batch operator, which is the reference answer for late data.
+Rows of one key are ordered within a trigger, for which only their numbers are held, no frames; bound
+a trigger with the source's ``maxFilesPerTrigger``. A row older than the key's last one cannot change
+what was given out: it comes out flagged as late, for the batch operator to settle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ from servelens.session import use_state_store
 WARMUP_SCHEMA = "container_id string, start_ms bigint, verdict string, took_ms bigint"
 
 
+LATE = "LATE"
+
+
+def _columns(rows: Iterator[pd.DataFrame], kinds: dict[str, type]) -> list[np.ndarray]:
+    """The named columns of all frames; each frame is let go once they are copied."""
+    parts = [[pdf[c].to_numpy(dtype=kind) for c, kind in kinds.items()] for pdf in rows]
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 class BreakerProcessor(StatefulProcessor):
     def __init__(self, threshold: int, reset_ms: int):
         self.threshold, self.reset_ms = threshold, reset_ms
@@ -41,19 +51,23 @@ class BreakerProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         held = self.state.get() if self.state.exists() else (NEVER, 0, NEVER)
-        pdf = pd.concat(rows)
-        pdf = pdf[pdf["ts_ms"] >= held[2]]
-        if pdf.empty:
+        ts, ids, ready = _columns(rows, {"ts_ms": np.int64, "event_id": np.int64, "ready": bool})
+        late = ts < held[2]
+        if late.any():
+            yield pd.DataFrame(
+                {
+                    "host": key[0], "ts_ms": ts[late], "event_id": ids[late],
+                    "step": np.zeros(late.sum(), np.int32), "from_state": LATE, "to_state": LATE,
+                }
+            )
+        ts, ids, ready = ts[~late], ids[~late], ready[~late]
+        if not len(ts):
             return
-        order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts_ms"].to_numpy()))
-        pdf = pdf.iloc[order]
-        run = ProbeRun(
-            pdf["ts_ms"].to_numpy(), pdf["ready"].to_numpy(dtype=bool), self.threshold, self.reset_ms
-        )
-        out, state = transition_rows(
-            key[0], run, pdf["event_id"].to_numpy(), BreakerState(int(held[0]), int(held[1]))
-        )
-        self.state.update((state.resume_ms, state.failures, int(pdf["ts_ms"].iloc[-1])))
+        order = np.lexsort((ids, ts))
+        ts, ids, ready = ts[order], ids[order], ready[order]
+        run = ProbeRun(ts, ready, self.threshold, self.reset_ms)
+        out, state = transition_rows(key[0], run, ids, BreakerState(int(held[0]), int(held[1])))
+        self.state.update((state.resume_ms, state.failures, int(ts[-1])))
         yield out
 
     def close(self) -> None:
@@ -83,8 +97,16 @@ class ScaleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         held = self.state.get() if self.state.exists() else (self.initial_target, NEVER, NEVER)
-        pdf = pd.concat(rows)
-        pdf = pdf[pdf["ts_ms"] > held[2]]
+        tick, ts, load = _columns(rows, {"tick": np.int64, "ts_ms": np.int64, "load": float})
+        late = ts <= held[2]
+        if late.any():
+            yield pd.DataFrame(
+                {
+                    "deployment": key[0], "tick": tick[late], "ts_ms": ts[late], "action": LATE,
+                    "from_target": np.int32(held[0]), "to_target": np.int32(held[0]),
+                }
+            )
+        pdf = pd.DataFrame({"deployment": key[0], "tick": tick[~late], "ts_ms": ts[~late], "load": load[~late]})
         if pdf.empty:
             return
         out, state = recommendation_rows(pdf, ScaleState(int(held[0]), int(held[1])), self.limits)

@@ -14,7 +14,12 @@ from servelens.sources import policies, telemetry
 def skewed(spark):
     rng = random.Random(7)
     rows = [
-        (rng.choice(["hot", "hot", "hot", "a", "b", "c"]), rng.randrange(0, 40_000), i, rng.randrange(0, 90_000))
+        (
+            rng.choice(["hot", "hot", "hot", "a", "b", None]),
+            rng.randrange(0, 40_000),
+            i * 2**50 if i % 2 else -i,
+            rng.randrange(0, 90_000),
+        )
         for i in range(4000)
     ]
     return spark.createDataFrame(rows, "k string, ts_ms long, request_id long, v long").cache()
@@ -68,7 +73,7 @@ def test_exact_quantiles_are_nearest_rank(skewed):
 
 
 def test_order_key_orders_like_the_pair(spark):
-    rows = [(5, 9), (5, 2**62), (6, 0), (4, 2**62), (1_700_000_000_000, 3)]
+    rows = [(5, 9), (5, 2**62), (6, 0), (4, 2**62), (1_700_000_000_000, 3), (5, -9), (6, -(2**63)), (-1, -1), (7, 2**63 - 1)]
     df = spark.createDataFrame(rows, "t long, i long").withColumn("key", skew.order_key("t", "i"))
     assert [(r.t, r.i) for r in df.orderBy("key").collect()] == sorted(rows)
     assert all(r.t == r.back for r in df.withColumn("back", skew.order_key_ts(F.col("key"))).collect())
@@ -373,3 +378,62 @@ def test_asof_equals_scan(spark):
         seen = [x for x in marks if x[0] == k and x[3] is not None and (x[1] < ts or (inclusive and x[1] == ts))]
         assert out[pid] == (max(seen, key=lambda x: (x[1], x[2]))[3] if seen else None)
     assert len(out) == len(points)
+
+
+def test_null_keys_are_keys(spark):
+    shape = "request_id long, model string, status int, latency_us long"
+    rows = [(1, None, 200, 10), (2, None, 500, 30), (3, "m", 200, 20), (4, "shadow:m", 200, 25)]
+    requests = spark.createDataFrame(rows, shape)
+    card = {r["model"]: r for r in metrics.model_scorecard(requests).collect()}
+    assert (card[None]["requests"], card[None]["p50_us"], card[None]["p99_us"]) == (2, 10, 30)
+    pairs = {r["model"]: r for r in metrics.shadow_compare(requests).collect()}
+    assert pairs[None]["primary_requests"] == 2 and pairs["m"]["delta_p50_us"] == 5
+    samples = spark.createDataFrame([(None, 0, 1, 5), (None, 10, 2, 9), ("a", 0, 3, 1)], "k string, ts_ms long, seq long, value long")
+    grown = {r["k"]: r["increase"] for r in metrics.counter_increase(samples, ["k"], 1000).collect()}
+    assert grown == {None: 4, "a": 0}
+    spans = spark.createDataFrame(
+        [("t", "s", None, "SERVER", 0, 100, {"user": "u"}), ("t", "c", "s", "CLIENT", 10, 70, {})],
+        "trace_id string, span_id string, parent_span_id string, kind string, start_us long, end_us long, attrs map<string,string>",
+    )
+    (row,) = traces.proxy_overhead(spans).collect()
+    assert (row["model"], row["user_name"], row["calls"], row["p50_us"]) == (None, "u", 1, 40)
+
+
+def test_percentiles_of_all_or_of_the_newest(spark):
+    rows = [(i, "m", 200, i, i) for i in range(1, 2001)]
+    requests = spark.createDataFrame(rows, "request_id long, model string, status int, latency_us long, ts_ms long")
+    assert metrics.model_scorecard(requests).first()["p50_us"] == 1000
+    assert metrics.model_scorecard(requests, recent=1000).first()["p50_us"] == 1500
+
+
+def test_corrupt_scrapes_do_not_end_the_job(spark):
+    body = (
+        'nv_inference_pending_request_count{model="a"} 99999999999\n'
+        'nv_gpu_utilization{gpu="0"} 4.55e1\nnv_gpu_utilization{gpu="1"} -3\nnv_gpu_utilization{gpu="2"} 1.2.3\n'
+    )
+    scrapes = spark.createDataFrame([("h", "c", 0, 1, body)], "host string, container_id string, ts_ms long, scrape_id long, body string")
+    one = fleet.scrape_load(scrapes, telemetry.parse_exposition(scrapes)).first()
+    two = fleet.scrape_load_inline(scrapes).first()
+    assert (one["gpu_load"], one["queue_depth"]) == (two["gpu_load"], two["queue_depth"])
+    assert one["queue_depth"] == 2**31 - 1 and one["gpu_load"] == pytest.approx(0.0455)
+
+
+def test_routes_against_a_plain_walk(spark):
+    rng = random.Random(3)
+    roster = [(f"c{i}", f"h{i % 3}", i) for i in range(7)]
+    readings = [(f"c{rng.randrange(7)}", rng.randrange(0, 4000), i - 500, rng.randrange(5)) for i in range(300)]
+    calls = [(i, rng.randrange(-50, 5000)) for i in range(400)]
+    out = routing.route_least_loaded(
+        spark.createDataFrame(calls, "request_id long, ts_ms long"),
+        spark.createDataFrame(readings, "container_id string, ts_ms long, event_id long, depth int"),
+        spark.createDataFrame(roster, "container_id string, host string, ord int"),
+        tick_ms=10,
+    )
+    for r in out.collect():
+        tick = r["ts_ms"] // 10
+        depths = {}
+        for c, ts, event, depth in sorted(readings, key=lambda x: (x[1], x[2])):
+            if ts // 10 + 1 <= tick:
+                depths[c] = depth
+        want = min((depths.get(c, 0), h, o, c) for c, h, o in roster)
+        assert (r["routed_depth"], r["routed_host"], r["routed_container"]) == (want[0], want[1], want[3])

@@ -130,3 +130,22 @@ def test_launcher_audit(spark):
         "proxy_port_clash", "slice_size", "shadow_endpoint",
     }
     assert not [r for r in out if r["config_id"] == 1]
+
+
+def test_repeated_names_and_keys(spark):
+    doc = '{"metadata":{"name":"d"},"spec":{"env":[{"name":"A","value":"1"},{"name":"B"},{"name":"A","value":"2"}]}}'
+    (row,) = policies.read_deployments(spark.createDataFrame([(doc,)], "doc string")).collect()
+    assert row["env"] == {"A": "2", "B": None}
+    body = '{"model":"a","model":"b"}'
+    call = spark.createDataFrame([("POST", body)], "method string, body string")
+    (row,) = telemetry.check_requests(call).collect()
+    assert row["request_error"] is None and row["model"] == "b"
+
+
+def test_alert_counters_cover_all_alerts(spark):
+    rollup = spark.createDataFrame(
+        [("recent", 100, 60, 40), ("all", 250, 150, 100)],
+        "scope string, alerts long, container_failures long, scaling_events long",
+    )
+    values = {r["name"]: r["value"] for r in sinks.alert_metrics(rollup).selectExpr("metric AS name", "value").collect()}
+    assert sorted(float(v) for v in values.values()) == [100, 150, 250]
