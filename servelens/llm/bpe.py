@@ -24,7 +24,7 @@ from servelens.worker import per_worker
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces that one worker remembers before it starts again with an empty table.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 #: Any character for which :func:`latin_pattern` does not hold.

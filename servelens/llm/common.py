@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,6 +34,23 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+#: Bytes of texts that a function gets at a time; a longer text comes alone.
+PART_BYTES = 4 << 20
+
+
+def parts(texts: pa.Array, most_bytes: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of texts (UTF-8) of at most ``most_bytes`` together."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > most_bytes:
+            yield start, at
+            start, held = at, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes]], dict[str, list]]],
@@ -41,9 +59,9 @@ def map_rows(
 ) -> DataFrame:
     """Apply a function over the texts (UTF-8, null as empty) of ``df(<keep>, text)`` by Arrow batch.
 
-    ``make`` runs once per task and returns the function, which may hold caches; it gets the texts
-    of a batch and returns one list for each column of ``schema``. A batch is bounded by Spark's
-    Arrow limits in rows and bytes, so memory does not grow with the partition.
+    ``make`` runs once per task and returns the function, which may hold caches; it gets a few
+    megabytes of texts at a time and returns one list for each column of ``schema``. Batches are
+    bounded by Spark's Arrow limits, so memory does not grow with the partition.
     """
     held = keep.split()[0]
     target = StructType.fromDDL(f"{keep}, {schema}")
@@ -53,9 +71,10 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch.column(1).to_pylist())
-                columns = [batch.column(0)]
+            for start, stop in parts(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                out = function(part.column(1).to_pylist())
+                columns = [part.column(0)]
                 columns += [pa.array(out[f], arrow.field(f).type) for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

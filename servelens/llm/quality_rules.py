@@ -16,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from servelens.llm.common import map_rows, text_bytes
+from servelens.llm.common import map_rows, parts
 
 #: Characters that count as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
@@ -223,14 +222,13 @@ def keep_good(
     """The rows of ``df`` that :func:`quality_rules` keeps, all columns as they are."""
     here = df.columns
     bare = df.toDF(*[f"_{i}" for i in range(len(here))])
-    bare = bare.withColumn("_text", text_bytes(f"_{here.index('text')}"))
+    at = here.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                kept = judge(texts, min_words, max_fraction, max_longest)["kept"]
-                rest = batch.select(batch.schema.names[:-1])
-                yield rest.filter(pa.array(kept))
+            for start, stop in parts(batch.column(at)):
+                part = batch.slice(start, stop - start)
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(judge(texts, min_words, max_fraction, max_longest)["kept"]))
 
-    return bare.mapInArrow(run, bare.drop("_text").schema).toDF(*here)
+    return bare.mapInArrow(run, bare.schema).toDF(*here)
