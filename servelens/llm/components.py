@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from servelens.session import stage
+from servelens.session import discard, shared_dir
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,13 +35,22 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     """(node, root) for every node of ``edges(u long, v long)`` but the roots themselves; a root is
     the smallest node of its component.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. Rounds
-    grow with the logarithm of the longest path. A null end or a loop is no edge.
+    Each round is written to the shared folder, so a lost executor costs one round at most; the one
+    before is removed then. Rounds grow with the logarithm of the longest path. A null end or a loop
+    is no edge.
     """
-    now = stage(edges.select("u", "v").where("u != v").distinct(), label)
-    state = _state(now)
+    spark = edges.sparkSession
+
+    def written(rows: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path = shared_dir(spark, label)
+        rows.write.parquet(path)
+        table = spark.read.schema("u long, v long").parquet(path)
+        return table, path, _state(table)
+
+    now, path, state = written(edges.select("u", "v").where("u != v").distinct())
     while True:
-        now = stage(small_star(large_star(now).where("u != v").distinct()).distinct(), label)
-        before, state = state, _state(now)
-        if state == before:
+        old_path, old_state = path, state
+        now, path, state = written(small_star(large_star(now).where("u != v").distinct()).distinct())
+        discard(spark, old_path)
+        if state == old_state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
