@@ -67,13 +67,15 @@ def score_routed(
     call = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded = per_worker("models", call, dict)
         for pdf in batches:
             scores = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             for base, part in pdf.groupby("__base", sort=False):
                 if base not in models:
                     continue
-                model = per_worker(("model", call, base), models[base])
-                out = model(np.stack(part[input_col].to_list()).astype(np.float32))
+                if base not in loaded:
+                    loaded[base] = models[base]()
+                out = loaded[base](np.stack(part[input_col].to_list()).astype(np.float32))
                 scores.loc[part.index] = pd.Series(list(out), index=part.index)
             yield pdf.drop(columns="__base").assign(**{output_col: scores})
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 from typing import Any
 
 
-def per_worker(key: tuple, build: Callable[[], Any]) -> Any:
-    """The object that ``build`` made for ``key`` in this worker, made at the first call.
+def per_worker(kind: str, version: Hashable, build: Callable[[], Any]) -> Any:
+    """The object that ``build`` made in this worker for the current ``version`` of ``kind``.
 
-    Functions that travel with a job get new globals in every task, so the objects are held in a
-    module of their own. For models, vocabularies and bounded caches; never for rows.
+    Another version takes its place, so a worker holds one object of a kind however many queries it
+    serves. Functions that travel with a job get new globals in every task, so the objects are held
+    in a module of their own. For models, vocabularies and bounded caches; never for rows.
     """
     holder = sys.modules.setdefault("servelens_worker_state", types.ModuleType("worker_state"))
-    if key not in holder.__dict__:
-        holder.__dict__[key] = build()
-    return holder.__dict__[key]
+    held = holder.__dict__.get(kind)
+    if held is None or held[0] != version:
+        holder.__dict__.pop(kind, None)
+        held = holder.__dict__[kind] = (version, build())
+    return held[1]
