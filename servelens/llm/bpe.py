@@ -242,7 +242,7 @@ def encode_documents(df: DataFrame, path: str | None = None) -> DataFrame:
 
     def make():
         file = path if "/" in path else SparkFiles.get(path)
-        encoder = per_worker(("bpe", file), lambda: TextEncoder(read_ranks(file)))
+        encoder = per_worker("bpe", file, lambda: TextEncoder(read_ranks(file)))
 
         def run(texts: list[bytes]) -> dict[str, list]:
             ids = [encoder.packed(t.decode()) for t in texts]

@@ -117,7 +117,7 @@ class JsonCounter:
 
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     kind = PieceCounter if path.endswith(".model") else JsonCounter
-    return per_worker(("token_counts", path), lambda: kind(path)).count
+    return per_worker("token_counts", path, lambda: kind(path)).count
 
 
 def count_tokens(df: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:

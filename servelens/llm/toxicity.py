@@ -139,13 +139,13 @@ class ToxicModel:
 
     def scorer(self) -> Callable[[str], float]:
         """Word to its log-odds less the cost of a word."""
-        n0, n1 = self.counts.astype(float).tolist()
+        n0, n1 = self.counts
         totals, priors = self.totals, [prior for *_, prior in LEVELS]
 
         def score(word: str) -> float:
             rate = 0.0
             for at, prior in zip(places_of(word), priors):
-                rate = log_odds(n1[at], n0[at], prior, rate, totals)
+                rate = log_odds(float(n1[at]), float(n0[at]), prior, rate, totals)
             return rate - COST
 
         return score
@@ -170,7 +170,7 @@ class ToxicModel:
 class Scanner:
     """Find segments with a model, remembering the scores of up to ``most`` words."""
 
-    def __init__(self, model: ToxicModel, most: int = 400_000):
+    def __init__(self, model: ToxicModel, most: int = 200_000):
         self.model, self.most = model, most
         self.score = model.scorer()
         self.scores: dict[str, float] = {}
@@ -296,7 +296,7 @@ def score_toxicity(
     number = uuid.uuid4().hex
 
     def make():
-        scanner = per_worker(("toxicity", number), lambda: Scanner(ToxicModel(**shared.value)))
+        scanner = per_worker("toxicity", number, lambda: Scanner(ToxicModel(**shared.value)))
 
         def run(texts: list[bytes]) -> dict[str, list]:
             out: dict[str, list] = {"score": [], "n_passages": [], "passages": []}
