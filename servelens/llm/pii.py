@@ -305,11 +305,11 @@ def redact(df: DataFrame, **options) -> DataFrame:
     )
     tail = F.substring(body, F.element_at(spans, -1)["end"] + 1, F.length(body))
     clean = F.when(spans.isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    out = numbered.join(found, "rid", "left").withColumn(
-        f"_{at}", clean
-    )
+    # Texts that cannot hold a match are not shuffled.
+    possible = text.rlike(ANY)
+    out = numbered.where(possible).join(found, "rid", "left").withColumn(f"_{at}", clean)
     if "n_chars" in here:
         count = f"_{here.index('n_chars')}"
         own = F.when(spans.isNull(), F.col(count)).otherwise(F.length(f"_{at}"))
         out = out.withColumn(count, own.cast(df.schema["n_chars"].dataType))
-    return out.select(*names).toDF(*here)
+    return out.select(*names).union(numbered.where(~possible).select(*names)).toDF(*here)
