@@ -1384,3 +1384,12 @@ used AS (
 )""",
     limited("used"),
 )
+ORACLE["stream_instance_roster"] = ORACLE["instance_roster"]
+ORACLE["stream_scale_recommendations"] = ORACLE["scale_recommendations"]
+ORACLE["stream_readiness"] = req(
+    """
+SELECT concat(container_id, '/', start_id) AS container_id, start_ms,
+  CASE WHEN took_ms IS NULL THEN 'warmup_timeout' ELSE 'warmup_ok' END AS verdict, took_ms FROM warm
+""",
+    WARMUP,
+)

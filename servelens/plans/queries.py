@@ -926,12 +926,22 @@ def adjudication_summary(spark, sf):
 # --- streams -----------------------------------------------------------------------------------
 
 
-def _requests_stream(spark, sf):
-    """The events table as a file stream, with the request columns."""
+def _events_stream(spark, sf):
+    """The events table as a file stream."""
     schema = V.table(spark, sf, "events").schema
     # A pattern, not a plain path: it serves a single file as well as a folder of parts.
-    events = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
-    return V.requests_from(events)
+    return spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+
+
+def _requests_stream(spark, sf):
+    return V.requests_from(_events_stream(spark, sf))
+
+
+def _stream_of(df, label):
+    """A file stream over what ``df`` holds."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def _drain_stream(stream, label):
@@ -978,6 +988,47 @@ def stream_windowed_metrics(spark, sf):
     return closed.unionByName(aggregates.windowed_metrics(rest, window="1 day"))
 
 
+@query
+def stream_instance_roster(spark, sf):
+    """The roster as the stream has it at its end; every trigger writes the whole table."""
+    root = shared_dir(spark, "roster")
+    roster = aggregates.running_roster(V.container_events_from(_events_stream(spark, sf)))
+
+    def keep(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{root}/out")
+
+    started = (
+        roster.writeStream.outputMode("complete")
+        .foreachBatch(keep)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    live = spark.read.schema(roster.schema).parquet(f"{root}/out").filter(F.col("event") == "registered")
+    return live.select("container_id", "host", "since_ms")
+
+
+@query
+def stream_scale_recommendations(spark, sf):
+    limits = state.ScalingLimits(up=0.6, down=0.4, cooldown_ms=2 * HOUR_MS)
+    signal = _stream_of(_signal(spark, sf), "signal")
+    return _drain_stream(stateful.stream_scaling(signal, limits=limits), "scaling")
+
+
+@query
+def stream_readiness(spark, sf):
+    """Verdicts of the stream's timers, keyed by container and start; starts whose timer the
+    watermark has not reached at the end of the bounded run are settled in batch."""
+    each = _starts(spark, sf).filter(F.col("event").isNotNull()).withColumn(
+        "container_id", F.concat_ws("/", "container_id", "start_id")
+    )
+    events = aggregates.event_time(_stream_of(each, "starts"), "0 seconds")
+    done = _drain_stream(stateful.stream_readiness(events, fleet.WARMUP_TIMEOUT_MS), "readiness")
+    open_ = fleet.readiness_deadlines(each).join(done, "container_id", "left_anti")
+    return done.unionByName(open_.select(*done.columns))
+
+
 @query
 def stream_breaker(spark, sf):
     probes = V.probes_from(_requests_stream(spark, sf))

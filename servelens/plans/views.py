@@ -266,8 +266,12 @@ def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycle rows: each event type plays one lifecycle role."""
-    e = table(spark, sf_dir, "events").withColumn("k", k_of())
+    return container_events_from(table(spark, sf_dir, "events"))
+
+
+def container_events_from(events: DataFrame) -> DataFrame:
+    """Lifecycle rows: each event type plays one lifecycle role; works on tables and streams."""
+    e = events.withColumn("k", k_of())
     kind, k = F.col("event_type"), F.col("k")
     role = (
         F.when(kind == "signup", "start")
