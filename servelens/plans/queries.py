@@ -1037,21 +1037,19 @@ def stream_breaker(spark, sf):
 
 @query
 def stream_rate_limit_reload(spark, sf):
-    """The same calls in five runs of one stream, six days each; a second and a third rule document
+    """The same calls in three runs of one stream, ten days each; a second and a third rule document
     are published in between and start buckets of their own."""
     root = shared_dir(spark, "reload")
-    start, days = 1_704_067_200_000, 6
+    start, days = 1_704_067_200_000, 10
     calls = V.forwarded(spark, sf)
     sink = limiter.StreamLimiter(f"{root}/versions", f"{root}/state", f"{root}/out", window_ms=DAY_MS)
-    published = {0: (1, 0), 1: (2, start + 10 * DAY_MS), 3: (3, start + 20 * DAY_MS)}
-    for run in range(5):
-        if run in published:
-            version, since = published[run]
-            docs = V.rules_docs(spark).select(
-                F.lit(version).alias("version"), F.lit(since).cast("bigint").alias("valid_from_ms"), "doc"
-            )
-            policies.publish_rules(docs, f"{root}/versions")
-        part = F.least(F.greatest(F.floor((F.col("ts_ms") - start) / (days * DAY_MS)), F.lit(0)), F.lit(4))
+    for run in range(3):
+        since = start + run * days * DAY_MS if run else 0
+        docs = V.rules_docs(spark).select(
+            F.lit(run + 1).alias("version"), F.lit(since).cast("bigint").alias("valid_from_ms"), "doc"
+        )
+        policies.publish_rules(docs, f"{root}/versions")
+        part = F.least(F.greatest(F.floor((F.col("ts_ms") - start) / (days * DAY_MS)), F.lit(0)), F.lit(2))
         calls.filter(part == run).write.mode("append").parquet(f"{root}/in")
         started = (
             spark.readStream.schema(calls.schema).parquet(f"{root}/in")
