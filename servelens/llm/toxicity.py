@@ -16,7 +16,7 @@ import math
 import re
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -37,6 +37,8 @@ OFFSETS = tuple(sum(size for _, size, _ in LEVELS[:k]) for k in range(len(LEVELS
 PLACES = sum(size for _, size, _ in LEVELS)
 #: Cost of a word in nats: log-odds below it do not pay for an extension.
 COST = 1.0
+#: Words in which repeats of a word are discounted.
+NEAR = 32
 #: Chance, per text, that an ordinary text has a segment this high.
 SIGNIFICANT = 0.1
 LEAST = -math.log10(SIGNIFICANT)
@@ -191,11 +193,15 @@ class Scanner:
         at = np.flatnonzero(net > 0)
         if not len(at):
             return len(words), []
-        # A word's k-th occurrence counts 1/k: repeats of one word are no further evidence.
-        times: Counter = Counter()
+        # A word's k-th occurrence among NEAR words counts 1/k: only repeats close by are no further
+        # evidence, so a passage counts the same wherever it stands.
+        recent: dict[str, deque[int]] = {}
         for p in at.tolist():
-            times[words[p]] += 1
-            net[p] /= times[words[p]]
+            places = recent.setdefault(words[p], deque())
+            while places and p - places[0] >= NEAR:
+                places.popleft()
+            places.append(p)
+            net[p] /= len(places)
         gains = net[at]
         before = np.cumsum(net)[at] - gains
         return len(words), segments(at.tolist(), gains.tolist(), before.tolist())
@@ -286,7 +292,8 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per row of ``documents(doc_id, text)``: held_out, score, predicted (score at or above
     ``threshold``), n_passages and passages, the significant segments as arrays of (first, last)
-    word, words being runs of letters.
+    word, words being runs of letters. A positive word counts 1/k at its k-th occurrence among the
+    last NEAR words; repeats further apart count in full.
 
     A null text counts as empty and gets the score of a text without a segment. Without labels of
     both classes every text gets a score by the unfitted curve. Labels, lang and source are no input.
