@@ -9,7 +9,6 @@ cycles end. Every character of a layer carries the span of the original text tha
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -33,7 +32,18 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f]*")
+#: Base64 lines that follow each other, and the parts of such a block.
+LINE, GAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[\x20\t\r\n]+")
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+SEPARATOR = re.compile(r"[-_/]+")
+UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]+")
+#: No secret and no encoded secret is shorter ("token=" and 8 characters).
+LEAST = 14
+#: Bytes that are unpacked at a time, and how often data may be packed in itself.
+FED, UNPACKED_TIMES = 1 << 12, 64
+PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]*")
 #: Most bytes that one compressed run may unpack to (a guard against decompression bombs).
 UNPACKED_BYTES = 1 << 26
 
@@ -89,32 +99,95 @@ def _unescape(run: str) -> str | None:
         return None
 
 
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and not int.from_bytes(data[:2]) % 31
+
+
 def _inflate(data: bytes) -> bytes | None:
-    """Unpack gzip or zlib data, layer by layer as often as it is packed."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and not int.from_bytes(data[:2]) % 31:
+    """Unpack gzip or zlib data, all members one after the other; what follows them is appended.
+
+    A stream that breaks off or turns bad gives what was unpacked up to there.
+    """
+    out, left = [], UNPACKED_BYTES
+    while left > 0 and _packed(data):
+        stream, at = zlib.decompressobj(47), 0
         try:
-            return zlib.decompressobj(47).decompress(data, UNPACKED_BYTES)
+            while at < len(data) and left > 0 and not stream.eof:
+                piece = stream.decompress(stream.unconsumed_tail or data[at : at + FED], left)
+                at += 0 if stream.unconsumed_tail else FED
+                out.append(piece)
+                left -= len(piece)
         except zlib.error:
-            return None
-    return None
+            break
+        if not stream.eof:
+            break
+        data = stream.unused_data + data[at:]
+    else:
+        out.append(data if left > 0 else b"")
+        return b"".join(out) if len(out) > 1 else None
+    return b"".join(out) or None
+
+
+def _texts(data: bytes) -> list[str]:
+    """All of the data if it is text, else its stretches of text that are long enough for a secret."""
+    for _ in range(UNPACKED_TIMES):
+        if (inner := _inflate(data)) is None or inner == data:
+            break
+        data = inner
+    text = data.decode("utf-8", "surrogateescape")
+    if PRINTABLE.fullmatch(text):
+        return [text] if text else []
+    return [t for t in UNPRINTABLE.split(text) if len(t) >= LEAST]
 
 
-def _unbase64(run: str) -> str | None:
-    """The text in a base64 run (either alphabet), unpacked if it is compressed."""
+def _unbase64(run: str) -> bytes:
+    """The bytes of a base64 run of either alphabet; a digit that is left over is dropped."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    while (inner := _inflate(data)) is not None:
-        data = inner
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and PRINTABLE.fullmatch(text) else None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _layers_of(run: str) -> list[tuple[int, str]]:
+    """(start, text) of what a base64 run decodes to, from its start and after its separators.
+
+    Starts that are a multiple of four apart give the same bytes, so the first one of each remainder
+    is enough, and those where compressed data begin.
+    """
+    out, tried = [], set()
+    for start in [0, *[m.end() for m in SEPARATOR.finditer(run)]]:
+        if len(run) - start < 16:
+            break
+        if start % 4 in tried and not _packed(_unbase64(run[start : start + 4])):
+            continue
+        tried.add(start % 4)
+        data = _unbase64(run[start:])
+        texts = _texts(data)
+        out += [(start, t) for t in texts]
+        if not start and len(texts) == 1 and (_packed(data) or texts[0] == data.decode("utf-8", "replace")):
+            break
+    return out
+
+
+def blocks(text: str):
+    """(start, end) of base64 lines that follow each other: full lines of one width, then the last."""
+    at = 0
+    while (m := WRAPPED.search(text, at)) is not None:
+        width = None
+        runs = list(LINE.finditer(text, m.start(), m.end()))
+        last = runs[0]
+        for run in runs[1:]:
+            size = run.end() - run.start()
+            if width is not None and size > width:
+                break
+            last = run
+            if width is not None and size < width:
+                break
+            width = size
+        end = last.end()
+        while end < len(text) and text[end] == "=" and end - last.end() < 2:
+            end += 1
+        yield m.start(), end
+        at = end
 
 
 def unescaped(layer: Layer) -> Layer | None:
@@ -165,9 +238,13 @@ def unwrapped(layer: Layer) -> list[Layer]:
         if inner is not None:
             out.append(inner)
     for m in BASE64.finditer(text):
-        plain = _unbase64(m[0])
-        if plain is not None:
-            out.append(Layer(plain, [0], [layer.original(m.start(), m.end())], [False]))
+        for start, plain in _layers_of(m[0]):
+            out.append(Layer(plain, [0], [layer.original(m.start() + start, m.end())], [False]))
+    for start, end in blocks(text) if "\n" in text else ():
+        for first, plain in _layers_of(GAP.sub("", text[start:end])):
+            # Gaps are not counted, so a start after a separator is that of the block's first line.
+            from_ = start + first if "\n" not in text[start : start + first + 1] else start
+            out.append(Layer(plain, [0], [layer.original(from_, end)], [False]))
     return out
 
 
