@@ -42,9 +42,8 @@ PATTERNS = (EMAIL, IP, CARD, PHONE, TOKEN)
 ANY = "[0-9@]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
-LAST_WORD = rf"([^{S}]+)[{S}]+$"
-#: Characters before a match in which its left word is looked for; a longer word is cut there.
-LEFT = 64
+#: Tried at word starts only, so that a long gap is read once.
+LAST_WORD = rf"(?<![^{S}])([^{S}]++)[{S}]++$"
 ROUNDS, THRESHOLD, SEEDS, PRIOR = 3, 0.8, 3, 1.0
 
 
@@ -57,7 +56,7 @@ def _matches(text: Column, pattern: str) -> Column:
         found,
         lambda g, f: F.struct(
             F.length(g).alias("gap"),
-            F.when(f.isNotNull(), F.regexp_extract(F.right(g, F.lit(LEFT)), LAST_WORD, 1)).alias("left"),
+            F.when(f.isNotNull(), F.regexp_extract(g, LAST_WORD, 1)).alias("left"),
             f.alias("found"),
         ),
     )
