@@ -69,4 +69,85 @@ JOIN rest r ON r.source IS NOT DISTINCT FROM d.source
 JOIN placed p ON p.source IS NOT DISTINCT FROM d.source AND p.place = d.place
 """
 
-ORACLE: dict[str, str] = {"op7_embedding_collisions": OP7, "op10_water_filling": OP10}
+
+def _levels(name: str, key: str, count: int) -> str:
+    """CTEs ``name1``, ``name2``, ... of the levels over ``name0(key, p, d, n)``."""
+    return "".join(
+        f"""{name}{k + 1} AS (
+  SELECT {key}, p // 16 AS p, (n + 15) // 16 AS n,
+    CASE WHEN n = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY p)) END AS d
+  FROM {name}{k} GROUP BY {key}, n, p // 16
+), """
+        for k in range(count)
+    )
+
+
+def _sides(name: str, key: str, rows: str, count: int) -> str:
+    """CTEs of the siblings left (a) and right (b) of each row of ``rows(id, key, place)``."""
+    return "".join(
+        f"""{name}side{k} AS (
+  SELECT r.id, any_value(l.n) AS n,
+    coalesce(string_agg(l.d, '' ORDER BY l.p) FILTER (l.p < r.place // {16**k}), '') AS a,
+    coalesce(string_agg(l.d, '' ORDER BY l.p) FILTER (l.p > r.place // {16**k}), '') AS b
+  FROM {rows} r JOIN {name}{k} l
+    ON l.{key} IS NOT DISTINCT FROM r.{key} AND l.p // 16 = r.place // {16 ** (k + 1)}
+  GROUP BY r.id
+), """
+        for k in range(count)
+    )
+
+
+def _manifest_sql(deep: int = 5, wide: int = 3) -> str:
+    """``deep`` levels over the leaves of a source, ``wide`` over the sources."""
+    part = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+    head = " || ".join(part.format(f) for f in ("doc_id", "source", "lang", "n_chars"))
+    # CRC-32 of the decimal digits, bit by bit.
+    bits = "list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x: {bits}), 4294967295)"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    text = f"CASE WHEN {crc} % 5 = 0 THEN translate(text, '{upper}', '{lower}') ELSE text END"
+    steps = [("s", k) for k in range(deep)] + [("t", k) for k in range(wide)]
+    joins = "".join(f" JOIN {x}side{k} {x}{k} ON {x}{k}.id = r.{'id' if x == 's' else 'source_id'}" for x, k in steps)
+    proof = " || ".join(f"{x}{k}.a || {x}{k}.b" for x, k in steps)
+    nodes, node = [], "r.claim"
+    for number, (x, k) in enumerate(steps):
+        nodes.append(f"CASE WHEN {x}{k}.n = 1 THEN {node} ELSE sha256({x}{k}.a || {node} || {x}{k}.b) END AS f{number}")
+        node = f"f{number}"
+    return f"""
+WITH hashed AS (
+  SELECT doc_id, source, sha256({head} || {part.format('text')}) AS leaf,
+    sha256({head} || {part.format(f'({text})')}) AS claim
+  FROM documents
+), s AS (
+  SELECT *, row_number() OVER () AS id, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM hashed
+), s0 AS (SELECT source, place AS p, leaf AS d, n FROM s),
+{_levels("s", "source", deep)}
+t AS (
+  SELECT source, d, 0 AS every, row_number() OVER (ORDER BY source NULLS FIRST) AS id,
+    row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM s{deep}
+), t0 AS (SELECT every, place AS p, d, n FROM t),
+{_levels("t", "every", wide)}
+{_sides("s", "source", "s", deep)}{_sides("t", "every", "t", wide)}
+r AS (
+  SELECT s.*, t.id AS source_id, t.d AS subroot FROM s JOIN t ON t.source IS NOT DISTINCT FROM s.source
+)
+SELECT r.doc_id, r.leaf, r.subroot, top.d AS root, sha256({proof}) AS proof_sha256,
+  {", ".join(nodes[:-1])}, {nodes[-1].removesuffix(f"AS {node}")} AS folded_root,
+  folded_root = top.d AS verified
+FROM r{joins}, t{wide} top
+"""
+
+
+OP11 = f"""
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, verified FROM ({_manifest_sql()})
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_embedding_collisions": OP7,
+    "op10_water_filling": OP10,
+    "op11_merkle_checkpoints": OP11,
+}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from servelens.llm import (
     bpe,
     embedding_dups,
+    merkle,
     mixing,
     pii,
     quality_rank,
@@ -71,6 +72,10 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -84,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_layers,
         op9_contextual_pii,
         op10_water_filling,
+        op11_merkle_checkpoints,
     )
 }
