@@ -146,8 +146,58 @@ OP11 = f"""
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, verified FROM ({_manifest_sql()})
 """
 
+OP12 = """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), judged AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS first FROM rows
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  -- Five hex digits are four letters of base 32.
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM judged
+"""
+
+OP13 = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS terms
+  FROM documents
+), items AS (
+  SELECT item_id, text, unnest(list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), totals AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs
+), postings AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, text, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term), totals
+  GROUP BY item_id, text, r, doc_id
+)
+SELECT item_id, doc_id, score,
+  row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op7_embedding_collisions": OP7,
     "op10_water_filling": OP10,
     "op11_merkle_checkpoints": OP11,
+    "op12_warc_index": OP12,
+    "op13_geometric_blocks": OP13,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from servelens.llm import (
     bpe,
     embedding_dups,
+    lexical,
     merkle,
     mixing,
     pii,
@@ -18,6 +19,7 @@ from servelens.llm import (
     simhash,
     token_counts,
     toxicity,
+    warc,
 )
 from servelens.llm.common import pick, table
 
@@ -76,6 +78,14 @@ def op11_merkle_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -90,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_contextual_pii,
         op10_water_filling,
         op11_merkle_checkpoints,
+        op12_warc_index,
+        op13_geometric_blocks,
     )
 }
