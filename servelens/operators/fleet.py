@@ -19,6 +19,7 @@ QUEUE_CAPACITY = 16
 WARMUP_TIMEOUT_MS = 120_000
 DRAIN_TIMEOUT_MS = 30_000
 RECENT_ALERTS = 100
+LIFECYCLE = ("registered", "completed", "stopped", "start_error", "drain", "session_lost")
 
 
 def _count(value: Column) -> Column:
@@ -189,8 +190,7 @@ def instance_roster(events: DataFrame, as_of_ms: int | None = None) -> DataFrame
 
     Removing events: completed, stopped, start_error, drain, session_lost.
     """
-    lifecycle = ("registered", "completed", "stopped", "start_error", "drain", "session_lost")
-    seen = events.filter(F.col("event").isin(*lifecycle))
+    seen = events.filter(F.col("event").isin(*LIFECYCLE))
     if as_of_ms is not None:
         seen = seen.filter(F.col("ts_ms") <= as_of_ms)
     return (

@@ -100,10 +100,11 @@ def match_quota_rule(
     out = joined.select(
         *requests.columns, *[F.col(f"__r.{f}").alias(f) for f in RULE_FIELDS]
     )
-    return _with_bucket(out, version)
+    return with_bucket(out, version)
 
 
-def _with_bucket(df: DataFrame, version: str | None) -> DataFrame:
+def with_bucket(df: DataFrame, version: str | None = None) -> DataFrame:
+    """Add the bucket that the columns of a matched rule name; null where none counts."""
     bucket = _bucket(F.col("rule_user"), F.col("rule_group"), F.col("rule_model"))
     if version:
         bucket = F.concat_ws("@", bucket, F.col(version).cast("string"))

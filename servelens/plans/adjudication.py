@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,14 @@ def adjudicate(
         matched = matched.withColumn(column, F.when(eligible, F.col(column)))
     limited = rate_limit(matched, window_ms=window_ms).withColumnRenamed("allowed", "quota_ok")
     checked = evaluate_access(limited, grants, access_mode)
-    routed = route_least_loaded(checked, depth, roster, tick_ms, ticks=identified)
+    return outcomes(route_least_loaded(checked, depth, roster, tick_ms, ticks=identified))
+
+
+def outcomes(routed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The outcome of calls that know their verdicts: columns of :func:`identify`, quota_ok, reason,
+    retry_after_ms, rule_desc, base_allowed, allowed and routed_container. Works on tables and streams;
+    ``keep`` names further columns to hand on.
+    """
     has_upstream_error = "upstream_error" in routed.columns
     upstream = F.col("upstream_error") if has_upstream_error else F.lit(None).cast("string")
     reason = (
@@ -133,6 +142,7 @@ def adjudicate(
     billed = sent & succeeded(code) & ~F.col("stream")
     throttled = F.col("outcome").isin("quota_zero", "rate_limited", "late")
     return routed.withColumn("outcome", reason).select(
+        *keep,
         "request_id",
         "ts_ms",
         "user_name",

@@ -104,7 +104,10 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A few are malformed on purpose, by token count: GET calls, broken bodies, missing models.
     """
-    r = requests(spark, sf_dir)
+    return raw_requests_from(requests(spark, sf_dir))
+
+
+def raw_requests_from(r: DataFrame) -> DataFrame:
     k = F.col("prompt_tokens")
     model = (
         F.when(k % 50 == 1, F.lit('""'))

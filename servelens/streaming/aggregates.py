@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servelens.functions.requests import safe_key
+from servelens.operators.fleet import LIFECYCLE
 from servelens.operators.metrics import _bucket_columns, bucket_rows, succeeded
 from servelens.operators.skew import order_key
 
@@ -89,9 +90,8 @@ def running_roster(events: DataFrame) -> DataFrame:
 
     Filter the sink's result on ``event = 'registered'`` for the live roster.
     """
-    lifecycle = ("registered", "completed", "stopped", "start_error", "drain", "session_lost")
     return (
-        events.filter(F.col("event").isin(*lifecycle))
+        events.filter(F.col("event").isin(*LIFECYCLE))
         .groupBy("container_id", "host")
         .agg(
             F.max_by("event", order_key("ts_ms", "event_id")).alias("event"),
