@@ -1393,3 +1393,7 @@ SELECT concat(container_id, '/', start_id) AS container_id, start_ms,
 """,
     WARMUP,
 )
+ORACLE["stream_adjudication_summary"] = ORACLE["adjudication_summary"]
+ORACLE["stream_rate_limit_keyed"] = ORACLE["rate_limit"]
+ORACLE["stream_drain_verdicts"] = ORACLE["drain_verdicts"]
+ORACLE["stream_roster_changes"] = ORACLE["instance_roster"]

@@ -16,7 +16,9 @@ from servelens.plans import adjudication
 from servelens.plans import views as V
 from servelens.session import shared_dir, stage
 from servelens.sources import policies, sinks, telemetry
-from servelens.streaming import aggregates, limiter, stateful
+from servelens.streaming import adjudication as one_stream
+from servelens.streaming import aggregates, keyed, limiter, stateful
+from servelens.streaming.roster import RosterTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1082,3 +1084,138 @@ def stream_rate_limit(spark, sf):
     started.awaitTermination()
     out = spark.read.parquet(f"{root}/out/epoch-*")
     return out.select("request_id", "allowed", "retry_after_ms", "reason", "rule_desc")
+
+
+RUNS = 3
+
+
+def _in_runs(rows, arrival, end, label, start):
+    """Give ``rows`` to a stream in the order of their arrival, a third in each of three runs that go
+    on from one checkpoint. ``end`` is a row of a far later time: it moves the watermark past all
+    others, and what becomes of it is left out by the caller. ``start(stream, root)`` starts a run.
+    """
+    spark, root = rows.sparkSession, shared_dir(rows.sparkSession, label)
+    staged = stage(rows.withColumn("__arrival", arrival), label)
+    first, last = staged.agg(F.min("__arrival"), F.max("__arrival")).first()
+    run = F.least(F.floor((F.col("__arrival") - first) * RUNS / F.lit(max(last - first, 1))), F.lit(RUNS - 1))
+    for k in range(RUNS):
+        part = staged.where(run == k).drop("__arrival")
+        part = part.unionByName(end) if k == RUNS - 1 else part
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+        start(stream, root).awaitTermination()
+    return root
+
+
+def _appended(build):
+    """A start for :func:`_in_runs` that appends what ``build`` makes of the stream, and the table."""
+    state = {}
+
+    def start(stream, root):
+        out = build(stream)
+        state["schema"] = out.schema
+        return (
+            out.writeStream.format("parquet")
+            .option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    return start, state
+
+
+def _shuffled(ts, lateness_ms):
+    """An arrival time up to ``lateness_ms`` after the row's own, by a hash of its time."""
+    return F.col(ts) + F.pmod(F.xxhash64(ts), F.lit(lateness_ms))
+
+
+FAR_MS = 4_000_000_000_000
+
+
+def _end_row(rows, **values):
+    """One row of nulls with the given values, in the columns of ``rows``."""
+    columns = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    return rows.sparkSession.range(1).select(*columns)
+
+
+@query
+def stream_adjudication_summary(spark, sf):
+    """Raw calls in three runs, out of order by up to six hours, through the chained stream."""
+    raw = V.raw_requests(spark, sf)
+    end = _end_row(raw, request_id=-1, ts_ms=FAR_MS, method="POST", path="/end")
+    inputs = (
+        policies.load_quota_rules(V.rules_docs(spark)), V.grants(spark),
+        stage(V.depth(spark, sf), "depth"), stage(V.roster(spark, sf), "roster"),
+    )
+
+    def build(stream):
+        calls = one_stream.stream_adjudication(
+            stream, *inputs, lateness_ms=6 * HOUR_MS, window_ms=DAY_MS, tick_ms=HOUR_MS
+        )
+        return one_stream.outcome_windows(calls, "1 day")
+
+    start, made = _appended(build)
+    root = _in_runs(raw, _shuffled("ts_ms", 6 * HOUR_MS), end, "adjudication", start)
+    return one_stream.outcome_totals(spark.read.schema(made["schema"]).parquet(f"{root}/out"))
+
+
+@query
+def stream_rate_limit_keyed(spark, sf):
+    """Calls in three runs, out of order by up to six hours, placed in keyed state."""
+    calls = quota.match_quota_rule(V.forwarded(spark, sf), policies.load_quota_rules(V.rules_docs(spark)))
+    names = [f for f in quota.RULE_FIELDS if f != "rpm"]
+    rows = calls.select("request_id", "ts_ms", "bucket", "rpm", F.to_json(F.struct(*names)).alias("rule"))
+    end = _end_row(rows, request_id=-1, ts_ms=FAR_MS)
+    start, made = _appended(
+        lambda s: keyed.place_requests(s, DAY_MS, lateness_ms=6 * HOUR_MS, payload="rule")
+    )
+    root = _in_runs(rows, _shuffled("ts_ms", 6 * HOUR_MS), end, "places", start)
+    placed = spark.read.schema(made["schema"]).parquet(f"{root}/out").where("request_id >= 0")
+    rule = F.from_json("payload", ", ".join(f"{n} string" for n in names))
+    out = quota.decide(placed.withColumn("rule", rule).select("*", "rule.*"), DAY_MS)
+    return out.select("request_id", "allowed", "retry_after_ms", "reason", "rule_desc")
+
+
+@query
+def stream_drain_verdicts(spark, sf):
+    """Drains and depth readings in three runs, out of order by up to six hours."""
+    r = V.requests(spark, sf)
+    drains = r.filter(F.col("path") == "/v1/models").select(
+        "container_id", F.col("request_id").alias("event_id"), "ts_ms", F.lit(None).cast("int").alias("depth"),
+        F.lit(True).alias("drain"),
+    )
+    readings = V.depth(spark, sf).select("container_id", "event_id", "ts_ms", "depth", F.lit(False).alias("drain"))
+    rows = drains.unionByName(readings)
+    end = _end_row(rows, container_id="end", event_id=-1, ts_ms=FAR_MS, depth=0, drain=False)
+
+    def build(stream):
+        begun = stream.where("drain").select(
+            "container_id", F.col("event_id").alias("drain_id"), F.col("ts_ms").alias("drain_ms")
+        )
+        return keyed.stream_drains(begun, stream.where("not drain"), 6 * HOUR_MS, HOUR_MS)
+
+    start, made = _appended(build)
+    root = _in_runs(rows, _shuffled("ts_ms", 6 * HOUR_MS), end, "drains", start)
+    return spark.read.schema(made["schema"]).parquet(f"{root}/out")
+
+
+@query
+def stream_roster_changes(spark, sf):
+    """The roster from a table of changes, after three runs with rows out of order."""
+    events = V.container_events(spark, sf)
+    end = _end_row(events, event_id=-1, ts_ms=FAR_MS, event="ready")
+    table = RosterTable(shared_dir(spark, "roster-table"), ttl_ms=30 * DAY_MS, least_changes=100)
+
+    def start(stream, root):
+        changes = keyed.roster_changes(stream, fleet.LIFECYCLE, 6 * HOUR_MS, 30 * DAY_MS)
+        return (
+            changes.writeStream.outputMode("update")
+            .foreachBatch(table)
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    _in_runs(events, _shuffled("ts_ms", 6 * HOUR_MS), end, "roster", start)
+    return table.read(spark)

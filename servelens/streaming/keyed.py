@@ -8,6 +8,7 @@ of a trigger are in one task; bound a trigger with the source's ``maxFilesPerTri
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,15 +220,21 @@ class DrainProcessor(StatefulProcessor):
         self.readings.put(readings[max(before - 1, 0) :])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        deadline = expiredTimerInfo.getExpiryTimeInMs()
+        # All that the watermark has passed end with the first of their timers; the others find nothing.
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        ended = [(k[0], v[0]) for k, v in self.open.iterator() if v[0] + self.timeout_ms <= now]
+        if not ended:
+            return
         readings = sorted(self.readings.get()) if self.readings.exists() else []
-        ended = [(k[0], v[0]) for k, v in self.open.iterator() if v[0] + self.timeout_ms <= deadline]
-        out = []
+        times, out = [r[0] for r in readings], []
+        empty = [t for t, _, d in readings if d <= 0]
         for drain_id, at in sorted(ended):
-            entry = [d for t, _, d in readings if t <= at]
-            held = [d for t, _, d in readings if t < at + self.timeout_ms]
-            emptied = not entry or entry[-1] <= 0 or any(d <= 0 for t, _, d in readings if at <= t < at + self.timeout_ms)
-            remaining = 0 if emptied else held[-1]
+            entry, last = bisect_right(times, at), bisect_left(times, at + self.timeout_ms)
+            met = bisect_left(empty, at)
+            emptied = not entry or readings[entry - 1][2] <= 0 or (
+                met < len(empty) and empty[met] < at + self.timeout_ms
+            )
+            remaining = 0 if emptied else readings[last - 1][2]
             out.append((key[0], drain_id, at, "drain_timeout" if remaining > 0 else "drained", remaining))
             self.open.removeKey((drain_id,))
         if readings:

@@ -13,14 +13,24 @@ from servelens.session import stage
 from servelens.sources import policies
 from servelens.streaming import adjudication as one_stream
 from servelens.streaming import keyed
+from servelens.streaming.roster import RosterTable
+
+
+@pytest.fixture(scope="module", autouse=True)
+def few_state_stores(spark):
+    """Every state store of a trigger starts a worker, so these small streams have two."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def feed(spark, tmp_path, rows, schema, cuts, build, mode="append", sink=None):
-    """Give ``rows`` to a stream in ``cuts`` runs of one or two files each; every run is a restart."""
+    """Give ``rows`` to a stream in ``cuts`` runs, each of which is a restart."""
     path, size = str(tmp_path / "in"), -(-len(rows) // cuts)
     for k in range(0, len(rows), size):
         part = spark.createDataFrame(rows[k : k + size], schema)
-        part.repartition(2).write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path)
         writer = build(stream).writeStream.option("checkpointLocation", str(tmp_path / "ck")).outputMode(mode)
         if sink is None:
@@ -74,7 +84,7 @@ def test_limits_of_shuffled_files_equal_batch(spark, tmp_path):
         payload = F.to_json(F.struct("rule_user", "rule_group", "rule_model"))
         return keyed.place_requests(stream.withColumn("p", payload), 5_000, lateness_ms=3_000, payload="p")
 
-    out = decided(feed(spark, tmp_path, rows, MATCHED, 4, build), 5_000).where("request_id < 10000")
+    out = decided(feed(spark, tmp_path, rows, MATCHED, 3, build), 5_000).where("request_id < 10000")
     assert out.where("late").count() == 0
     want = quota.rate_limit(batch, window_ms=5_000)
     assert sorted(map(str, out.select(DECISION).collect())) == sorted(map(str, want.select(DECISION).collect()))
@@ -119,7 +129,7 @@ def test_drains_equal_batch(spark, tmp_path):
         depth = df.where("kind = 'depth'").select("container_id", "ts_ms", F.col("id").alias("event_id"), "depth")
         return drains, depth
 
-    out = feed(spark, tmp_path, shuffled(rows, 3, 20_000), ROWS, 5, lambda s: keyed.stream_drains(*split(s), lateness_ms=20_000))
+    out = feed(spark, tmp_path, shuffled(rows, 3, 20_000), ROWS, 3, lambda s: keyed.stream_drains(*split(s), lateness_ms=20_000))
     drains, depth = split(spark.createDataFrame(rows, ROWS))
     want = fleet.drain_verdicts(drains, depth.where("depth is not null"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.select(out.columns).collect()))
@@ -175,7 +185,7 @@ def test_adjudication_in_one_stream_equals_batch(spark, tmp_path, policy_inputs)
     out = feed(spark, tmp_path / "a", mixed, RAW, 3, build).where("request_id < 10000").select(want.columns)
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     assert len({r.outcome for r in want.collect()}) > 8
-    windows = feed(spark, tmp_path / "b", mixed, RAW, 3, lambda s: one_stream.outcome_windows(build(s), "1 minute"))
+    windows = feed(spark, tmp_path / "b", mixed, RAW, 2, lambda s: one_stream.outcome_windows(build(s), "1 minute"))
     assert windows.select("window_start_ms").distinct().count() > 4
     totals, batch = one_stream.outcome_totals(windows), adjudication.outcome_summary(want)
     assert sorted(map(str, totals.collect())) == sorted(map(str, batch.select(totals.columns).collect()))
@@ -192,3 +202,50 @@ def test_policy_table_keys_equal_batch_verdicts(spark, sf_dir):
     good = "endpoint = 'inference' and request_error is null"
     want = quota.match_quota_rule(calls, policies.load_quota_rules(views.rules_docs(spark))).where(good)
     assert sorted(map(str, found.where(good).select(names).collect())) == sorted(map(str, want.select(names).collect()))
+
+
+EVENT = "container_id string, host string, ts_ms long, event_id long, event string"
+
+
+def sizes(root, kind):
+    """Rows that each epoch wrote."""
+    import pyarrow.parquet as pq
+
+    return {int(p.name[6:]): sum(pq.read_metadata(f).num_rows for f in p.glob("*.parquet")) for p in (root / kind).glob("epoch=*")}
+
+
+def test_roster_of_changes_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    kinds = (*fleet.LIFECYCLE, "registered", "registered", "ready")
+    rows = [(f"c{rng.randrange(200)}", rng.choice(["h", None]), 1_000_000 + i * 500, i, rng.choice(kinds)) for i in range(600)]
+    end = ("end", "h", 10**10, 999, "ready")
+    table = RosterTable(str(tmp_path / "table"), least_changes=60)
+    build = lambda s: keyed.roster_changes(s, fleet.LIFECYCLE, 20_000)
+    feed(spark, tmp_path, shuffled(rows, 2, 20_000) + [end], EVENT, 3, build, "update", table)
+    want = fleet.instance_roster(spark.createDataFrame(rows, EVENT))
+    assert sorted(map(str, table.read(spark).collect())) == sorted(map(str, want.collect()))
+    # What is on disk are the changes since the snapshot before the last, no copy of all per trigger.
+    assert len(sizes(tmp_path / "table", "snapshots")) == 2
+    assert all(n <= 90 for n in sizes(tmp_path / "table", "changes").values())
+
+
+def test_roster_writes_changes_only_and_forgets(spark, tmp_path):
+    rows = [(f"c{i}", "h", 1_000 + i, i, "registered") for i in range(300)]
+    rows += [("c1", "h", 50_000, 400, "drain"), ("c1", "h", 50_000, 399, "registered"), ("c2", "h", 10, 401, "drain")]
+    rows += [("c3", "h", 90_000, 402, "stopped"), ("zz", "h", 10**7, 403, "registered")]
+    rows += [("c4", "h", 10**7, 404, "completed")] + [(f"d{i}", "h", 10**7, 500 + i, "registered") for i in range(9)]
+    table = RosterTable(str(tmp_path / "table"), ttl_ms=1_000_000, least_changes=10)
+    build = lambda s: keyed.roster_changes(s, fleet.LIFECYCLE, 10_000, 1_000_000)
+    feed(spark, tmp_path, rows, EVENT, 1, build, "update", table)
+    written = sizes(tmp_path / "table", "changes")
+    assert sum(written.values()) <= len(rows)
+    live = {r.container_id: r.since_ms for r in table.read(spark).collect()}
+    assert "c1" not in live and "c3" not in live and "c4" not in live and live["c0"] == 1_000 and live["zz"] == 10**7
+    # A container that came back and a replayed epoch change nothing in the rest.
+    back = spark.createDataFrame([("c1", "h", "registered", 2 * 10**7, 2 * 10**7, 1)], keyed.CHANGES)
+    for _ in range(2):
+        table(back, 900)
+    live["c1"] = 2 * 10**7
+    assert {r.container_id: r.since_ms for r in table.read(spark).collect()} == live
+    names = {r.container_id for r in spark.read.parquet(f"{tmp_path}/table/snapshots/epoch={max(sizes(tmp_path / 'table', 'snapshots'))}").collect()}
+    assert not names & {"c3"}
