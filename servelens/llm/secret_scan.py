@@ -29,8 +29,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
+ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
+#: Runs of equal escapes. An escape sign that is escaped again and again is one, so that it takes
+#: one layer and not one for each time.
+RUN = re.compile(
+    r"%(?:25)+(?=[0-9A-Fa-f]{2})|(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+"
+    r"|(?:\\u\{[0-9A-Fa-f]{1,6}\})+|(?:\\x[0-9A-Fa-f]{2})+"
+)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 lines that follow each other, and the parts of such a block.
 LINE, GAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[\x20\t\r\n]+")
@@ -44,7 +49,8 @@ LEAST = 14
 #: Bytes that are unpacked at a time, and how often data may be packed in itself.
 FED, UNPACKED_TIMES = 1 << 12, 64
 PRINTABLE = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]*")
-#: Most bytes that one compressed run may unpack to (a guard against decompression bombs).
+#: Most bytes that one compressed run may unpack to (a guard against decompression bombs; a text with
+#: a run that goes on behind them is marked).
 UNPACKED_BYTES = 1 << 26
 
 Span = tuple[int, str, int]
@@ -87,53 +93,64 @@ def scan(text: str) -> list[Span]:
 
 
 def _unescape(run: str) -> str | None:
-    """The characters of a run of equal escapes, or None if they are no text."""
-    try:
-        if run[0] == "%":
-            return bytes.fromhex(run.replace("%", "")).decode()
-        if run[1] == "x":
-            return bytes.fromhex(run.replace("\\x", "")).decode()
-        units = bytes.fromhex(run.replace("\\u", ""))
-        return units.decode("utf-16-be")
-    except (UnicodeDecodeError, ValueError):
-        return None
+    """The characters of a run of equal escapes, bytes that are no text as lone surrogates; None if
+    there is no text at all."""
+    if run[0] == "%":
+        if set(run[1:].split("25")) == {""}:
+            return "%"
+        plain = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    elif run[1] == "x":
+        plain = bytes.fromhex(run.replace("\\x", "")).decode("utf-8", "surrogateescape")
+    elif run[2] == "{":
+        codes = [int(code, 16) for code in run[3:-1].split("}\\u{")]
+        plain = "".join(chr(c) if c <= 0x10FFFF else "\ufffd" for c in codes)
+    else:
+        plain = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+    return None if all("\ud800" <= c <= "\udfff" for c in plain) else plain
 
 
-def _packed(data: bytes) -> bool:
-    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and not int.from_bytes(data[:2]) % 31
+def _packed(data: bytes | memoryview) -> bool:
+    head = bytes(data[:3])
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and not int.from_bytes(head[:2]) % 31
 
 
-def _inflate(data: bytes) -> bytes | None:
+def _inflate(data: bytes | memoryview, cut: list[bool]) -> bytes | None:
     """Unpack gzip or zlib data, all members one after the other; what follows them is appended.
 
-    A stream that breaks off or turns bad gives what was unpacked up to there.
+    A stream that breaks off or turns bad gives what was unpacked up to there. ``cut`` is told if the
+    most bytes were reached before the end.
     """
     out, left = [], UNPACKED_BYTES
     while left > 0 and _packed(data):
         stream, at = zlib.decompressobj(47), 0
         try:
-            while at < len(data) and left > 0 and not stream.eof:
-                piece = stream.decompress(stream.unconsumed_tail or data[at : at + FED], left)
+            while (at < len(data) or stream.unconsumed_tail) and left > 0 and not stream.eof:
+                fed = stream.unconsumed_tail or data[at : at + FED]
                 at += 0 if stream.unconsumed_tail else FED
+                piece = stream.decompress(fed, left)
                 out.append(piece)
                 left -= len(piece)
         except zlib.error:
             break
         if not stream.eof:
             break
-        data = stream.unused_data + data[at:]
+        data = stream.unused_data + bytes(data[at:])
     else:
-        out.append(data if left > 0 else b"")
+        out.append(bytes(data) if left > 0 else b"")
+        cut.append(left <= 0 and len(data) > 0)
         return b"".join(out) if len(out) > 1 else None
+    cut.append(left <= 0)
     return b"".join(out) or None
 
 
-def _texts(data: bytes) -> list[str]:
+def _texts(data: bytes, cut: list[bool]) -> list[str]:
     """All of the data if it is text, else its stretches of text that are long enough for a secret."""
     for _ in range(UNPACKED_TIMES):
-        if (inner := _inflate(data)) is None or inner == data:
+        if (inner := _inflate(data, cut)) is None or inner == data:
             break
         data = inner
+    else:
+        cut.append(_packed(data))
     text = data.decode("utf-8", "surrogateescape")
     if PRINTABLE.fullmatch(text):
         return [text] if text else []
@@ -147,21 +164,26 @@ def _unbase64(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _layers_of(run: str) -> list[tuple[int, str]]:
+def _layers_of(run: str, cut: list[bool]) -> list[tuple[int, str]]:
     """(start, text) of what a base64 run decodes to, from its start and after its separators.
 
-    Starts that are a multiple of four apart give the same bytes, so the first one of each remainder
-    is enough, and those where compressed data begin.
+    Starts that are a multiple of four apart give the same bytes, so each of the four remainders is
+    decoded once: its first start gives all of them, a later one only what is packed there.
     """
-    out, tried = [], set()
+    out: list[tuple[int, str]] = []
+    decoded: dict[int, tuple[int, bytes]] = {}
     for start in [0, *[m.end() for m in SEPARATOR.finditer(run)]]:
         if len(run) - start < 16:
             break
-        if start % 4 in tried and not _packed(_unbase64(run[start : start + 4])):
-            continue
-        tried.add(start % 4)
-        data = _unbase64(run[start:])
-        texts = _texts(data)
+        if start % 4 not in decoded:
+            data = _unbase64(run[start:])
+            decoded[start % 4] = start, data
+            texts = _texts(data, cut)
+        else:
+            first, data = decoded[start % 4]
+            rest = memoryview(data)[(start - first) // 4 * 3 :]
+            inner = _inflate(rest, cut) if _packed(rest) else None
+            texts = [] if inner is None else _texts(inner, cut)
         out += [(start, t) for t in texts]
         if not start and len(texts) == 1 and (_packed(data) or texts[0] == data.decode("utf-8", "replace")):
             break
@@ -230,7 +252,7 @@ def _pieces(layer: Layer, start: int, end: int, same: bool):
         part += 1
 
 
-def unwrapped(layer: Layer) -> list[Layer]:
+def unwrapped(layer: Layer, cut: list[bool]) -> list[Layer]:
     out = []
     text = layer.text
     if ("%" in text or "\\u" in text or "\\x" in text) and ESCAPED.search(text):
@@ -238,25 +260,27 @@ def unwrapped(layer: Layer) -> list[Layer]:
         if inner is not None:
             out.append(inner)
     for m in BASE64.finditer(text):
-        for start, plain in _layers_of(m[0]):
+        for start, plain in _layers_of(m[0], cut):
             out.append(Layer(plain, [0], [layer.original(m.start() + start, m.end())], [False]))
     for start, end in blocks(text) if "\n" in text else ():
-        for first, plain in _layers_of(GAP.sub("", text[start:end])):
+        for first, plain in _layers_of(GAP.sub("", text[start:end]), cut):
             # Gaps are not counted, so a start after a separator is that of the block's first line.
             from_ = start + first if "\n" not in text[start : start + first + 1] else start
             out.append(Layer(plain, [0], [layer.original(from_, end)], [False]))
     return out
 
 
-def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
-    """Spans in the text itself, and all spans with those of its layers mapped back."""
+def find_secrets(text: str, cut: list[bool] | None = None) -> tuple[list[Span], list[Span]]:
+    """Spans in the text itself, and all spans with those of its layers mapped back. ``cut`` gets a
+    True for each compressed run that was not unpacked to its end."""
+    cut = [] if cut is None else cut
     base = scan(text)
     every = set(base)
     work = deque([Layer(text, [0], [(0, len(text))], [True])] if text else [])
     seen: set[tuple] = set()
     while work:
         layer = work.popleft()
-        for inner in unwrapped(layer):
+        for inner in unwrapped(layer, cut):
             key = (hashlib.sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), inner.spans[0])
             if key in seen or not inner.text:
                 continue
@@ -276,7 +300,14 @@ def written(spans: list[Span]) -> str:
 
 def scan_secrets(df: DataFrame) -> DataFrame:
     """One row per row of ``df(doc_id, text)``: n_assign, n_access, n_hex and base_sha256 of the
-    spans in the text itself, and spans, which adds those found in decoded layers.
+    spans in the text itself, spans, which adds those found in decoded layers, and cut, which says that
+    some compressed run unpacks to more than 64 MB or is packed in itself more than 64 times: secrets
+    behind that are not listed.
+
+    Layers are URL escapes, ``\\uXXXX``, ``\\u{...}`` and ``\\xXX`` escapes, base64 of either alphabet
+    (runs of 16 characters or more, from their start, after separators in them, and over lines of one
+    width), and gzip or zlib data in base64. Bytes that are no text are passed over. Base64 behind
+    a letter or digit that doesn't belong to it, UTF-16 and other packings are not unwrapped.
 
     Spans are kind:start:end in code points of the original, end exclusive, by start, then kind;
     a secret in an encoded run has the run's span. A null text counts as empty: no spans, and the
@@ -285,9 +316,11 @@ def scan_secrets(df: DataFrame) -> DataFrame:
 
     def make():
         def run(texts: list[bytes]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
+            out: dict[str, list] = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "cut")}
             for text in texts:
-                base, every = find_secrets(text.decode())
+                cut: list[bool] = []
+                base, every = find_secrets(text.decode(), cut)
+                out["cut"].append(any(cut))
                 for kind in KINDS:
                     out[f"n_{kind}"].append(sum(s[1] == kind for s in base))
                 out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -297,5 +330,7 @@ def scan_secrets(df: DataFrame) -> DataFrame:
         return run
 
     return map_rows(
-        df, make, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+        df,
+        make,
+        "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, cut boolean",
     )
