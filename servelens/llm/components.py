@@ -17,10 +17,20 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node goes to the smallest of the node and its neighbours."""
-    both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every larger neighbour of a node goes to the smallest of the node and its neighbours.
+
+    Nothing changes for the neighbours of a node without a smaller one, so those (the roots, which
+    have most edges) are only looked up among the nodes that do have one. That table is written
+    first: where it is small, as in all late rounds, the edges aren't shuffled.
+    """
+    spark = edges.sparkSession
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    ends = down.select(F.col("v").alias("u")).distinct()
+    path = shared_dir(spark, "components-moved")
+    least.join(ends, "u").select(F.col("u").alias("v"), "m").write.parquet(path)
+    moved = spark.read.schema("v long, m long").parquet(path)
+    return down.join(moved, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:

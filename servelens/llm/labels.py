@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servelens.llm.common import pick
+from servelens.session import stage
 
 FOLDS = 5
 
@@ -39,7 +40,17 @@ def bounded(marks: DataFrame, most: int) -> DataFrame:
 
 
 def labelled_texts(documents: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, text, y) for ``marks`` from :func:`bounded`, whose bound makes the broadcast safe; no
-    text is shuffled. Null texts teach nothing and are left out."""
+    """(doc_id, text, y) for ``marks`` from :func:`bounded`, one row at most for each of them: of rows
+    with equal ids the smallest text counts. The bound of the marks makes the broadcasts safe; only
+    texts whose id comes more than once are shuffled. Null texts teach nothing and are left out."""
     docs = pick(documents, "doc_id", "text").where("text is not null")
-    return docs.join(F.broadcast(marks), "doc_id")
+    ids = pick(documents, "doc_id").join(F.broadcast(marks.select("doc_id").distinct()), "doc_id")
+    again = stage(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "label-repeats")
+    marked = docs.join(F.broadcast(marks), "doc_id")
+    least = (
+        marked.join(F.broadcast(again), "doc_id", "left_semi")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
+    )
+    once = marked.join(F.broadcast(again), "doc_id", "left_anti")
+    return once.select("doc_id", "text", "y").unionByName(least)

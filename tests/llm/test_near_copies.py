@@ -46,6 +46,18 @@ def test_stage_drops_copies_that_simhash_keeps(spark, block):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} > want
 
 
+def test_equal_rows_are_read_once(spark, monkeypatch):
+    """300 equal rows and a neighbour of theirs are two sets."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words))] * 300 + [(2, " ".join([*words[:99], "x"])), (3, "other words alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    found = near_copies.wanted_texts
+    monkeypatch.setattr(near_copies, "wanted_texts", lambda *a: seen.append(found(*a)) or seen[-1])
+    assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == {1, 3}
+    assert near_copies.keep_one(docs).count() == 2 and seen[0].count() == 2
+
+
 def test_stage_of_the_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
