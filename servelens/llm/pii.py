@@ -44,7 +44,7 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_VALID = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
 #: Tried at word starts only, so that a long gap is read once.
 LAST_WORD = rf"(?<![^{S}])([^{S}]++)[{S}]++$"
-ROUNDS, THRESHOLD, SEEDS, PRIOR = 3, 0.8, 3, 1.0
+THRESHOLD, SEEDS, PRIOR = 0.8, 3, 1.0
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -162,12 +162,14 @@ def lexical(left: Column) -> Column:
 def accepted_patterns(
     base: DataFrame,
     tokens: DataFrame,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     threshold: float = THRESHOLD,
     seeds: int = SEEDS,
     prior: float = PRIOR,
 ) -> DataFrame:
-    """(pattern) of the left words that are trusted after ``rounds`` rounds.
+    """(pattern) of the left words that are trusted after ``rounds`` rounds, or once a round adds none.
+
+    Confidence only grows from round to round, so patterns only join and the rounds come to an end.
 
     ``base`` and ``tokens`` have (left, found). An instance counts once for each pattern, however
     often it occurs, so copies of a document lend no weight; what occurs as a seed is a seed.
@@ -186,15 +188,19 @@ def accepted_patterns(
         )
         return scored.where((F.col("score") >= threshold) & (F.col("seeds") >= seeds))
 
-    known = score(graph.withColumn("confidence", F.col("seed").cast("double")))
-    for _ in range(rounds - 1):
+    known = stage(score(graph.withColumn("confidence", F.col("seed").cast("double"))), "pii-known")
+    held, done = known.count(), 1
+    while held and done != rounds:
         doubt = F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))
         lent = graph.join(known, "pattern").groupBy("instance").agg((1 - doubt).alias("lent"))
         confident = graph.join(lent, "instance", "left").withColumn(
             "confidence",
             F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("lent", F.lit(0.0))),
         )
-        known = score(confident)
+        known = stage(score(confident), "pii-known")
+        before, held, done = held, known.count(), done + 1
+        if held == before:
+            break
     return known.select("pattern")
 
 

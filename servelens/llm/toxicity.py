@@ -237,7 +237,8 @@ def train(
     documents: DataFrame, labels: DataFrame, counted: int = COUNTED, fitted: int = FITTED
 ) -> ToxicModel:
     """Fit on labelled rows outside the held-out fold. Words are counted in at most about ``counted``
-    of them; the curves use at most about ``fitted``, of which a few numbers a row go to the driver.
+    of them; the curves use at most about ``fitted``, of which a few numbers a row go to the driver:
+    the scores of a text's ``SENT`` best segments, so a text with more is fitted by these.
 
     Rows are in two halves: those of one are fitted with the counts of the other, so that a
     word that occurs in one document only does not vouch for it.
