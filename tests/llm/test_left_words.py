@@ -16,14 +16,13 @@ def test_left_word_is_whole(spark):
 def test_rounds_go_on_to_the_fixpoint(spark):
     """A chain of left words, each of which is trusted only by what the one before has lent, with the
     production threshold."""
-    base = [("w0", f"seed{k}") for k in range(4)]
     tokens = []
     names = ["alpha", "beta", "gamma", "delta", "omega"]
     base = [(names[0], f"seed-000{k}@x.y") for k in range(30)]
     for k, (name, after) in enumerate(zip(names, names[1:])):
         shared = [f"id{k}-{i:04d}" for i in range(4)]
         tokens += [(name, i) for i in shared] + [(after, i) for i in shared]
-        base += [(after, f"seed-{k}-00{i}@x.y") for i in range(26 - k)]
+        base += [(after, f"seed-{k}-00{i}@x.y") for i in range(26 - k) if after != names[-1]]
     make = lambda rows: spark.createDataFrame(rows, "left string, found string")
     found = lambda rounds: {r.pattern for r in pii.accepted_patterns(make(base), make(tokens), rounds=rounds).collect()}
     every = found(None)
