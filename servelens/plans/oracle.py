@@ -1214,6 +1214,27 @@ SELECT container_id, drain_id, drain_ms,
 """,
     DRAINS,
 )
+RELOADS = """
+reloads AS (
+  SELECT 1704067200000 + o_orderkey * 1000 AS ts_ms, 'quota_reloaded' AS alert_type, 'info' AS severity,
+    'New quota rules in force: document of 12 bytes' AS message
+  FROM orders WHERE o_orderkey % 4 NOT IN (1, 2)
+)"""
+CONTROLS = """
+controls AS (
+  SELECT event_id AS alert_id, ts_ms, event AS alert_type, coalesce(detail, '') AS message, strict,
+    CASE WHEN event IN ('ranger_degraded', 'zk_init_failed')
+           THEN CASE WHEN strict THEN 'critical' ELSE 'warning' END
+         WHEN event = 'zk_connection_lost' THEN CASE WHEN detail = 'LOST' THEN 'critical' ELSE 'warning' END
+         ELSE 'info' END AS severity
+  FROM (SELECT request_id AS event_id, ts_ms, unnest([true, false]) AS strict,
+          ['ranger_degraded', 'zk_init_failed', 'zk_connection_lost', 'zk_reconnected', 'quota_reloaded',
+           'probe'][request_id % 6 + 1] AS event,
+          CASE WHEN request_id % 6 = 2 THEN CASE WHEN k % 2 = 0 THEN 'LOST' ELSE 'SUSPENDED' END
+               WHEN k % 3 <> 0 THEN concat('detail ', k) END AS detail
+        FROM requests_v)
+  WHERE event <> 'probe'
+)"""
 ORACLE["all_alerts"] = req(
     f""",
 a AS (
@@ -1224,6 +1245,8 @@ a AS (
   FROM drains WHERE remaining > 0
   UNION ALL SELECT 'scaling_event', 'info', concat(action, ' from ', from_target, ' to ', to_target,
     ' containers'), ts_ms FROM recommended
+  UNION ALL SELECT alert_type, severity, message, ts_ms FROM controls WHERE strict
+  UNION ALL SELECT alert_type, severity, message, ts_ms FROM reloads
 )
 SELECT alert_type, severity, count(*) AS alerts, CAST(sum(length(message)) AS BIGINT)
   AS message_chars, max(ts_ms) AS newest_ms FROM a GROUP BY 1, 2
@@ -1235,6 +1258,8 @@ SELECT alert_type, severity, count(*) AS alerts, CAST(sum(length(message)) AS BI
     LOADS,
     SIGNAL,
     SCALING,
+    CONTROLS,
+    RELOADS,
 )
 
 # --- scoring and the composite plan ------------------------------------------------------------
@@ -1364,11 +1389,42 @@ SELECT mode, count(*) AS calls, count(*) FILTER (allowed) AS allowed FROM (
 ) GROUP BY 1
 """
 )
-ORACLE["reload_alerts"] = f"""
-SELECT 1704067200000 + n_nationkey * {DAY_MS} + n_nationkey * 1000 AS ts_ms,
-  'quota_reloaded' AS alert_type, 'info' AS severity
-FROM nation WHERE n_nationkey % 4 NOT IN (1, 2) AND n_nationkey > 3
+ORACLE["reload_alerts"] = f"WITH {RELOADS} SELECT * FROM reloads WHERE ts_ms > 1704067200000 + 100000"
+ORACLE["control_alerts"] = req("SELECT * FROM controls", CONTROLS)
+ORACLE["fleet_health_modes"] = req(
+    """,
+f AS (
+  SELECT count(*) AS n, count(*) FILTER (ready) AS up FROM (
+    SELECT host, max_by(status = 200, request_id) AS ready FROM roster_v JOIN requests_v USING (host) GROUP BY 1)
+)
+SELECT mode, CASE WHEN mode = 'empty' THEN 0 ELSE n END AS backends,
+  CASE WHEN mode IN ('empty', 'none_ready') THEN 0 ELSE up END AS ready_hosts,
+  CASE WHEN mode = 'degraded_strict' THEN 'RANGER_UNAVAILABLE'
+       WHEN mode IN ('empty', 'none_ready') OR up = 0 THEN 'NO_INSTANCES_READY' ELSE 'OK' END AS health,
+  CASE WHEN mode = 'empty' THEN 'NO_BACKENDS' ELSE 'OK' END AS proxy_health
+FROM f, (SELECT unnest(['ok', 'degraded_strict', 'none_ready', 'empty']) AS mode)
 """
+)
+ORACLE["adjudicate_versions"] = req(
+    """
+SELECT request_id, CASE WHEN outcome = 'forwarded' AND latency_us % 20 = 7 THEN 'upstream_timeout'
+    WHEN outcome = 'forwarded' AND latency_us % 20 = 11 THEN 'upstream_error' ELSE outcome END AS outcome,
+  CAST(CASE WHEN outcome = 'forwarded' AND latency_us % 20 = 7 THEN 504
+            WHEN outcome = 'forwarded' AND latency_us % 20 = 11 THEN 502 ELSE code END AS INT) AS code,
+  container_id, ok AND latency_us % 20 NOT IN (7, 11) AS ok, shown AS latency_us, retry_after_sec
+FROM (SELECT a.* EXCLUDE (latency_us), a.latency_us AS shown, r.latency_us
+      FROM adjudicated a JOIN requests_v r USING (request_id))
+""",
+    RULED,
+    ROUTES,
+    OUTCOMES.replace(
+        "used AS (SELECT * FROM gated WHERE rule_in IS NOT NULL)",
+        f"""used AS (
+  SELECT * REPLACE (bucket || CASE WHEN ts_ms >= 1704067200000 + 15 * {DAY_MS} THEN '@2' ELSE '@1' END AS bucket)
+  FROM gated WHERE rule_in IS NOT NULL
+)""",
+    ),
+)
 ORACLE["stream_rate_limit_reload"] = req(
     """
 SELECT request_id, CAST(version AS INT) AS version, NOT denied AS allowed, retry_after_ms, reason,
@@ -1397,3 +1453,15 @@ ORACLE["stream_adjudication_summary"] = ORACLE["adjudication_summary"]
 ORACLE["stream_rate_limit_keyed"] = ORACLE["rate_limit"]
 ORACLE["stream_drain_verdicts"] = ORACLE["drain_verdicts"]
 ORACLE["stream_roster_changes"] = ORACLE["instance_roster"]
+ORACLE["stream_running_totals"] = req(
+    """
+SELECT user_name, model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out
+FROM daily GROUP BY 1, 2
+""",
+    DAILY,
+)
+ORACLE["stream_reports_sent_twice"] = ORACLE["windowed_chargeback"]
+ORACLE["stream_latency_quantiles"] = req(
+    "SELECT model, requests, p50_us, p95_us, p99_us FROM card WHERE model NOT LIKE 'shadow:%'", CARD
+)
+ORACLE["stream_proxy_overhead"] = ORACLE["proxy_overhead"]

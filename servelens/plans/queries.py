@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from servelens.plans import views as V
 from servelens.session import shared_dir, stage
 from servelens.sources import policies, sinks, telemetry
 from servelens.streaming import adjudication as one_stream
-from servelens.streaming import aggregates, keyed, limiter, stateful
+from servelens.streaming import aggregates, keyed, limiter, sketches, spans, stateful
 from servelens.streaming.roster import RosterTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,18 +362,46 @@ def rules_asof_many_versions(spark, sf):
     return quota.rules_asof(r, versions).select("request_id", "version")
 
 
+def _rule_versions(spark, sf):
+    """A rule document per order, in force from its own moment on; some broken, some empty."""
+    n = F.col("o_orderkey")
+    return V.table(spark, sf, "orders").select(
+        n.alias("version"),
+        (F.lit(1_704_067_200_000) + n * 1000).alias("valid_from_ms"),
+        F.when(n % 4 == 1, '{"rules": [').when(n % 4 == 2, "").otherwise('{"rules":[]}').alias("doc"),
+    )
+
+
 @query
 def reload_alerts(spark, sf):
-    """Alerts for the valid documents of :func:`rules_asof` that took effect after the first four."""
-    n = F.col("n_nationkey")
-    docs = V.table(spark, sf, "nation").select(
-        n.cast("int").alias("version"),
-        (F.lit(1_704_067_200_000) + n * DAY_MS + n * 1000).alias("valid_from_ms"),
-        F.when(n % 4 == 1, '{"rules": [').when(n % 4 == 2, "").otherwise('{"rules":[]}').alias("doc"),
+    """Alerts for the valid documents of the orders that took effect after the first hundred seconds."""
+    seen = 1_704_067_200_000 + 100_000
+    alerts = limiter.reload_alerts(policies.valid_versions(_rule_versions(spark, sf)), seen_until_ms=seen)
+    return alerts.select("ts_ms", "alert_type", "message", "severity")
+
+
+def _control_events(spark, sf):
+    """Registry and authorization rows: each event plays a role by its number."""
+    n, k = F.col("event_id"), V.k_of()
+    kinds = ("ranger_degraded", "zk_init_failed", "zk_connection_lost", "zk_reconnected", "quota_reloaded", "probe")
+    return V.table(spark, sf, "events").select(
+        "event_id",
+        V.epoch_ms("ts").alias("ts_ms"),
+        F.get(F.array(*[F.lit(x) for x in kinds]), (n % 6).cast("int")).alias("event"),
+        F.when(n % 6 == 2, F.when(k % 2 == 0, "LOST").otherwise("SUSPENDED"))
+        .when(k % 3 != 0, V.text("detail ", k))
+        .alias("detail"),
     )
-    seen = 1_704_067_200_000 + 3 * DAY_MS + 3000
-    alerts = limiter.reload_alerts(policies.valid_versions(docs), seen_until_ms=seen)
-    return alerts.select("ts_ms", "alert_type", "severity")
+
+
+@query
+def control_alerts(spark, sf):
+    """Alerts of the control rows where an unreachable policy service refuses calls, and where it doesn't."""
+    parts = [
+        fleet.control_alerts(_control_events(spark, sf), strict).withColumn("strict", F.lit(strict))
+        for strict in (True, False)
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -566,6 +595,20 @@ def fleet_health(spark, sf):
     return fleet.fleet_health(V.probes(spark, sf), V.roster(spark, sf), keys=("deployment",))
 
 
+@query
+def fleet_health_modes(spark, sf):
+    """Health of the whole fleet: as it is, without its policy service, without ready hosts, and empty."""
+    probes, roster = V.probes(spark, sf), V.roster(spark, sf)
+    modes = {
+        "ok": (probes, roster, "ok"),
+        "degraded_strict": (probes, roster, "degraded_strict"),
+        "none_ready": (probes.withColumn("ready", F.lit(False)), roster, "ok"),
+        "empty": (probes, roster.where("ord < 0"), "ok"),
+    }
+    parts = [fleet.fleet_health(p, r, authz).withColumn("mode", F.lit(mode)) for mode, (p, r, authz) in modes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _alerts(spark, sf):
     return fleet.container_alerts(V.container_events(spark, sf))
 
@@ -868,6 +911,8 @@ def all_alerts(spark, sf):
         fleet.readiness_alerts(fleet.readiness_deadlines(_starts(spark, sf))),
         fleet.drain_alerts(drain_verdicts(spark, sf), timeout_ms=HOUR_MS),
         fleet.scaling_alerts(rec),
+        fleet.control_alerts(_control_events(spark, sf)),
+        limiter.reload_alerts(policies.valid_versions(_rule_versions(spark, sf))),
     ).groupBy("alert_type", "severity").agg(
         F.count(F.lit(1)).alias("alerts"), F.sum(F.length("message")).alias("message_chars"),
         F.max("ts_ms").alias("newest_ms"),
@@ -925,6 +970,34 @@ def adjudication_summary(spark, sf):
     return adjudication.outcome_summary(_outcomes(spark, sf))
 
 
+@query
+def adjudicate_versions(spark, sf):
+    """Outcomes under two rule documents, the second from the sixteenth day on, with upstreams that
+    time out or break off."""
+    k = F.col("latency_us") % 20
+    calls = stage(
+        adjudication.identify(V.raw_requests(spark, sf)).withColumn(
+            "upstream_error", F.when(k == 7, "timeout").when(k == 11, "io")
+        ),
+        "identified",
+    )
+    starts = F.array(F.lit(0).cast("bigint"), F.lit(1_704_067_200_000 + 15 * DAY_MS))
+    docs = V.rules_docs(spark).select("doc", F.explode(starts).alias("valid_from_ms")).withColumn(
+        "version", F.when(F.col("valid_from_ms") == 0, 1).otherwise(2)
+    )
+    outcomes = adjudication.adjudicate(
+        quota.rules_asof(calls, docs),
+        policies.load_quota_rules(docs),
+        V.grants(spark),
+        V.depth(spark, sf),
+        V.roster(spark, sf),
+        window_ms=DAY_MS,
+        tick_ms=HOUR_MS,
+        version="version",
+    )
+    return outcomes.select("request_id", "outcome", "code", "container_id", "ok", "latency_us", "retry_after_sec")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -1219,3 +1292,54 @@ def stream_roster_changes(spark, sf):
 
     _in_runs(events, _shuffled("ts_ms", 6 * HOUR_MS), end, "roster", start)
     return table.read(spark)
+
+
+@query
+def stream_running_totals(spark, sf):
+    """Totals per user and model over the windows of a stream in three runs."""
+    usage = V.usage(spark, sf)
+    end = _end_row(usage, ts_ms=FAR_MS, prompt_tokens=1)
+    start, made = _appended(lambda s: aggregates.windowed_chargeback(s, "1 day", f"{6 * HOUR_MS} milliseconds"))
+    root = _in_runs(usage, _shuffled("ts_ms", 6 * HOUR_MS), end, "totals", start)
+    return aggregates.running_totals(spark.read.schema(made["schema"]).parquet(f"{root}/out"))
+
+
+@query
+def stream_reports_sent_twice(spark, sf):
+    """Daily chargeback of a stream in which every report comes again up to six hours later."""
+    usage = V.usage(spark, sf).withColumn("report_id", F.xxhash64("user_name", "model", "ts_ms"))
+    sent = usage.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    later = F.col("ts_ms") + F.col("again") * F.pmod(F.col("report_id"), F.lit(6 * HOUR_MS))
+
+    def build(stream):
+        once = aggregates.distinct_reports(stream, f"{6 * HOUR_MS} milliseconds")
+        return aggregates.windowed_chargeback(once, "1 day")
+
+    start, made = _appended(build)
+    end = _end_row(sent, ts_ms=FAR_MS, report_id=0, prompt_tokens=1, completion_tokens=1)
+    root = _in_runs(sent, later, end, "reports", start)
+    return spark.read.schema(made["schema"]).parquet(f"{root}/out")
+
+
+@query
+def stream_latency_quantiles(spark, sf):
+    """Percentiles from sketches of daily windows; exact while a model has at most sketches.K calls."""
+    calls = V.forwarded(spark, sf).select("ts_ms", "model", "latency_us")
+    start, made = _appended(lambda s: sketches.windowed_sketches(s, "1 day", f"{6 * HOUR_MS} milliseconds"))
+    end = _end_row(calls, ts_ms=FAR_MS, latency_us=1)
+    root = _in_runs(calls, _shuffled("ts_ms", 6 * HOUR_MS), end, "sketches", start)
+    windows = spark.read.schema(made["schema"]).parquet(f"{root}/out")
+    return sketches.merged_quantiles(windows, {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99})
+
+
+@query
+def stream_proxy_overhead(spark, sf):
+    """Server spans and upstream calls paired in a stream in three runs, out of order."""
+    rows = V.spans(spark, sf)
+    # Rows without keys are left out before they are timed, so both sides end with keys of their own.
+    ids = {"trace_id": "end", "span_id": "end", "start_us": FAR_MS * 1000, "end_us": FAR_MS * 1000}
+    sides = [_end_row(rows, kind=kind, parent_span_id="none", **ids) for kind in ("SERVER", "CLIENT")]
+    start, made = _appended(lambda s: spans.span_overheads(s, 6 * HOUR_MS, HOUR_MS))
+    arrival = F.col("start_us") + F.pmod(F.xxhash64("trace_id", "kind"), F.lit(6 * HOUR_MS * 1000))
+    root = _in_runs(rows, arrival, sides[0].unionByName(sides[1]), "spans", start)
+    return spans.overhead_quantiles(spark.read.schema(made["schema"]).parquet(f"{root}/out"))

@@ -20,11 +20,20 @@ def event_time(df: DataFrame, watermark: str | None = None, ts_ms: str = "ts_ms"
     return timed.withWatermark("event_time", watermark) if watermark else timed
 
 
+def distinct_reports(usage: DataFrame, watermark: str, report_id: str = "report_id") -> DataFrame:
+    """Usage with each report once, however often it was sent within the watermark of its first copy;
+    the event time goes on to the windows that follow. A copy that comes later than that is dropped
+    by the watermark if its own time is as old."""
+    return event_time(usage, watermark).dropDuplicatesWithinWatermark([report_id])
+
+
 def windowed_chargeback(
     usage: DataFrame, window: str = "1 hour", watermark: str | None = None
 ) -> DataFrame:
-    """Tokens per event-time window, user and model; same plan for batch and stream."""
-    positive = event_time(usage, watermark).filter(
+    """Tokens per event-time window, user and model; same plan for batch and stream. Rows that have an
+    ``event_time`` keep it, and its watermark."""
+    timed = usage if "event_time" in usage.columns else event_time(usage, watermark)
+    positive = timed.filter(
         (F.col("prompt_tokens") > 0) | (F.col("completion_tokens") > 0)
     )
     return (
