@@ -46,17 +46,70 @@ def resource_prefixes(resource: Column | str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(r)), lambda n: F.substring(r, F.lit(1), n))
 
 
+#: Length of the fragments by which a pattern that begins with a wildcard is found.
+GRAM = 3
+#: Marks a fragment, so that it isn't taken for a prefix.
+INSIDE = "\x01"
+
+
+def _grams(text: Column, size: int) -> Column:
+    last = F.length(text) - size
+    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda n: F.substring(text, n + 1, F.lit(size)))
+
+
+def indexed_grants(grants: DataFrame) -> DataFrame:
+    """:func:`keyed_grants` where a pattern that begins with a wildcard has, in place of the empty prefix,
+    its rarest fragment: of its literal parts' pieces of three characters (or two, or one, if it has
+    no longer part) the one that fewest patterns share. Only patterns of nothing but wildcards keep the
+    empty prefix.
+    """
+    rules = keyed_grants(grants)
+    open_ = F.col("__prefix") == ""
+    parts = F.filter(F.split(F.lower("resource_glob"), "[*?]"), lambda p: p != "")
+
+    def pieces_of(size: int) -> Column:
+        found = F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, size))))
+        return F.when(F.size(found) > 0, found)
+
+    pieces = F.coalesce(*[pieces_of(n) for n in range(GRAM, 0, -1)])
+    patterns = (
+        grants.select("resource_glob", glob_to_like("resource_glob").alias("__like"), pieces.alias("__pieces"))
+        .where(F.substring("resource_glob", 1, 1).isin("*", "?"))
+        .select("__like", F.explode("__pieces").alias("__piece"))
+        .distinct()
+    )
+    shared = patterns.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = (
+        patterns.join(shared, "__piece")
+        .groupBy("__like")
+        .agg(F.min(F.struct("__n", "__piece")).alias("__best"))
+        .select("__like", F.concat(F.lit(INSIDE), F.col("__best.__piece")).alias("__fragment"))
+    )
+    found = rules.join(rarest, "__like", "left")
+    key = F.when(open_, F.coalesce("__fragment", F.lit(""))).otherwise(F.col("__prefix"))
+    return found.select("__p", "access", key.alias("__prefix"), "__like")
+
+
+def resource_keys(resource: Column | str) -> Column:
+    """Every prefix of a resource name, and its fragments, so that patterns meet it in an equi-join."""
+    r = F.lower(F.col(resource) if isinstance(resource, str) else resource)
+    inside = [F.transform(_grams(r, n), lambda g: F.concat(F.lit(INSIDE), g)) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.concat(resource_prefixes(r), *inside))
+
+
 def granted(asks: DataFrame, grants: DataFrame, access: str) -> DataFrame:
     """The distinct (__p, __r) of ``asks(__p, __r)``, principal and resource, that a grant covers.
 
-    A resource meets the principal's own patterns on their literal prefix, so no pattern is paired
-    with a caller or name that doesn't ask for it.
+    A resource meets the principal's own patterns on their literal prefix, or on a rare fragment of
+    those that begin with a wildcard, so no pattern is paired with a caller or name that doesn't ask
+    for it.
     """
-    rules = keyed_grants(grants).filter(F.col("access") == access).drop("access")
+    rules = indexed_grants(grants).filter(F.col("access") == access).drop("access")
     return (
         asks.select("__p", "__r")
         .distinct()
-        .withColumn("__prefix", F.explode(resource_prefixes("__r")))
+        .withColumn("__prefix", F.explode(resource_keys("__r")))
         .join(rules, ["__p", "__prefix"])
         .filter(F.like(F.lower("__r"), F.col("__like")))
         .select("__p", "__r")
@@ -156,10 +209,10 @@ def visible_catalog(
 
 def _visible(users, names, grants, access, user, groups) -> DataFrame:
     """Distinct (user, model) with the access, from principals to grants to names."""
-    rules = keyed_grants(grants).filter(F.col("access") == access)
+    rules = indexed_grants(grants).filter(F.col("access") == access)
     covers = (
         names.distinct()
-        .withColumn("__prefix", F.explode(resource_prefixes("model")))
+        .withColumn("__prefix", F.explode(resource_keys("model")))
         .join(rules.select("__prefix", "__like").distinct(), "__prefix")
         .filter(F.like(F.lower("model"), F.col("__like")))
         .select("__like", "model")

@@ -45,7 +45,10 @@ def span_overheads(spans: DataFrame, lateness_ms: int = 0, call_ms: int = CALL_M
         server.join(client, near, "left_outer")
         .groupBy(*keys)
         .agg(F.sum("client_us").alias("client_us"))
-        .withColumn("overhead_us", F.greatest(F.col("server_us") - F.col("client_us"), F.lit(0)))
+        .withColumn(
+            "overhead_us",
+            F.when(F.col("client_us").isNotNull(), F.greatest(F.col("server_us") - F.col("client_us"), F.lit(0))),
+        )
         .drop("server_time")
     )
 
