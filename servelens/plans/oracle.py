@@ -1465,3 +1465,14 @@ ORACLE["stream_latency_quantiles"] = req(
     "SELECT model, requests, p50_us, p95_us, p99_us FROM card WHERE model NOT LIKE 'shadow:%'", CARD
 )
 ORACLE["stream_proxy_overhead"] = ORACLE["proxy_overhead"]
+ORACLE["inventory_changes"] = """
+WITH files AS (
+  SELECT o_orderkey // 7 AS m, o_orderkey % 10 AS d, o_custkey AS length FROM orders
+)
+SELECT concat('m', m) AS model,
+  CASE WHEN bool_and(d = 2) THEN 'added' WHEN bool_and(d = 0) THEN 'removed' ELSE 'changed' END AS change,
+  count(*) FILTER (d = 2) AS files_added, count(*) FILTER (d = 0) AS files_removed,
+  count(*) FILTER (d = 1) AS files_changed,
+  CAST(sum(CASE d WHEN 2 THEN length WHEN 0 THEN -length WHEN 1 THEN 5 ELSE 0 END) AS BIGINT) AS bytes_grown
+FROM files GROUP BY m HAVING bool_or(d <= 2)
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +17,7 @@ from servelens.operators import scoring, state, tokens, traces
 from servelens.plans import adjudication
 from servelens.plans import views as V
 from servelens.session import shared_dir, stage
-from servelens.sources import policies, sinks, telemetry
+from servelens.sources import inventory, policies, sinks, telemetry
 from servelens.streaming import adjudication as one_stream
 from servelens.streaming import aggregates, keyed, limiter, sketches, spans, stateful
 from servelens.streaming.roster import RosterTable
@@ -778,6 +779,27 @@ def model_inventory(spark, sf):
     return telemetry.model_inventory(files, "hdfs:///repo")
 
 
+def _listings(spark, sf):
+    """Two listings with a file per order: a tenth of them go, a tenth come, a tenth change."""
+    n = F.col("o_orderkey")
+    files = V.table(spark, sf, "orders").select(
+        n.alias("n"),
+        V.text("hdfs:///models/m", F.floor(n / 7).cast("bigint"), "/", n).alias("path"),
+        F.col("o_custkey").cast("bigint").alias("length"),
+        F.timestamp_seconds(F.col("o_custkey").cast("bigint")).alias("modified"),
+    )
+    after = files.where("n % 10 <> 0").withColumn("length", F.col("length") + F.when(F.col("n") % 10 == 1, 5).otherwise(0))
+    return files.where("n % 10 <> 2").drop("n"), after.drop("n")
+
+
+@query
+def inventory_changes(spark, sf):
+    """Models that differ between a kept snapshot and a later listing."""
+    before, after = _listings(spark, sf)
+    snapshot = inventory.keep_snapshot(before, f"inventory_{uuid.uuid4().hex}", buckets=16)
+    return inventory.model_changes(snapshot, after, "hdfs:///models")
+
+
 @query
 def loaded_models(spark, sf):
     r = V.requests(spark, sf)
