@@ -1476,3 +1476,25 @@ SELECT concat('m', m) AS model,
   CAST(sum(CASE d WHEN 2 THEN length WHEN 0 THEN -length WHEN 1 THEN 5 ELSE 0 END) AS BIGINT) AS bytes_grown
 FROM files GROUP BY m HAVING bool_or(d <= 2)
 """
+ORACLE["scrape_log_family"] = req(
+    """
+SELECT host, ts_ms, unnest([base_model, 'other']) AS model,
+  unnest([k % 20 + 0.7, 1.0])::DOUBLE AS value
+FROM requests_v WHERE k % 10 <> 8
+"""
+)
+ORACLE["stream_scrape_log"] = req(
+    """,
+l AS (
+  SELECT host, ts_ms, unnest(CASE k % 10
+    WHEN 7 THEN ['nv_inference_request_success', 'nv_inference_pending_request_count',
+                 'nv_inference_pending_request_count']
+    ELSE [NULL, NULL, 'nv_gpu_utilization', 'nv_gpu_utilization', 'nv_gpu_memory_used_bytes',
+          'nv_inference_pending_request_count', 'nv_inference_pending_request_count',
+          'nv_inference_request_success']
+      || CASE WHEN k % 10 = 6 THEN ['nv_inference_pending_request_count'] ELSE [] END END) AS metric
+  FROM requests_v WHERE k % 10 <> 8
+)
+SELECT host, metric, count(*) AS lines, max(ts_ms) AS newest_ms FROM l GROUP BY 1, 2
+"""
+)

@@ -17,7 +17,7 @@ from servelens.operators import scoring, state, tokens, traces
 from servelens.plans import adjudication
 from servelens.plans import views as V
 from servelens.session import shared_dir, stage
-from servelens.sources import inventory, policies, sinks, telemetry
+from servelens.sources import inventory, policies, scrape_log, sinks, telemetry
 from servelens.streaming import adjudication as one_stream
 from servelens.streaming import aggregates, keyed, limiter, sketches, spans, stateful
 from servelens.streaming.roster import RosterTable
@@ -731,6 +731,34 @@ def parse_exposition(spark, sf):
     )
 
 
+def _scrape_log(spark, sf):
+    """The scrapes' lines written as a log, and its path."""
+    scrape_log.register(spark)
+    path = shared_dir(spark, "scrapes")
+    lines = V.scrapes(spark, sf).select("host", "ts_ms", F.explode(F.split("body", "\n")).alias("line"))
+    lines.where("line <> ''").write.format("scrape_log").mode("append").save(path)
+    return path
+
+
+@query
+def scrape_log_family(spark, sf):
+    """Samples of one metric family from a scrape log, whose reader gives no other lines out."""
+    log = spark.read.format("scrape_log").load(_scrape_log(spark, sf))
+    pending = log.where("metric = 'nv_inference_pending_request_count'")
+    samples = telemetry.parse_exposition(pending.select("host", "ts_ms", F.col("line").alias("body")))
+    return samples.select("host", "ts_ms", F.col("labels")["model"].alias("model"), "value")
+
+
+@query
+def stream_scrape_log(spark, sf):
+    """The lines of a scrape log per host and family, read as a stream."""
+    path = _scrape_log(spark, sf)
+    lines = _drain_stream(spark.readStream.format("scrape_log").load(path), "scrape-lines")
+    return lines.groupBy("host", "metric").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("ts_ms").alias("newest_ms")
+    )
+
+
 @query
 def service_log_round_trip(spark, sf):
     lines = sinks.format_service_log(V.service_logs(spark, sf))
