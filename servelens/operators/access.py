@@ -126,8 +126,10 @@ def evaluate_access(
     base: str = "base_model",
     lora: str = "lora",
     access: str = "infer",
+    calls: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``base_allowed`` and ``allowed``. An adapter call needs the base *and* ``base#lora``.
+    ``calls`` has the same four columns for all requests, where those are costly to compute twice.
 
     ``off`` (no policy configured) and ``degraded_lenient`` allow all; ``degraded_strict``
     denies all. A grant for the principal ``*`` covers every caller.
@@ -140,9 +142,9 @@ def evaluate_access(
         return requests.withColumns({"base_allowed": verdict, "allowed": verdict})
     # Each distinct call is settled once, from what its principals may use of base and adapter.
     call = F.struct(user, groups, base, lora)
-    calls = requests.select(user, groups, base, lora).distinct()
+    settled = (requests if calls is None else calls).select(user, groups, base, lora).distinct()
     asks = (
-        calls.select(
+        settled.select(
             call.alias("__call"),
             F.explode(principals(user, groups)).alias("__p"),
             F.col(base).alias("__base"),

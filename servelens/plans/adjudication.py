@@ -17,6 +17,7 @@ from servelens.operators.access import evaluate_access
 from servelens.operators.metrics import succeeded
 from servelens.operators.quota import WINDOW_MS, match_quota_rule, rate_limit
 from servelens.operators.routing import TICK_MS, route_least_loaded
+from servelens.session import stage
 from servelens.sources.telemetry import check_usage_reports, parse_requests
 
 
@@ -101,8 +102,10 @@ def adjudicate(
     # Calls stopped before the quota gate neither take nor need a place in a bucket.
     for column in ("bucket", "rpm"):
         matched = matched.withColumn(column, F.when(eligible, F.col(column)))
+    # Ranking goes over its input several times: the match is done once, before it.
+    matched = stage(matched, "matched")
     limited = rate_limit(matched, window_ms=window_ms).withColumnRenamed("allowed", "quota_ok")
-    checked = evaluate_access(limited, grants, access_mode)
+    checked = evaluate_access(limited, grants, access_mode, calls=identified)
     return outcomes(route_least_loaded(checked, depth, roster, tick_ms, ticks=identified))
 
 

@@ -18,9 +18,9 @@ from servelens.streaming.roster import RosterTable
 
 @pytest.fixture(scope="module", autouse=True)
 def few_state_stores(spark):
-    """Every state store of a trigger starts a worker, so these small streams have two."""
+    """Every state store of a trigger starts a worker, so these small streams have one; the registered ones have more."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
