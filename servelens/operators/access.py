@@ -191,7 +191,7 @@ def visible_catalog(
     pairs = adapters.select("base", "adapter", F.concat_ws("#", "base", "adapter").alias("model"))
     adapter_ok = (
         _visible(users, pairs.select("model"), grants, "list", user, groups)
-        .join(pairs, "model")
+        .join(pairs.hint("merge"), "model")
         .drop("model")
         .withColumnRenamed("base", "model")
         .join(listed, [user, "model"], "left_semi")
@@ -215,7 +215,8 @@ def _visible(users, names, grants, access, user, groups) -> DataFrame:
     covers = (
         names.distinct()
         .withColumn("__prefix", F.explode(resource_keys("model")))
-        .join(rules.select("__prefix", "__like").distinct(), "__prefix")
+        # Names come many times over here, which no estimate of their size tells: never a broadcast.
+        .join(rules.select("__prefix", "__like").distinct().hint("merge"), "__prefix")
         .filter(F.like(F.lower("model"), F.col("__like")))
         .select("__like", "model")
     )
