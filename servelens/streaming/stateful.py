@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from servelens.operators.skew import salted
 from servelens.operators.state import (
     FAILURE_THRESHOLD,
     MIN_CONTAINERS,
@@ -135,33 +137,72 @@ def stream_scaling(
 
 
 class ReadinessProcessor(StatefulProcessor):
-    """A start arms an event-time timer; readiness before it fires gives ``warmup_ok``."""
+    """A start arms a deadline; readiness before it gives ``warmup_ok``, else it ends in ``warmup_timeout``.
+
+    A key is a group of containers. Their open starts are one packed value with one event-time timer, at
+    the earliest deadline, so a container costs no call to the state store of its own.
+    """
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("start", "start_ms bigint")
+        self.open = handle.getValueState("open", "starts binary")
+        self.alarm = handle.getValueState("alarm", "at_ms bigint")
+
+    def _starts(self) -> dict[str, int]:
+        if not self.open.exists():
+            return {}
+        with pa.ipc.open_stream(self.open.get()[0]) as stream:
+            held = stream.read_all()
+        return dict(zip(held["container_id"].to_pylist(), held["start_ms"].to_pylist()))
+
+    def _hold(self, starts: dict[str, int]) -> None:
+        """Keep the open starts, and one timer at the earliest of their deadlines."""
+        at = max(min(starts.values()) + self.timeout_ms, 1) if starts else None
+        held = self.alarm.get()[0] if self.alarm.exists() else None
+        if held != at and held is not None:
+            self.handle.deleteTimer(held)
+        if not starts:
+            self.open.clear()
+            self.alarm.clear()
+            return
+        names = pa.array(list(starts.keys()), pa.string())
+        block = pa.record_batch([names, pa.array(list(starts.values()), pa.int64())], ["container_id", "start_ms"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema) as stream:
+            stream.write_batch(block)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        if held != at:
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        out = []
-        for row in pd.concat(rows).sort_values("ts_ms").itertuples(index=False):
-            if row.event == "start" and not self.state.exists():
-                self.state.update((int(row.ts_ms),))
-                self.handle.registerTimer(int(row.ts_ms) + self.timeout_ms)
-            elif row.event == "probe_ready" and self.state.exists():
-                started = int(self.state.get()[0])
-                if row.ts_ms - started < self.timeout_ms:
-                    self.handle.deleteTimer(started + self.timeout_ms)
-                    self.state.clear()
-                    out.append((key[0], started, "warmup_ok", int(row.ts_ms) - started))
+        names, begins, ends, ts = _columns(
+            (pdf.assign(begins=pdf["event"] == "start", ends=pdf["event"] == "probe_ready") for pdf in rows),
+            {"container_id": object, "begins": bool, "ends": bool, "ts_ms": np.int64},
+        )
+        # Of rows of equal time starts come first.
+        order = np.lexsort((ends, ts))
+        starts, out = self._starts(), []
+        for name, begin, end, at in zip(*(c[order].tolist() for c in (names, begins, ends, ts))):
+            if begin:
+                starts.setdefault(name, at)
+            elif end and name in starts and at - starts[name] < self.timeout_ms:
+                started = starts.pop(name)
+                out.append((name, started, "warmup_ok", at - started))
+        self._hold(starts)
         yield _warmups(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        started = int(self.state.get()[0])
-        self.state.clear()
-        yield _warmups([(key[0], started, "warmup_timeout", None)])
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        starts = self._starts()
+        over = [(name, at) for name, at in starts.items() if at + self.timeout_ms <= now]
+        # Spark removes the timer that has fired by itself.
+        self.alarm.clear()
+        self._hold({name: at for name, at in starts.items() if at + self.timeout_ms > now})
+        yield _warmups([(name, at, "warmup_timeout", None) for name, at in over])
 
     def close(self) -> None:
         pass
@@ -169,15 +210,22 @@ class ReadinessProcessor(StatefulProcessor):
 
 def _warmups(rows: list[tuple]) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=["container_id", "start_ms", "verdict", "took_ms"])
-    return pdf.astype({"took_ms": "Int64"})
+    return pdf.astype({"start_ms": "int64", "took_ms": "Int64"})
+
+
+#: Keys that the containers of a stream are dealt to.
+READINESS_GROUPS = 512
 
 
 def stream_readiness(events: DataFrame, timeout_ms: int) -> DataFrame:
     """Warm-up verdicts per container start; ``events`` carries a watermark on ``event_time``."""
     use_state_store(events.sparkSession)
     return (
-        events.select("container_id", "event", "ts_ms", "event_time")
-        .groupBy("container_id")
+        events.select(
+            salted(["container_id"], READINESS_GROUPS).alias("containers"),
+            "container_id", "event", "ts_ms", "event_time",
+        )
+        .groupBy("containers")
         .transformWithStateInPandas(
             ReadinessProcessor(timeout_ms), WARMUP_SCHEMA, "Append", "EventTime"
         )
