@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -49,11 +50,33 @@ def _placed(bucket, ts, ids, rpm, payload, start=None, place=None, capacity=None
     )
 
 
+WAITING = pa.schema(
+    [("ts_ms", pa.int64()), ("request_id", pa.int64()), ("rpm", pa.int64()), ("payload", pa.large_string())]
+)
+#: Calls of a block, calls that are sorted before they are cut into blocks, blocks read at a time, and
+#: calls given out at a time.
+BLOCK, SORTED, READ, RELEASED = 1 << 14, 1 << 18, 32, 1 << 16
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="lz4")
+    with pa.ipc.new_stream(sink, rows.schema, options=options) as stream:
+        stream.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    with pa.ipc.open_stream(block) as stream:
+        return stream.read_all()
+
+
 class LimitProcessor(StatefulProcessor):
     """Places of a bucket's calls in its windows, in the order of (ts_ms, request_id).
 
-    Calls wait in a list until the watermark, moved on by the grace time, has passed them; a timer at
-    the earliest of them releases what is due. A call before the last one released is late.
+    Calls wait in compressed blocks until the watermark, moved on by the grace time, has passed them; a
+    timer at the earliest of them releases what is due, a few blocks at a time. A call before the last one
+    released is late.
     """
 
     def __init__(self, window_ms: int, grace_ms: int, idle_ms: int | None):
@@ -65,9 +88,28 @@ class LimitProcessor(StatefulProcessor):
             "bucket",
             "first_ms bigint, capacity int, window_start_ms bigint, used bigint, last_ms bigint, last_id bigint",
         )
-        self.waiting = handle.getListState("waiting", "ts_ms bigint, request_id bigint, rpm int, payload string")
+        # Pairs (first time, number) of the blocks of waiting calls.
+        self.index = handle.getValueState("index", "blocks binary")
+        self.waiting = handle.getMapState("waiting", "number bigint", "block binary")
         self.alarm = handle.getValueState("alarm", "at_ms bigint")
 
+    def _blocks(self) -> np.ndarray:
+        held = self.index.get()[0] if self.index.exists() else b""
+        return np.frombuffer(held, np.int64).reshape(-1, 2)
+
+    def _keep(self, calls: pa.RecordBatch | pa.Table, blocks: list[tuple[int, int]], number: int) -> int:
+        """Add ``calls`` as blocks that follow each other in time, to the store and to ``blocks``; the next number."""
+        calls = calls.sort_by([("ts_ms", "ascending"), ("request_id", "ascending")])
+        for at in range(0, calls.num_rows, BLOCK):
+            part = calls.slice(at, BLOCK)
+            self.waiting.updateValue((number,), (_packed(part),))
+            blocks.append((part["ts_ms"][0].as_py(), number))
+            number += 1
+        return number
+
+    def _hold(self, blocks: list[tuple[int, int]]) -> None:
+        self.index.update((np.array(sorted(blocks), np.int64).tobytes(),))
+
     def _wake(self, at_ms: int) -> None:
         """One timer for each bucket, at the earliest time asked for."""
         at_ms = max(at_ms, 1)
@@ -85,7 +127,9 @@ class LimitProcessor(StatefulProcessor):
                 yield _placed(None, pdf["ts_ms"], pdf["request_id"], pdf["rpm"], pdf["payload"])
             return
         *_, last_ms, last_id = self.bucket.get() if self.bucket.exists() else (None, None)
-        first = None
+        blocks = [tuple(b) for b in self._blocks().tolist()]
+        number = max((n for _, n in blocks), default=-1) + 1
+        old, fresh, size = len(blocks), [], 0
         for pdf in rows:
             if last_ms is not None:
                 late = (pdf["ts_ms"] < last_ms) | ((pdf["ts_ms"] == last_ms) & (pdf["request_id"] < last_id))
@@ -93,26 +137,47 @@ class LimitProcessor(StatefulProcessor):
                 if len(gone):
                     yield _placed(key[0], gone["ts_ms"], gone["request_id"], gone["rpm"], gone["payload"], late=True)
             if len(pdf):
-                columns = (pdf[c].tolist() for c in ("ts_ms", "request_id", "rpm", "payload"))
-                self.waiting.appendList([(int(t), int(i), int(n), p) for t, i, n, p in zip(*columns)])
-                low = int(pdf["ts_ms"].min())
-                first = low if first is None else min(first, low)
-        if first is not None:
-            self._wake(first - self.grace_ms)
+                fresh.append(pa.RecordBatch.from_pandas(pdf, schema=WAITING, preserve_index=False))
+                size += len(pdf)
+            if size >= SORTED:
+                number = self._keep(pa.Table.from_batches(fresh), blocks, number)
+                fresh, size = [], 0
+        if fresh:
+            self._keep(pa.Table.from_batches(fresh), blocks, number)
+        if len(blocks) > old:
+            self._hold(blocks)
+            self._wake(min(b[0] for b in blocks[old:]) - self.grace_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         self.alarm.clear()
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2]) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] - self.grace_ms <= now]
-        if due:
-            yield self._release(key[0], due)
-        rest = rows[len(due) :]
+        blocks = [tuple(b) for b in self._blocks().tolist()]
+        due = [b for b in blocks if b[0] - self.grace_ms <= now]
+        rest = blocks[len(due) :]
+        number = max((n for _, n in blocks), default=-1) + 1
+        held = None
+        # Blocks are read in the order of their first times. What precedes all blocks unread is released.
+        for at in range(0, len(due), READ):
+            read = due[at : at + READ]
+            parts = [_unpacked(self.waiting.getValue((n,))[0]) for _, n in read]
+            calls = pa.concat_tables(parts if held is None else [held, *parts])
+            calls = calls.sort_by([("ts_ms", "ascending"), ("request_id", "ascending")])
+            upto = now + self.grace_ms + 1
+            if at + READ < len(due):
+                upto = min(upto, due[at + READ][0])
+            cut = int(np.searchsorted(calls["ts_ms"].to_numpy(), upto))
+            for k in range(0, cut, RELEASED):
+                yield self._release(key[0], calls.slice(k, min(RELEASED, cut - k)))
+            held = calls.slice(cut)
+        for _, n in due:
+            self.waiting.removeKey((n,))
+        if held is not None and held.num_rows:
+            self._keep(held, rest, number)
         if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0] - self.grace_ms)
+            self._hold(rest)
+            self._wake(min(rest)[0] - self.grace_ms)
             return
-        self.waiting.clear()
+        self.index.clear()
         if self.idle_ms is not None and self.bucket.exists():
             over = self.bucket.get()[4] + self.idle_ms
             if over <= now:
@@ -120,19 +185,18 @@ class LimitProcessor(StatefulProcessor):
             else:
                 self._wake(over)
 
-    def _release(self, bucket: str, due: list[tuple]) -> pd.DataFrame:
-        ts, ids, rpm, payload = (list(c) for c in zip(*due))
-        held = self.bucket.get() if self.bucket.exists() else (ts[0], rpm[0], None, 0, None, None)
+    def _release(self, bucket: str, due: pa.Table) -> pd.DataFrame:
+        times, ids, rpm = (due[c].to_numpy() for c in ("ts_ms", "request_id", "rpm"))
+        held = self.bucket.get() if self.bucket.exists() else (int(times[0]), int(rpm[0]), None, 0, None, None)
         first_ms, capacity, window_start, used = held[:4]
-        times = np.array(ts, np.int64)
         number = (times - first_ms) // self.window_ms
         start = first_ms + number * self.window_ms
         # Calls are in order, so a window's calls follow each other.
         begins = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
-        place = np.arange(1, len(ts) + 1) - np.repeat(begins, np.diff(np.append(begins, len(ts))))
+        place = np.arange(1, len(times) + 1) - np.repeat(begins, np.diff(np.append(begins, len(times))))
         place = place + np.where(start == window_start, used, 0) if window_start is not None else place
-        self.bucket.update((first_ms, capacity, int(start[-1]), int(place[-1]), ts[-1], ids[-1]))
-        return _placed(bucket, times, ids, rpm, payload, start, place, capacity)
+        self.bucket.update((first_ms, capacity, int(start[-1]), int(place[-1]), int(times[-1]), int(ids[-1])))
+        return _placed(bucket, times, ids, rpm, due["payload"].to_pandas(), start, place, capacity)
 
     def close(self) -> None:
         pass
