@@ -1218,7 +1218,9 @@ def _in_runs(rows, arrival, end, label, start):
     others, and what becomes of it is left out by the caller. ``start(stream, root)`` starts a run.
     """
     spark, root = rows.sparkSession, shared_dir(rows.sparkSession, label)
-    staged = stage(rows.withColumn("__arrival", arrival), label)
+    # A file is read by one task where it has one row group: a file for each core.
+    spread = rows.withColumn("__arrival", arrival).repartition(spark.sparkContext.defaultParallelism)
+    staged = stage(spread, label)
     first, last = staged.agg(F.min("__arrival"), F.max("__arrival")).first()
     run = F.least(F.floor((F.col("__arrival") - first) * RUNS / F.lit(max(last - first, 1))), F.lit(RUNS - 1))
     for k in range(RUNS):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from servelens.operators.access import keyed_grants, principals, resource_prefixes
+from servelens.operators.access import EVERYONE, keyed_grants
 from servelens.operators.quota import RULE_FIELDS, WINDOW_MS, decide, with_bucket
 from servelens.operators.routing import TICK_MS, tick_of, tick_routes
 from servelens.plans.adjudication import identify, outcomes
@@ -53,42 +53,65 @@ def policy_table(rules: DataFrame, grants: DataFrame, access: str = "infer") ->
     return best.unionByName(patterns).unionByName(call)
 
 
-def _asks() -> Column:
-    """The keys under which a call may find rules and grants."""
-    equal = lambda c: F.concat(F.lit("="), c)
-    wild = F.lit("*")
-    groups = F.coalesce(F.col("groups"), F.array().cast("array<string>"))
-    users = F.array(equal(F.col("user_name")), wild)
-    members = F.array_append(F.transform(groups, equal), wild)
-    models = F.array(equal(F.col("base_model")), wild)
-    rules = F.flatten(
-        F.transform(
-            users,
-            lambda u: F.flatten(
-                F.transform(members, lambda g: F.transform(models, lambda m: _key("rule", u, g, m)))
-            ),
+def _shapes(policies: DataFrame) -> tuple[list[str], dict[str, list[int]]]:
+    """Which kinds of keys the policies have: of rules the first characters of their parts (eight at
+    most), of grants the lengths of their prefixes by the first character of the principal."""
+    first = lambda part: F.substring(part, 1, 1)
+    rule = F.col("key.kind") == "rule"
+    found = (
+        policies.where("key.kind in ('rule', 'grant')")
+        .select(
+            F.when(rule, F.concat(*[first(f"key.{p}") for p in "abc"])).alias("rule"),
+            F.when(~rule, first("key.a")).alias("principal"),
+            F.when(~rule, F.length("key.b")).alias("length"),
         )
+        .distinct()
+        .collect()
     )
+    lengths = {p: sorted(r.length for r in found if r.principal == p and r.length is not None) for p in "u*g"}
+    return sorted(r.rule for r in found if r.rule is not None), lengths
+
+
+def _asks(rules: list[str], lengths: dict[str, list[int]]) -> Column:
+    """The keys under which a call may find rules and grants, of the kinds that there are; null where
+    its name is shorter than a prefix."""
+    equal = lambda c: F.concat(F.lit("="), c)
+    groups = F.coalesce(F.col("groups"), F.array().cast("array<string>"))
     # The prefixes of the adapter's name hold those of its base.
-    named = resource_prefixes(F.concat_ws("#", "base_model", "lora"))
-    grants = F.flatten(
-        F.transform(
-            principals("user_name", "groups"),
-            lambda p: F.transform(named, lambda prefix: _key("grant", p, prefix)),
-        )
+    named = F.lower(F.concat_ws("#", "base_model", "lora"))
+
+    def ruled(shape: str, group: Column) -> Column:
+        user, _, model = (part == "=" for part in shape)
+        return _key(
+            "rule", equal(F.col("user_name")) if user else F.lit("*"), group,
+            equal(F.col("base_model")) if model else F.lit("*"),
+        )
+
+    def granted(kind: str, principal: Column) -> list[Column]:
+        cut = lambda n: _key("grant", principal, F.substring(named, 1, n))
+        return [F.when(F.length(named) >= n, cut(n)) for n in lengths[kind]]
+
+    own = [_key("call"), *[ruled(s, F.lit("*")) for s in rules if s[1] == "*"]]
+    own += granted("u", F.concat(F.lit("u:"), F.col("user_name"))) + granted("*", F.lit(EVERYONE))
+    shared = [s for s in rules if s[1] == "="]
+    if not shared and not lengths["g"]:
+        return F.array(*own)
+    of_group = lambda g: F.array(
+        *[ruled(s, equal(g)) for s in shared], *granted("g", F.concat(F.lit("g:"), g))
     )
-    return F.concat(F.array(_key("call")), rules, grants)
+    return F.concat(F.array(*own), F.flatten(F.transform(groups, of_group)))
 
 
 def resolve_policies(identified: DataFrame, policies: DataFrame) -> DataFrame:
     """Calls with the columns of their quota rule, ``bucket``, ``base_allowed`` and ``allowed``.
 
     ``identified`` has a watermark on ``event_time``; calls come out once it has passed them. A
-    request id names one call: a call that is sent twice counts once. A call's keys meet the
-    policies in an equi-join and are brought together again before the shuffle.
+    request id names one call: a call that is sent twice counts once. A call's keys, of the kinds that
+    the policies have when the stream starts, meet the policies in an equi-join and are brought
+    together again before the shuffle.
     """
     eligible = (F.col("endpoint") == "inference") & F.col("request_error").isNull()
-    keys = F.when(eligible, _asks()).otherwise(F.array(_key("call")))
+    keys = F.when(eligible, _asks(*_shapes(policies))).otherwise(F.array(_key("call")))
     kept = F.struct("ts_ms", *CARRIED)
     asked = identified.select(
         "event_time", "request_id", kept.alias("call"), eligible.alias("eligible"), F.explode(keys).alias("key")
