@@ -19,7 +19,8 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more, candidates
+    by SimHash with pigeonring and by MinHash bands."""
     return near_copies.keep_one(docs)
 
 

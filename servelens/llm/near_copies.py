@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles, checked exactly.
 
-Texts with equal sets of shingles are one node. MinHash signatures in bands say which nodes may be
-similar: nodes that share a band are joined to clusters, and the nodes of a cluster are compared by
+Texts with equal sets of shingles are one node. Pigeonring chains over the SimHash fingerprints of the
+sets (``simhash.links``) say which nodes may be similar. Most pairs at the least similarity differ in
+more bits than the chains allow, so nodes that share a band of their MinHash signatures are candidates,
+too. Candidates are joined to clusters, and the nodes of a cluster are compared by
 their whole sets. A large cluster is cut into blocks, and pairs of blocks are compared in tasks of
 their own; a task gives a spanning forest of its links, not all.
 """
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from servelens.llm import simhash
 from servelens.llm.common import map_rows
 from servelens.llm.components import connected_components
 from servelens.operators.skew import salted_join
@@ -72,6 +75,15 @@ def band_keys(marks: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
+def fingerprint(marks: np.ndarray) -> int:
+    """SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(marks), COUNTED):
+        part = marks[at : at + COUNTED].view(np.uint8)
+        ones += np.unpackbits(part).reshape(-1, simhash.BITS).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(marks)).tobytes(), "big")
+
+
 def node_of(marks: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(marks.tobytes(), SEED))
 
@@ -118,12 +130,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked()
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the nodes of ``nodes(node, n, fp, keys)`` that may be similar: those with
+    fingerprints within ``simhash.RADIUS`` bits, by pigeonring, and those that share a band."""
+    filled = nodes.where("n > 0")
+    prints = stage(filled.groupBy("fp").agg(F.min("node").alias("node")), "copies-prints")
+    ends = [prints.select(F.col("fp").alias(e), F.col("node").alias(f"{e}_node")) for e in ("u", "v")]
+    near = simhash.links(prints).join(ends[0], "u").join(ends[1], "v")
+    # Equal fingerprints are one more key. One shuffle of (node, key); the rows are two numbers, and a
+    # window spills.
+    listed = filled.select("node", F.explode(F.array_append("keys", F.col("fp"))).alias("key"))
+    met = listed.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("key")).alias("v"))
+    return met.unionByName(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+
+
 def clusters(nodes: DataFrame) -> DataFrame:
-    """(node, cluster) of the nodes of ``nodes(node, keys)`` that share a key with another one."""
-    listed = nodes.select("node", F.explode("keys").alias("key"))
-    # One shuffle of (node, key); the rows are two numbers, and a window spills.
-    edges = listed.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("key")).alias("v"))
-    roots = connected_components(edges, "copies-clusters")
+    """(node, cluster) of the nodes of ``nodes(node, n, fp, keys)`` that are candidates with another one."""
+    roots = connected_components(candidates(nodes), "copies-clusters")
     return roots.select("node", F.col("root").alias("cluster")).union(
         roots.select("root", "root").distinct()
     )
@@ -151,7 +174,7 @@ def wanted_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect all near copies of ``nodes(node, place, n, keys)``; ``texts`` has
+    """Edges (u, v) that connect all near copies of ``nodes(node, place, n, fp, keys)``; ``texts`` has
     the text of each place."""
     found = stage(clusters(nodes), "copies-members")
     members = found.join(nodes.select("node", "place", "n"), "node")
@@ -207,6 +230,7 @@ def keep_one(df: DataFrame, block: int = BLOCK) -> DataFrame:
             return {
                 "node": [node_of(s) for s in sets],
                 "n": [len(s) for s in sets],
+                "fp": [signed(fingerprint(s)) for s in sets],
                 "keys": [band_keys(s) for s in sets],
             }
 
@@ -214,9 +238,11 @@ def keep_one(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
     shape = "place struct<none: boolean, id: bigint, mark: bigint>"
     placed = bare.select(place.alias("place"), text.alias("text"))
-    rows = map_rows(placed, make, "node bigint, n bigint, keys array<bigint>", keep=shape)
+    rows = map_rows(placed, make, "node bigint, n bigint, fp bigint, keys array<bigint>", keep=shape)
     nodes = stage(
-        rows.groupBy("node").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys")),
+        rows.groupBy("node").agg(
+            F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]
+        ),
         "copies-nodes",
     )
     roots = connected_components(links(nodes, placed, block), "copies-links")
