@@ -186,7 +186,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = (
-        listed.join(meeting, "key")
+        # Fingerprints come 68 times over here, which no estimate of their size tells: never a broadcast.
+        listed.join(meeting.hint("merge"), "key")
         .select("key", "fp", "own", mine.alias("b"), other.alias("o"))
         .select("key", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "fp", "own")
     )
