@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from servelens.session import stage
+
 EVERYONE = "*"
 MODES = ("enforce", "off", "degraded_strict", "degraded_lenient")
 
@@ -172,6 +174,10 @@ def evaluate_access(
     )
 
 
+#: Users, and names, of a block: a block of either meets one of the other in one row.
+BLOCK = 1000
+
+
 def visible_catalog(
     users: DataFrame,
     catalog: DataFrame,
@@ -185,47 +191,130 @@ def visible_catalog(
 
     ``kind`` is ``model`` (needs ``list``), ``adapter`` (base visible and ``list`` on
     ``base#adapter``) or ``loaded`` (needs ``metadata``). The output is users times what each may
-    see; nothing larger is built on the way.
+    see. Users of the same groups see the same by them, so that is settled once for each set of groups; what a
+    user's own grants add is told apart, and only blocks of users and of names are shuffled to meet.
     """
-    listed = _visible(users, catalog.select("model"), grants, "list", user, groups)
-    pairs = adapters.select("base", "adapter", F.concat_ws("#", "base", "adapter").alias("model"))
-    adapter_ok = (
-        _visible(users, pairs.select("model"), grants, "list", user, groups)
-        .join(pairs.hint("merge"), "model")
-        .drop("model")
-        .withColumnRenamed("base", "model")
-        .join(listed, [user, "model"], "left_semi")
+    models = catalog.select(F.col("model").alias("__name")).distinct()
+    ready = loaded.select(F.col("name").alias("__name")).distinct()
+    pairs = adapters.select(
+        F.col("base").alias("__base"), "adapter", F.concat_ws("#", "base", "adapter").alias("__name")
     )
-    loaded_ok = _visible(
-        users, loaded.select(F.col("name").alias("model")), grants, "metadata", user, groups
+    names = models.union(ready).union(pairs.select("__name")).distinct()
+    reach = stage(_reach(names, grants, ("list", "metadata")), "catalog-reach")
+    everyone = users.select(user, groups).distinct()
+    asked = everyone.select(F.col(user).alias("__user"), F.explode(principals(user, groups)).alias("__p"))
+    own = F.startswith("__p", F.lit("u:"))
+
+    # Sets of groups, and what each reaches. Null is a user, too.
+    held = reach.where(~own).select("__p").distinct()
+    members = (
+        asked.where(~own).join(held, "__p", "left_semi")
+        .groupBy("__user").agg(F.sort_array(F.collect_set("__p")).alias("__ps"))
+    )
+    members = stage(members, "catalog-members")
+    teams = stage(
+        members.select("__ps").distinct().withColumn("__team", F.monotonically_increasing_id()), "catalog-teams"
     )
-    none = F.lit(None).cast("string")
-    return (
-        listed.select(user, F.lit("model").alias("kind"), "model", none.alias("adapter"))
-        .unionByName(adapter_ok.select(user, F.lit("adapter").alias("kind"), "model", "adapter"))
-        .unionByName(
-            loaded_ok.select(user, F.lit("loaded").alias("kind"), "model", none.alias("adapter"))
-        )
+    members = members.join(teams, "__ps").select("__user", "__team")
+    shared = teams.select("__team", F.explode("__ps").alias("__p")).join(reach.hint("merge"), "__p")
+    shared = stage(shared.select("__team", "access", "__name").distinct(), "catalog-shared")
+
+    # What a user's own grants add to that. The joins on names are never broadcasts: files of names are
+    # much smaller than the names.
+    mine = asked.where(own).join(reach.where(own).hint("merge"), "__p").select("__user", "access", "__name").distinct()
+    mine = mine.join(members, "__user", "left")
+    more = stage(
+        mine.join(shared.hint("merge"), ["__team", "access", "__name"], "left_anti"), "catalog-own"
     )
 
+    def only(rows: DataFrame, access: str, among: DataFrame) -> DataFrame:
+        return rows.where(F.col("access") == access).drop("access").join(among.hint("merge"), "__name", "left_semi")
+
+    def base_of(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(key, F.col("__name").alias("__base")).hint("merge")
+
+    def paired(rows: DataFrame, on: str) -> DataFrame:
+        return rows.where("access = 'list'").drop("access").join(pairs.hint("merge"), on)
+
+    def rows_of(listed: DataFrame, both: DataFrame, ready: DataFrame, key: str) -> DataFrame:
+        none = F.lit(None).cast(pairs.schema["adapter"].dataType).alias("adapter")
+        parts = [
+            (listed, "model", "__name", none), (both, "adapter", "__base", F.col("adapter")), (ready, "loaded", "__name", none)
+        ]
+        found = [
+            df.select(key, F.lit(kind).alias("kind"), F.col(name).alias("__seen"), adapter)
+            for df, kind, name, adapter in parts
+        ]
+        return found[0].unionByName(found[1]).unionByName(found[2])
+
+    team_models, own_models = (only(rows, "list", models) for rows in (shared, more))
+    team_both = paired(shared, "__name").join(base_of(team_models, "__team"), ["__team", "__base"], "left_semi")
+    # An adapter is added where its name, its base or both are.
+    named = paired(more, "__name")
+    based = paired(own_models.withColumnRenamed("__name", "__base").withColumn("access", F.lit("list")), "__base")
+    full = shared.where("access = 'list'").select("__team", "__name").hint("merge")
+    own_both = (
+        named.join(base_of(team_models, "__team"), ["__team", "__base"], "left_semi")
+        .unionByName(named.join(base_of(own_models, "__user"), ["__user", "__base"], "left_semi"))
+        .unionByName(based.join(full, ["__team", "__name"], "left_semi"))
+    )
+    by_team = rows_of(team_models, team_both, only(shared, "metadata", ready), "__team")
+    by_user = rows_of(own_models, own_both, only(more, "metadata", ready), "__user")
+    # An adapter needs a user with a name.
+    found = _every_pair(members, by_team).where("__user is not null or kind != 'adapter'").unionByName(by_user)
+    return found.select(F.col("__user").alias(user), "kind", F.col("__seen").alias("model"), "adapter")
+
 
-def _visible(users, names, grants, access, user, groups) -> DataFrame:
-    """Distinct (user, model) with the access, from principals to grants to names."""
-    rules = indexed_grants(grants).filter(F.col("access") == access)
+def _every_pair(members: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every row of ``members(__user, __team)`` with every one of ``items(__team, ...)`` of its team.
+
+    Arrays of about ``block`` rows meet, and each pair of arrays is unpacked where it is: the rows that come out are
+    not shuffled, and a team with most of the users is in many tasks.
+    """
+    spark = members.sparkSession
+
+    def blocks(rows: DataFrame, row: Column, out: str) -> DataFrame:
+        rows = stage(rows, "catalog-pairs")
+        sizes = rows.groupBy("__team").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("__blocks"))
+        at = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "__team"]), F.col("__blocks"))
+        return (
+            rows.join(sizes, "__team").groupBy("__team", at.alias("__at")).agg(F.collect_list(row).alias(out)).drop("__at")
+        )
+
+    kept = [c for c in items.columns if c != "__team"]
+    users = blocks(members, F.struct("__user"), "__users")
+    seen = blocks(items, F.struct(*kept), "__items")
+    # As many tasks as the session's shuffles have: by their bytes the arrays would be left to a few.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return (
+        users.join(seen.hint("merge"), "__team").select("__users", "__items").repartition(tasks)
+        .select("__users", F.inline("__items"))
+        .select(F.inline("__users"), *kept)
+    )
+
+
+def _reach(names: DataFrame, grants: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The distinct (__p, access, __name): which of ``names(__name)`` a principal's own patterns cover."""
+    rules = stage(indexed_grants(grants).where(F.col("access").isin(*kinds)), "catalog-rules")
+    inside = F.startswith("__prefix", F.lit(INSIDE))
+    shapes = rules.select(inside.alias("inside"), F.length("__prefix").alias("length")).distinct().collect()
     covers = (
-        names.distinct()
-        .withColumn("__prefix", F.explode(resource_keys("model")))
+        names.withColumn("__prefix", F.explode(_keys_of("__name", [(r.inside, r.length) for r in shapes])))
         # Names come many times over here, which no estimate of their size tells: never a broadcast.
         .join(rules.select("__prefix", "__like").distinct().hint("merge"), "__prefix")
-        .filter(F.like(F.lower("model"), F.col("__like")))
-        .select("__like", "model")
-    )
-    holders = (
-        users.select(user, groups)
-        .distinct()
-        .select(user, F.explode(principals(user, groups)).alias("__p"))
-        .join(rules.select("__p", "__like"), "__p")
-        .select(user, "__like")
-        .distinct()
+        .filter(F.like(F.lower("__name"), F.col("__like")))
+        .select("__like", "__name")
     )
-    return holders.join(covers, "__like").select(user, "model").distinct()
+    holders = rules.select("__p", "access", "__like").distinct()
+    return holders.join(covers.hint("merge"), "__like").select("__p", "access", "__name").distinct()
+
+
+def _keys_of(resource: str, shapes: list[tuple[bool, int]]) -> Column:
+    """Those of :func:`resource_keys` that have the lengths of keys that there are."""
+    r = F.lower(F.col(resource))
+    lengths = F.array(*[F.lit(n) for inside, n in sorted(shapes) if not inside and n is not None]).cast("array<int>")
+    fitting = F.filter(lengths, lambda n: n <= F.length(r))
+    inside = [
+        F.transform(_grams(r, n - len(INSIDE)), lambda g: F.concat(F.lit(INSIDE), g)) for inside, n in sorted(shapes) if inside
+    ]
+    return F.array_distinct(F.concat(F.transform(fitting, lambda n: F.substring(r, F.lit(1), n)), *inside))
