@@ -9,8 +9,11 @@ trigger.
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from servelens.operators.access import EVERYONE, keyed_grants
 from servelens.operators.quota import RULE_FIELDS, WINDOW_MS, decide, with_bucket
@@ -113,21 +116,23 @@ def resolve_policies(identified: DataFrame, policies: DataFrame) -> DataFrame:
     eligible = (F.col("endpoint") == "inference") & F.col("request_error").isNull()
     keys = F.when(eligible, _asks(*_shapes(policies))).otherwise(F.array(_key("call")))
     kept = F.struct("ts_ms", *CARRIED)
-    asked = identified.select(
-        "event_time", "request_id", kept.alias("call"), eligible.alias("eligible"), F.explode(keys).alias("key")
-    )
+    asked = identified.select("event_time", "request_id", kept.alias("call"), F.explode(keys).alias("key"))
     base = F.lower("call.base_model")
     full = F.lower(F.concat_ws("#", "call.base_model", "call.lora"))
-    found = (
-        asked.join(policies, "key")
-        .groupBy("event_time", "request_id")
-        .agg(
-            F.first("call").alias("call"),
-            F.first("eligible").alias("eligible"),
-            F.min("rule").alias("rule"),
-            F.max(F.coalesce(F.like(base, F.col("like")), F.lit(False))).alias("base_allowed"),
-            F.max(F.coalesce(F.like(full, F.col("like")), F.lit(False))).alias("full_allowed"),
-        )
+    # Every call meets the row of its own kind; only there it is carried into the sort by calls.
+    met = asked.join(policies, "key").select(
+        "event_time",
+        "request_id",
+        F.when(F.col("key.kind") == "call", F.col("call")).alias("call"),
+        "rule",
+        F.coalesce(F.like(base, F.col("like")), F.lit(False)).alias("base_allowed"),
+        F.coalesce(F.like(full, F.col("like")), F.lit(False)).alias("full_allowed"),
+    )
+    found = met.groupBy("event_time", "request_id").agg(
+        F.first("call", ignorenulls=True).alias("call"),
+        F.min("rule").alias("rule"),
+        F.max("base_allowed").alias("base_allowed"),
+        F.max("full_allowed").alias("full_allowed"),
     )
     resolved = found.select(
         "event_time",
@@ -150,6 +155,21 @@ def routes_over(depth: DataFrame, roster: DataFrame, tick_ms: int = TICK_MS) ->
     return stage(tick_routes(depth, roster, ticks, tick_ms), "routes"), low, high
 
 
+#: What travels with a call through its bucket.
+PAYLOAD = (*CARRIED, *[f for f in RULE_FIELDS if f != "rpm"], "base_allowed", "allowed")
+
+
+def _short() -> Column:
+    """The payload under names of one letter: the names were most of what a bucket's task handled."""
+    return F.struct(*[F.col(name).alias(letter) for name, letter in zip(PAYLOAD, ascii_letters)])
+
+
+def _unpack(placed: DataFrame, kept: DataType) -> DataFrame:
+    """``placed(payload)`` with the columns of the payload."""
+    names = [F.col(f"kept.{letter}").alias(name) for name, letter in zip(PAYLOAD, ascii_letters)]
+    return placed.withColumn("kept", F.from_json("payload", kept)).select("*", *names)
+
+
 def stream_adjudication(
     raw: DataFrame,
     rules: DataFrame,
@@ -168,12 +188,11 @@ def stream_adjudication(
     policies = stage(policy_table(rules, grants), "policies")
     routes, low, high = routes_over(depth, roster, tick_ms)
     calls = resolve_policies(event_time(identify(raw), f"{lateness_ms} milliseconds"), policies)
-    rest = F.struct(*CARRIED, *[f for f in RULE_FIELDS if f != "rpm"], "base_allowed", "allowed")
-    kept = calls.select(rest.alias("kept")).schema["kept"].dataType
     placed = place_requests(
-        calls.withColumn("payload", F.to_json(rest)), window_ms, payload="payload", watermark=False
+        calls.withColumn("payload", F.to_json(_short())), window_ms, payload="payload", watermark=False
     )
-    unpacked = placed.withColumn("kept", F.from_json("payload", kept)).select("*", "kept.*")
+    # A bucket's calls come out of one task; what follows is shared out again.
+    unpacked = _unpack(placed.repartition("request_id"), calls.select(_short().alias("kept")).schema["kept"].dataType)
     judged = decide(unpacked.withColumnRenamed("allowed", "may"), window_ms).withColumnsRenamed(
         {"allowed": "quota_ok", "may": "allowed"}
     )
